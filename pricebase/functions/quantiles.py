@@ -1,0 +1,85 @@
+"""Exact percentiles of groups of any size.
+
+The built-in ``percentile`` keeps the distinct values of a group in one task. That is right for
+ordinary groups; a hot group is resolved here by counting: (key, value) counts, a histogram of
+monotone value bands per key (bounded number of bands), then the values of the one band that holds
+each wanted rank. Every shuffle is spread over (key, value) or (key, band).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from pricebase.functions.joins import null_safe_join
+
+BANDS_PER_UNIT = 512.0
+
+
+def _band(value: Column) -> Column:
+    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * F.lit(BANDS_PER_UNIT))).cast("int")
+
+
+def exact_quantiles(
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    probabilities: dict[str, float],
+    weight: str | None = None,
+) -> DataFrame:
+    """One row per key with the interpolated percentiles named in ``probabilities``."""
+    rows = df.where(F.col(value).isNotNull())
+    counts = rows.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
+        F.sum(F.lit(1) if weight is None else F.col(weight)).cast("bigint").alias("_c")
+    )
+    counts = counts.withColumn("_b", _band(F.col("_v")))
+
+    bands = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
+    per_key = Window.partitionBy(*keys)
+    bands = bands.withColumn("_total", F.sum("_bc").over(per_key)).withColumn(
+        "_before",
+        F.sum("_bc").over(per_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+        - F.col("_bc"),
+    )
+    wanted = []
+    for name, p in probabilities.items():
+        position = (F.col("_total") - 1) * F.lit(float(p))
+        for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
+            wanted.append(
+                F.struct(
+                    F.lit(name).alias("name"),
+                    F.lit(side).alias("side"),
+                    rank.cast("bigint").alias("rank"),
+                    (position - F.floor(position)).alias("fraction"),
+                )
+            )
+    targets = (
+        bands.select(*keys, "_b", "_bc", "_before", F.explode(F.array(*wanted)).alias("_t"))
+        .where(
+            (F.col("_t.rank") >= F.col("_before"))
+            & (F.col("_t.rank") < F.col("_before") + F.col("_bc"))
+        )
+        .groupBy(*keys, "_b", "_before")
+        .agg(F.collect_list("_t").alias("_ts"))  # at most two ranks per probability
+    )
+    in_band = Window.partitionBy(*keys, "_b").orderBy("_v")
+    located = (
+        null_safe_join(counts, targets, [*keys, "_b"])
+        .withColumn(
+            "_end",
+            F.col("_before")
+            + F.sum("_c").over(in_band.rowsBetween(Window.unboundedPreceding, 0)),
+        )
+        .select(*keys, "_v", (F.col("_end") - F.col("_c")).alias("_start"), "_end",
+                F.explode("_ts").alias("_t"))
+        .where((F.col("_t.rank") >= F.col("_start")) & (F.col("_t.rank") < F.col("_end")))
+    )
+    outputs = []
+    for name in probabilities:
+        def at(side: str, name: str = name) -> Column:
+            hit = (F.col("_t.name") == name) & (F.col("_t.side") == side)
+            return F.max(F.when(hit, F.col("_v")))
+
+        fraction = F.max(F.when(F.col("_t.name") == name, F.col("_t.fraction")))
+        outputs.append((at("lo") + (at("hi") - at("lo")) * fraction).alias(name))
+    return located.groupBy(*keys).agg(*outputs)
