@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pricebase.functions.skew import count_per_key
 from pricebase.functions.text import is_category_code, unit_compatible
-from pricebase.session import ensure_checkpoint_dir
+from pricebase.session import materialized
 
 STATE = ("item_id", "score", "method", "validated", "validated_by", "validated_on")
 AUTO = ("auto", "auto-llm")
@@ -203,16 +203,15 @@ def attach_lines(links: DataFrame, commands: DataFrame) -> tuple[DataFrame, Data
 
 def resolve_chains(merges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(source_id, target_id) with every target final, by pointer doubling."""
-    ensure_checkpoint_dir(merges.sparkSession)
     current = merges.groupBy("source_id").agg(F.min("target_id").alias("target_id")).where(
         F.col("source_id") != F.col("target_id")
     )
-    current = current.checkpoint()
+    current = materialized(current)
     for _ in range(max_rounds):
         further = current.select(
             F.col("source_id").alias("target_id"), F.col("target_id").alias("next_id")
         )
-        stepped = current.join(further, "target_id", "left").checkpoint()
+        stepped = materialized(current.join(further, "target_id", "left"))
         if stepped.where(F.col("next_id").isNotNull()).isEmpty():
             return current
         current = stepped.select("source_id", F.coalesce("next_id", "target_id").alias("target_id"))

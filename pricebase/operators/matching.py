@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricebase.functions.numbers import half_up
 from pricebase.functions.text import LUMP_UNITS, code_slug, search_text, unit_compatible
 from pricebase.operators.trigram_join import text_side, trigram_join
+from pricebase.session import materialized
 
 RULE_THRESHOLD = 0.45
 NO_UNIT = "?"
@@ -95,10 +96,14 @@ def match_alternatives(
     )
     first = Window.partitionBy("label_norm", "unit_key").orderBy("item_id")
     # copies of a label are interchangeable: the first k+1 ids are enough
-    pool = per_class.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1).drop("_n")
-    wordings = pending.select(
-        "search_text", F.coalesce("unit", F.lit(NO_UNIT)).alias("unit_key")
-    ).distinct()
+    pool = materialized(
+        per_class.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1).drop("_n")
+    )
+    wordings = materialized(
+        pending.select(
+            "search_text", F.coalesce("unit", F.lit(NO_UNIT)).alias("unit_key")
+        ).distinct()
+    )
     found = _nearest(wordings, pool, k + 1, thresholds)
     counted = found.groupBy("search_text", "unit_key").agg(F.count(F.lit(1)).alias("have"))
     short = wordings.join(counted, ["search_text", "unit_key"], "left").where(
@@ -155,7 +160,10 @@ def _enough_everywhere(per_class: DataFrame, k: int) -> bool:
 def _nearest(
     wordings: DataFrame, pool: DataFrame, k: int, thresholds: tuple[float, ...]
 ) -> DataFrame:
-    """Up to k most similar pool items per (wording, class), by thresholds going down."""
+    """Up to k most similar pool items per (wording, class), by thresholds going down.
+
+    Each round is written out, so a lost executor costs one round and plans stay small.
+    """
     result = None
     remaining = wordings
     labels = text_side(pool, "label_norm", F.col("unit_key"))
@@ -169,7 +177,7 @@ def _nearest(
             F.col("block").alias("unit_key"),
             "score",
         )
-        top = (
+        top = materialized(
             pairs.join(pool, ["label_norm", "unit_key"])
             .withColumn("_r", F.row_number().over(best))
             .where(F.col("_r") <= k)
@@ -182,7 +190,7 @@ def _nearest(
         result = done if result is None else result.unionByName(done)
         if last:
             break
-        remaining = remaining.join(full, ["search_text", "unit_key"], "left_anti")
+        remaining = materialized(remaining.join(full, ["search_text", "unit_key"], "left_anti"))
         if remaining.isEmpty():
             break
     return result

@@ -9,7 +9,7 @@ from pricebase.functions.dates import recover_date
 from pricebase.functions.numbers import half_up
 from pricebase.functions.text import search_text
 from pricebase.operators.trigram_join import text_side, trigram_join
-from pricebase.session import ensure_checkpoint_dir
+from pricebase.session import materialized
 from pricebase.sources.dims import DEPARTMENT_ZONES
 
 CLIENT_THRESHOLD = 0.55
@@ -90,12 +90,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     Alternates hooking to the smallest neighbour with pointer jumping, so the number of rounds
     grows with the logarithm of the longest chain. Each round is checkpointed to shared storage.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
     both = edges.select("a", "b").unionByName(
         edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     )
-    both = both.where(F.col("a") != F.col("b")).distinct().checkpoint()
+    both = materialized(both.where(F.col("a") != F.col("b")).distinct())
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(max_rounds):
         neighbour = (
@@ -110,7 +108,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         jumped = hooked.join(parents, "label", "left").select(
             "node", "old", F.coalesce(F.least("up", "label"), "label").alias("label")
         )
-        jumped = jumped.checkpoint()
+        jumped = materialized(jumped)
         labels = jumped.select("node", "label")
         if jumped.where(F.col("label") != F.col("old")).isEmpty():
             return labels.select("node", F.col("label").alias("component"))
@@ -173,8 +171,10 @@ def new_clients(matches: DataFrame, threshold: float = CLIENT_THRESHOLD) -> Data
     One document after the other, a later spelling would join the client an earlier one created;
     in a batch, spellings linked by similarity form one client.
     """
-    fresh = matches.where(F.col("method") == "nouveau").select(
-        "raw_name", search_text(F.col("raw_name")).alias("text")
+    fresh = materialized(
+        matches.where(F.col("method") == "nouveau").select(
+            "raw_name", search_text(F.col("raw_name")).alias("text")
+        )
     )
     pairs = trigram_join(text_side(fresh, "text"), None, threshold)
     components = connected_components(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # A group with more rows than this is never aggregated exactly inside one task.
 HOT_ROWS_KEY = "spark.pricebase.hotGroupRows"
@@ -44,3 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="pricebase-checkpoint-")
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialized(rows: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder, without their lineage."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint()
