@@ -124,7 +124,7 @@ m_docs AS (
     'DEV-' || o_orderkey AS number, (['devis', 'facture', 'situation', 'avenant', 'indetermine'])[(o_orderkey % 5) + 1] AS type,
     'Chantier ' || o_custkey AS site_title, o_orderdate::DATE AS created_on, zone_id, zone_reliable
   FROM orders LEFT JOIN m_places ON o_custkey = c_custkey),
-m_zones AS (SELECT r_regionkey AS zone_id, r_name AS zone_code, upper(r_name[1]) || lower(r_name[2:]) AS zone_label FROM region),
+m_zones AS (SELECT r_regionkey AS zone_id, r_name AS zone_code, 'Zone ' || r_name AS zone_label FROM region),
 m_clients AS (SELECT c_custkey AS client_id, {client_name('c_custkey')} AS name FROM customer),
 m_months AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS mon FROM orders),
 m_index AS (
@@ -186,6 +186,11 @@ def q(expr: str, p: float) -> str:
     return f"floor(quantile_cont(({expr} * 10000)::BIGINT, {p}) / 100.0 + 0.5) / 100.0"
 
 
+def m2(x: str) -> str:
+    """A four-decimal value to two decimals, through its fixed-point integer."""
+    return f"floor(({x} * 10000)::BIGINT / 100.0 + 0.5) / 100.0"
+
+
 MEAN = "(sum(unit_price)::DOUBLE / count(*))"
 MEANI = "(sum(price_indexed)::DOUBLE / count(*))"
 SD = "stddev_samp(unit_price::DOUBLE)"
@@ -210,10 +215,10 @@ def block(keys: str, source: str, where: str = "true") -> str:
       indexed_median, indexed_mean, indexed_min, indexed_max, CASE WHEN n >= 4 THEN i25 END AS indexed_p25, CASE WHEN n >= 4 THEN i75 END AS indexed_p75,
       first_date, last_date, quantity_total,
       CASE WHEN n >= 10 AND variation < 0.25 THEN 'haute' WHEN n >= 4 THEN 'moyenne' ELSE 'faible' END AS reliability, zone_always_reliable
-    FROM (SELECT {keys}, count(*) AS n, count(DISTINCT document_id) AS n_documents, {half('min(unit_price)', 2)} AS price_min, {half('max(unit_price)', 2)} AS price_max,
+    FROM (SELECT {keys}, count(*) AS n, count(DISTINCT document_id) AS n_documents, {m2('min(unit_price)')} AS price_min, {m2('max(unit_price)')} AS price_max,
       {half(MEAN, 2)} AS price_mean, {q('unit_price', 0.5)} AS price_median, {q('unit_price', 0.25)} AS p25, {q('unit_price', 0.75)} AS p75,
       {half(SD, 2)} AS price_stddev, {half(SD + ' / ' + MEAN, 3)} AS variation, {q('price_indexed', 0.5)} AS indexed_median, {half(MEANI, 2)} AS indexed_mean,
-      {half('min(price_indexed)', 2)} AS indexed_min, {half('max(price_indexed)', 2)} AS indexed_max, {q('price_indexed', 0.25)} AS i25, {q('price_indexed', 0.75)} AS i75,
+      {m2('min(price_indexed)')} AS indexed_min, {m2('max(price_indexed)')} AS indexed_max, {q('price_indexed', 0.25)} AS i25, {q('price_indexed', 0.75)} AS i75,
       min(document_date)::VARCHAR AS first_date, max(document_date)::VARCHAR AS last_date, sum(quantity)::DOUBLE AS quantity_total,
       bool_and(zone_reliable)::VARCHAR AS zone_always_reliable
       FROM {source} WHERE {where} GROUP BY {keys})"""
@@ -406,7 +411,7 @@ oracle(
     "move_checks",
     """SELECT m.category_id::BIGINT AS category_id, new_parent_id::BIGINT AS new_parent_id,
       NOT EXISTS (SELECT 1 FROM closure WHERE a = m.category_id AND d = new_parent_id) AS allowed
-    FROM (SELECT parent_id AS category_id, category_id AS new_parent_id FROM m_cats UNION SELECT category_id, parent_id FROM m_cats WHERE parent_id IS NOT NULL) m""",
+    FROM (SELECT parent_id AS category_id, category_id AS new_parent_id FROM m_cats UNION SELECT category_id, parent_id FROM m_cats WHERE parent_id IS NOT NULL) m WHERE m.category_id IS NOT NULL""",
     CLOSURE,
     True,
 )
@@ -591,7 +596,7 @@ oracle(
 oracle(
     "embedding_pairs",
     f"""SELECT a.block::VARCHAR AS block, a.node AS node_a, b.node AS node_b, {half('list_cosine_similarity(a.e, b.e)', 4)} AS score
-    FROM nodes a JOIN nodes b ON a.block = b.block AND a.node < b.node WHERE list_cosine_similarity(a.e, b.e) >= 0.5""",
+    FROM nodes a JOIN nodes b ON a.block = b.block AND a.node < b.node WHERE list_cosine_similarity(a.e, b.e) >= 0.3""",
     "nodes AS (SELECT label AS block, embedding::DOUBLE[] AS e, min(vec_id) AS node FROM embeddings GROUP BY label, embedding)",
 )
 oracle(
@@ -751,7 +756,7 @@ oracle(
     "SELECT count(*) FILTER (validated) AS n_validated, count(*) FILTER (NOT validated) AS n_pending, (SELECT count(DISTINCT item_id) FROM m_base) AS n_priced_items FROM m_linked",
 )
 JOURNAL = f"""{EV}, jo AS (SELECT event_id * 100 + ord AS seq, 'u' || user_id || '-' || ts::DATE::VARCHAR AS batch_id, link_id, item_id, event_type, ts FROM m_linked JOIN ev USING (document_id)),
-  lg AS (SELECT batch_id, count(link_id) AS n, max(seq) AS last_seq, max(ts) AS at FROM jo WHERE event_type <> 'error' GROUP BY 1 ORDER BY at DESC, last_seq DESC LIMIT 200)"""
+  lg AS (SELECT batch_id, count(link_id) AS n, max(seq) AS last_seq, max(ts) AS latest_ts FROM jo WHERE event_type <> 'error' GROUP BY 1 ORDER BY latest_ts DESC, last_seq DESC LIMIT 200)"""
 oracle("last_gestures", "SELECT batch_id, n, last_seq FROM lg", JOURNAL)
 oracle(
     "undo_last",

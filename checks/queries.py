@@ -478,7 +478,7 @@ def new_merge_proposals(m: Model) -> DataFrame:
 
 @query
 def embedding_pairs(m: Model) -> DataFrame:
-    rows = dedupe.embedding_pairs(m.item_embeddings(), 0.5)
+    rows = dedupe.embedding_pairs(m.item_embeddings(), 0.3)
     return rows.withColumn("score", half_up(F.col("score"), 4))
 
 

@@ -128,26 +128,50 @@ def similarity(left: Column, right: Column) -> Column:
 def word_similarity(term_grams: Column, sequence: Column) -> Column:
     """Best Jaccard between the term's trigrams and any contiguous run of the text's trigrams.
 
-    The best run starts and ends on a shared trigram, so only those positions are tried.
+    The best run starts and ends on a shared trigram, so only those positions are tried. As long as
+    no trigram repeats in the text, a run's shared and total counts follow from the positions.
     """
     hits = F.filter(
         F.sequence(F.lit(1), F.greatest(F.size(sequence), F.lit(1))),
         lambda i: F.array_contains(term_grams, F.get(sequence, i - 1)),
     )
-
-    def score(start: Column, end: Column) -> Column:
-        return jaccard(term_grams, F.array_distinct(F.slice(sequence, start, end - start + 1)))
-
-    runs = F.flatten(
+    wanted = F.size(term_grams)
+
+    def counted_from(hits: Column) -> Column:
+        def best_from(start: Column, index: Column) -> Column:
+            ends = F.slice(hits, index + 1, F.size(hits))
+            scores = F.transform(
+                ends,
+                lambda end, more: (more + 1) / (wanted + (end - start + 1) - (more + 1)),
+            )
+            return F.array_max(scores)
+
+        return F.array_max(F.transform(hits, best_from))
+
+    def compared_from(hits: Column) -> Column:
+        def best_from(start: Column) -> Column:
+            ends = F.filter(hits, lambda end: end >= start)
+            return F.array_max(
+                F.transform(
+                    ends,
+                    lambda end: jaccard(
+                        term_grams, F.array_distinct(F.slice(sequence, start, end - start + 1))
+                    ),
+                )
+            )
+
+        return F.array_max(F.transform(hits, best_from))
+
+    # one-element array: the hits are computed once and bound to a lambda variable
+    repeats = F.size(F.array_distinct(sequence)) < F.size(sequence)
+    best = F.get(
         F.transform(
-            hits,
-            lambda start: F.transform(
-                F.filter(hits, lambda end: end >= start), lambda end: score(start, end)
-            ),
-        )
+            F.array(hits),
+            lambda h: F.when(repeats, compared_from(h)).otherwise(counted_from(h)),
+        ),
+        F.lit(0),
     )
-    empty = (F.size(sequence) == 0) | (F.size(hits) == 0)
-    return F.when(empty, F.lit(0.0)).otherwise(F.array_max(runs))
+    return F.when(F.size(sequence) == 0, F.lit(0.0)).otherwise(F.coalesce(best, F.lit(0.0)))
 
 
 def shares_enough(term_grams: Column, grams: Column, threshold: Column | float) -> Column:

@@ -59,15 +59,20 @@ def resembles(sequence: Column, threshold: float) -> Column:
 
 
 def item_ids_by_wording(linked_texts: DataFrame, terms: list[str], threshold: float) -> DataFrame:
-    """(term, item_id) found through the raw designations linked to an item."""
+    """(term, item_id) found through the raw designations linked to an item.
+
+    Each distinct wording is compared once, however many lines carry it.
+    """
+    pairs = linked_texts.select("item_id", "search_text").distinct()
     rows = with_terms(
-        linked_texts.select("item_id", "search_text").withColumn(
-            "_seq", trigram_sequence(F.col("search_text"))
-        ),
+        pairs.select("search_text")
+        .distinct()
+        .withColumn("_seq", trigram_sequence(F.col("search_text"))),
         terms,
     )
     hit = F.contains("search_text", "plain") | resembles(F.col("_seq"), threshold)
-    return rows.where(hit).select("term", "item_id").distinct()
+    found = rows.where(hit).select("term", "search_text")
+    return pairs.join(found, "search_text").select("term", "item_id").distinct()
 
 
 def score_items(

@@ -15,6 +15,8 @@ _RUNTIME_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot join partition even when that costs one more shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # small shuffles of CPU-heavy text jobs keep using every core
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
 }
 
 

@@ -218,7 +218,7 @@ class Model:
         return self.table("region").select(
             F.col("r_regionkey").alias("zone_id"),
             F.col("r_name").alias("zone_code"),
-            F.initcap("r_name").alias("zone_label"),
+            F.concat(F.lit("Zone "), "r_name").alias("zone_label"),
             (F.col("r_regionkey") + 1).alias("zone_ord"),
         )
 

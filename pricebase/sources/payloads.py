@@ -53,14 +53,8 @@ def json_body(text: Column) -> Column:
     return F.nullif(F.regexp_extract(without_nul(text), r"(?s)\{.*\}", 0), F.lit(""))
 
 
-def parse_payloads(rows: DataFrame, text: str = "payload") -> DataFrame:
-    """Adds document (struct) and error: a missing required field fails the document."""
-    parsed = F.from_json(
-        json_body(F.col(text)),
-        PAYLOAD_SCHEMA,
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"},
-    )
-    d = F.col("document")
+def _payload_error(d: Column) -> Column:
+    """Name of the first required part that is missing or wrong, NULL for a valid payload."""
     bad_line = F.exists(
         d["lignes"],
         lambda line: line["ordre"].isNull()
@@ -68,14 +62,30 @@ def parse_payloads(rows: DataFrame, text: str = "payload") -> DataFrame:
         | (F.coalesce(line["designation"], F.lit("")) == "")
         | ~F.coalesce(line["confiance"].between(0.0, 1.0), F.lit(False)),
     )
-    error = (
+    return (
         F.when(d.isNull() | d["_corrupt"].isNotNull(), "json")
         .when(~F.coalesce(d["type_document"].isin(*DOCUMENT_TYPES), F.lit(False)), "type_document")
         .when(d["est_ts"].isNull(), "est_ts")
         .when(d["lignes"].isNull(), "lignes")
         .when(bad_line, "ligne")
     )
-    return rows.withColumn("document", parsed).withColumn("error", error)
+
+
+def parse_payloads(rows: DataFrame, text: str = "payload") -> DataFrame:
+    """Adds document (struct) and error: a missing required field fails the document.
+
+    The parsed value is unfolded from a one-element array, so that later filters on the error do
+    not make the planner parse the text again.
+    """
+    parsed = F.from_json(
+        json_body(F.col(text)),
+        PAYLOAD_SCHEMA,
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"},
+    )
+    checked = F.transform(
+        F.array(parsed), lambda d: F.struct(d.alias("document"), _payload_error(d).alias("error"))
+    )
+    return rows.select("*", F.inline(checked))
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:
