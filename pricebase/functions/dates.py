@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,24 +36,31 @@ FILE_COMPACT = r"(?<!\d)(0[1-9]|[12]\d|3[01])(0[1-9]|1[0-2])(\d{2})(?!\d)"
 FILE_YEAR_MONTH = r"(?<!\d)(20\d{2})[-_ .](0[1-9]|1[0-2])(?!\d)"
 
 
-def _group(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group)
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _year(text: Column) -> Column:
-    return F.when(F.length(text) == 2, F.concat(F.lit("20"), text)).otherwise(text)
+def _shaped(text: Column, pattern: str, order: str) -> Column:
+    """The first match rewritten as year-month-day; empty when nothing matches."""
+    return F.regexp_replace(F.regexp_extract(text, pattern, 0), pattern, order)
 
 
-def _date(year: Column, month: Column, day: Column, last_year: Column) -> Column:
+def _date(shaped: Column, last_year: Column) -> Column:
     """A real calendar date within the plausible years, else NULL."""
-    number = year.try_cast("int")
-    text = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return F.when(number.between(F.lit(FIRST_YEAR), last_year), F.try_to_date(text, "yyyy-MM-dd"))
+    full = F.when(shaped.rlike(r"^\d\d-"), F.concat(F.lit("20"), shaped)).otherwise(shaped)
+    return bind(
+        F.try_to_date(full, "yyyy-M-d"),
+        lambda date: F.when(F.year(date).between(F.lit(FIRST_YEAR), last_year), date),
+    )
 
 
-def _month_number(name: Column) -> Column:
-    pairs = [F.lit(x) for name_, n in MONTHS.items() for x in (name_, str(n))]
-    return F.try_element_at(F.create_map(*pairs), name)
+def _numbered(shaped: Column) -> Column:
+    """Year-month-day with the month word as a number; two parts only when it is no month."""
+    months = F.create_map(*[F.lit(x) for name, n in MONTHS.items() for x in (name, str(n))])
+    parts = F.split(shaped, "-")
+    number = F.try_element_at(months, F.get(parts, F.lit(1)))
+    return F.concat_ws("-", F.get(parts, F.lit(0)), number, F.get(parts, F.lit(2)))
 
 
 def default_last_year() -> Column:
@@ -61,61 +70,59 @@ def default_last_year() -> Column:
 def date_from_text(value: Column, last_year: Column | None = None) -> Column:
     """Free text to a date; an impossible date in the first matching shape gives NULL."""
     last = default_last_year() if last_year is None else last_year
-    text = F.lower(F.trim(value))
-    first = F.lit("1")
-    day_month = _month_number(_group(text, TEXT_DAY_MONTH, 2))
-    month_only = _month_number(_group(text, TEXT_MONTH, 1))
-
-    def g(pattern: str, group: int) -> Column:
-        return _group(text, pattern, group)
-
-    return (
-        F.when(
-            text.rlike(TEXT_ISO),
-            _date(g(TEXT_ISO, 1), g(TEXT_ISO, 2), g(TEXT_ISO, 3), last),
-        )
-        .when(
-            text.rlike(TEXT_NUMERIC),
-            _date(_year(g(TEXT_NUMERIC, 3)), g(TEXT_NUMERIC, 2), g(TEXT_NUMERIC, 1), last),
-        )
-        .when(
-            day_month.isNotNull(),
-            _date(g(TEXT_DAY_MONTH, 3), day_month, g(TEXT_DAY_MONTH, 1), last),
-        )
-        .when(month_only.isNotNull(), _date(g(TEXT_MONTH, 2), month_only, first, last))
-        .when(
-            text.rlike(TEXT_YEAR_MONTH),
-            _date(g(TEXT_YEAR_MONTH, 1), g(TEXT_YEAR_MONTH, 2), first, last),
+
+    def read(text: Column) -> Column:
+        # a word that is no month leaves two parts only, and the next shape is tried
+        day_month = _numbered(_shaped(text, TEXT_DAY_MONTH, "$3-$2-$1"))
+        month_only = _numbered(_shaped(text, TEXT_MONTH, "$2-$1-1"))
+        is_date = r"^\d+-\d+-\d+$"
+        return (
+            F.when(text.rlike(TEXT_ISO), _date(_shaped(text, TEXT_ISO, "$1-$2-$3"), last))
+            .when(
+                text.rlike(TEXT_NUMERIC), _date(_shaped(text, TEXT_NUMERIC, "$3-$2-$1"), last)
+            )
+            .when(text.rlike(TEXT_DAY_MONTH) & day_month.rlike(is_date), _date(day_month, last))
+            .when(text.rlike(TEXT_MONTH) & month_only.rlike(is_date), _date(month_only, last))
+            .when(
+                text.rlike(TEXT_YEAR_MONTH), _date(_shaped(text, TEXT_YEAR_MONTH, "$1-$2-1"), last)
+            )
         )
-    )
+
+    return bind(F.lower(F.trim(value)), read)
 
 
 def date_from_file_name(value: Column, last_year: Column | None = None) -> Column:
     """File name to a date; an impossible date falls through to the next shape."""
     last = default_last_year() if last_year is None else last_year
-    name = F.regexp_replace(value, r"(?i)\.[a-z0-9]{2,5}$", "")
+    shapes = (
+        (FILE_YEAR_FIRST, "$1-$2-$3"),
+        (FILE_DAY_FIRST, "$3-$2-$1"),
+        (FILE_COMPACT, "$3-$2-$1"),
+        (FILE_YEAR_MONTH, "$1-$2-1"),
+    )
+    return bind(
+        F.regexp_replace(value, r"(?i)\.[a-z0-9]{2,5}$", ""),
+        lambda name: F.coalesce(*[_date(_shaped(name, p, order), last) for p, order in shapes]),
+    )
 
-    def g(pattern: str, group: int) -> Column:
-        return _group(name, pattern, group)
 
-    return F.coalesce(
-        _date(g(FILE_YEAR_FIRST, 1), g(FILE_YEAR_FIRST, 2), g(FILE_YEAR_FIRST, 3), last),
-        _date(_year(g(FILE_DAY_FIRST, 3)), g(FILE_DAY_FIRST, 2), g(FILE_DAY_FIRST, 1), last),
-        _date(_year(g(FILE_COMPACT, 3)), g(FILE_COMPACT, 2), g(FILE_COMPACT, 1), last),
-        _date(g(FILE_YEAR_MONTH, 1), g(FILE_YEAR_MONTH, 2), F.lit("1"), last),
-    )
+def recovered(date_text: Column, file_name: Column, last_year: Column | None = None) -> Column:
+    """Struct (document_date, date_source): ISO text as it is, other text, then the file name.
 
+    NULL when no date is found; each reading is tried only when the ones before failed.
+    """
+
+    def found(date: Column, source: str) -> Column:
+        return bind(
+            date,
+            lambda d: F.when(
+                d.isNotNull(), F.struct(d.alias("document_date"), F.lit(source).alias("date_source"))
+            ),
+        )
 
-def recover_date(
-    date_text: Column, file_name: Column, last_year: Column | None = None
-) -> tuple[Column, Column]:
-    """(date, provenance): ISO text as it is, then other text, then the file name."""
     iso = F.when(date_text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(date_text, "yyyy-MM-dd"))
-    text = date_from_text(date_text, last_year)
-    file = date_from_file_name(file_name, last_year)
-    source = (
-        F.when(iso.isNotNull(), F.lit("document"))
-        .when(text.isNotNull(), F.lit("raw"))
-        .when(file.isNotNull(), F.lit("fichier"))
+    return F.coalesce(
+        found(iso, "document"),
+        found(date_from_text(date_text, last_year), "raw"),
+        found(date_from_file_name(file_name, last_year), "fichier"),
     )
-    return F.coalesce(iso, text, file), source

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricebase.functions.numbers import half_up
 from pricebase.functions.quantiles import exact_quantiles
 from pricebase.functions.skew import hot_groups
+from pricebase.session import materialized
 
 MIN_DOCUMENTS = 3
 # a document with more distinct items than this does not generate pairs by itself
@@ -79,19 +80,21 @@ def cooccurrence(
     Counts are over distinct documents, the quantity ratio over line pairs. An item in fewer
     documents than the minimum cannot be part of a pair, so it leaves before any pair is formed.
     """
-    memberships = base.select("document_id", "item_id").distinct()
+    # equal quantities of a document collapse into a weight; read five times, so written once
+    quantities = materialized(
+        base.groupBy("document_id", "item_id", F.col("quantity").cast("double").alias("q")).agg(
+            F.count(F.lit(1)).alias("w")
+        )
+    )
+    memberships = quantities.select("document_id", "item_id").distinct()
     totals = memberships.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
     frequent = totals.where(F.col("n_documents") >= min_documents)
     kept = memberships.join(frequent.select("item_id"), "item_id", "left_semi")
     large = hot_groups(memberships, ["document_id"], large_document)
     joint = _joint_counts(kept, large, min_documents).where(F.col("n_together") >= min_documents)
 
-    # ratios only for the pairs that stay; equal quantities of a document collapse into a weight
-    quantities = (
-        base.where(F.col("quantity").isNotNull())
-        .groupBy("document_id", "item_id", F.col("quantity").cast("double").alias("q"))
-        .agg(F.count(F.lit(1)).alias("w"))
-    )
+    # ratios only for the pairs that stay
+    quantities = quantities.where(F.col("q").isNotNull())
     a = quantities.select(
         "document_id", F.col("item_id").alias("item_a"), F.col("q").alias("qa"), F.col("w").alias("wa")
     )

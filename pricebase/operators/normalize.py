@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricebase.functions.dates import recover_date
+from pricebase.functions.dates import recovered
 from pricebase.functions.numbers import half_up
 from pricebase.functions.text import search_text
 from pricebase.operators.trigram_join import text_side, trigram_join
@@ -80,8 +80,12 @@ def resolve_zones(documents: DataFrame, zone_towns: DataFrame) -> DataFrame:
 
 def recover_dates(documents: DataFrame, last_year: Column | None = None) -> DataFrame:
     """date_text and file_name -> document_date and date_source."""
-    date, source = recover_date(F.col("date_text"), F.col("file_name"), last_year)
-    return documents.withColumn("document_date", date).withColumn("date_source", source)
+    # unfolded from a one-element array: the planner cannot repeat the readings per column
+    found = recovered(F.col("date_text"), F.col("file_name"), last_year)
+    kept = [c for c in documents.columns if c not in ("document_date", "date_source")]
+    return documents.select(*kept, F.explode(F.array(found)).alias("_found")).select(
+        *kept, "_found.document_date", "_found.date_source"
+    )
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
