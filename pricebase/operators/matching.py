@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricebase.functions.numbers import half_up
-from pricebase.functions.text import LUMP_UNITS, code_slug, search_text, unit_compatible
+from pricebase.functions.text import LUMP_UNITS, code_slug, search_text
 from pricebase.operators.trigram_join import text_side, trigram_join
 from pricebase.session import materialized
 
 RULE_THRESHOLD = 0.45
 NO_UNIT = "?"
+ANY_UNIT = "*"
+# similarity levels tried from the top before the threshold itself
+RULE_LEVELS = (0.7,)
 
 
 def lines_to_match(
@@ -31,30 +34,28 @@ def rule_matching(
 
     Items of a compatible unit come first, then the score, then the smaller id. Identical
     designations are matched once and identical labels once; hot wordings therefore cost one row.
+    The search starts among the compatible items at a high similarity and goes on, with the
+    wordings still open, to lower ones and finally to the other items.
     """
-    active = items.where(F.col("active")).withColumn("label", search_text(F.col("label_norm")))
-    candidates = active.groupBy("label", "item_unit").agg(F.min("item_id").alias("item_id"))
-    wordings = lines.select("search_text", "unit").distinct()
-    pairs = trigram_join(
-        text_side(wordings, "search_text"), text_side(candidates, "label"), threshold
+    active = items.where(F.col("active")).select(
+        "item_id", "item_unit", search_text(F.col("label_norm")).alias("label")
     )
-    scored = (
-        pairs.select(F.col("left_id").alias("search_text"), F.col("right_id").alias("label"), "score")
-        .join(candidates, "label")
-        .join(wordings, "search_text")
-        .withColumn("ok", unit_compatible(F.col("unit"), F.col("item_unit")))
+    wordings = materialized(
+        lines.select(
+            "search_text", F.coalesce("unit", F.lit(NO_UNIT)).alias("unit_key")
+        ).distinct()
     )
-    order = F.struct("ok", "score", (-F.col("item_id")).alias("smallest"))
-    best = (
-        scored.groupBy("search_text", F.coalesce("unit", F.lit(NO_UNIT)).alias("unit_key"))
-        .agg(F.max(order).alias("b"))
-        .select(
-            "search_text",
-            "unit_key",
-            (-F.col("b.smallest")).alias("item_id"),
-            half_up(F.col("b.score"), 3).alias("score"),
-            F.col("b.ok").alias("unit_ok"),
-        )
+    levels = tuple(t for t in RULE_LEVELS if t > threshold) + (threshold,)
+    compatible = _nearest(wordings, _pool(active, 1), 1, levels).withColumn("ok", F.lit(True))
+    rest = wordings.join(compatible, ["search_text", "unit_key"], "left_anti")
+    anyone = _nearest(
+        materialized(rest.select("search_text", F.lit(ANY_UNIT).alias("unit_key")).distinct()),
+        _pool(active, 1, by_unit=False),
+        1,
+        levels,
+    ).drop("unit_key")
+    best = compatible.unionByName(
+        rest.join(anyone, "search_text").withColumn("ok", F.lit(False))
     )
     return (
         lines.withColumn("unit_key", F.coalesce("unit", F.lit(NO_UNIT)))
@@ -62,14 +63,29 @@ def rule_matching(
         .select(
             "line_id",
             "item_id",
-            "score",
+            half_up(F.col("score"), 3).alias("score"),
             F.lit("regle").alias("method"),
             F.lit(False).alias("validated"),
-            "unit_ok",
+            F.col("ok").alias("unit_ok"),
         )
     )
 
 
+def _pool(active: DataFrame, k: int, by_unit: bool = True) -> DataFrame:
+    """(label, unit_key, item_id): the first k items of each label among those compatible.
+
+    Copies of a label are interchangeable, so more than k of them are never needed.
+    """
+    classes = _unit_classes(F.col("item_unit")) if by_unit else F.array(F.lit(ANY_UNIT))
+    first = Window.partitionBy("label", "unit_key").orderBy("item_id")
+    return materialized(
+        active.select("item_id", "label", F.explode(classes).alias("unit_key"))
+        .withColumn("_n", F.row_number().over(first))
+        .where(F.col("_n") <= k)
+        .drop("_n")
+    )
+
+
 def _unit_classes(unit: Column) -> Column:
     """Line units an item of this unit is compatible with; without unit, all of them."""
     lump = F.array(*[F.lit(u) for u in LUMP_UNITS])
@@ -90,21 +106,18 @@ def match_alternatives(
     exact without scoring every pair. What is then still missing is filled with compatible items
     of no resemblance, by id, and after those with the most similar incompatible ones.
     """
-    active = items.where(F.col("active"))
-    per_class = active.select(
-        "item_id", "label_norm", F.explode(_unit_classes(F.col("item_unit"))).alias("unit_key")
+    active = items.where(F.col("active")).select(
+        "item_id", "item_unit", F.col("label_norm").alias("label")
     )
-    first = Window.partitionBy("label_norm", "unit_key").orderBy("item_id")
-    # copies of a label are interchangeable: the first k+1 ids are enough
-    pool = materialized(
-        per_class.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1).drop("_n")
+    per_class = active.select(
+        "item_id", F.explode(_unit_classes(F.col("item_unit"))).alias("unit_key")
     )
     wordings = materialized(
         pending.select(
             "search_text", F.coalesce("unit", F.lit(NO_UNIT)).alias("unit_key")
         ).distinct()
     )
-    found = _nearest(wordings, pool, k + 1, thresholds)
+    found = _nearest(wordings, _pool(active, k + 1), k + 1, thresholds)
     counted = found.groupBy("search_text", "unit_key").agg(F.count(F.lit(1)).alias("have"))
     short = wordings.join(counted, ["search_text", "unit_key"], "left").where(
         F.coalesce("have", F.lit(0)) < k + 1
@@ -124,8 +137,8 @@ def match_alternatives(
     ranked = found.withColumn("ok", F.lit(True)).unionByName(fill.withColumn("ok", F.lit(True)))
     if not _enough_everywhere(per_class, k + 1):
         anyone = _nearest(
-            wordings.select("search_text", F.lit("*").alias("unit_key")).distinct(),
-            pool.select("item_id", "label_norm").distinct().withColumn("unit_key", F.lit("*")),
+            wordings.select("search_text", F.lit(ANY_UNIT).alias("unit_key")).distinct(),
+            _pool(active, 3 * (k + 1), by_unit=False),
             3 * (k + 1),
             thresholds,
         ).drop("unit_key")
@@ -166,19 +179,19 @@ def _nearest(
     """
     result = None
     remaining = wordings
-    labels = text_side(pool, "label_norm", F.col("unit_key"))
+    labels = text_side(pool, "label", F.col("unit_key"))
     best = Window.partitionBy("search_text", "unit_key").orderBy(F.col("score").desc(), "item_id")
     for position, threshold in enumerate(thresholds):
         pairs = trigram_join(
             text_side(remaining, "search_text", F.col("unit_key")), labels, threshold
         ).select(
             F.col("left_id").alias("search_text"),
-            F.col("right_id").alias("label_norm"),
+            F.col("right_id").alias("label"),
             F.col("block").alias("unit_key"),
             "score",
         )
         top = materialized(
-            pairs.join(pool, ["label_norm", "unit_key"])
+            pairs.join(pool, ["label", "unit_key"])
             .withColumn("_r", F.row_number().over(best))
             .where(F.col("_r") <= k)
             .select("search_text", "unit_key", "item_id", "score")
@@ -190,7 +203,7 @@ def _nearest(
         result = done if result is None else result.unionByName(done)
         if last:
             break
-        remaining = materialized(remaining.join(full, ["search_text", "unit_key"], "left_anti"))
+        remaining = remaining.join(full, ["search_text", "unit_key"], "left_anti")
         if remaining.isEmpty():
             break
     return result

@@ -75,6 +75,12 @@ def item_ids_by_wording(linked_texts: DataFrame, terms: list[str], threshold: fl
     return pairs.join(found, "search_text").select("term", "item_id").distinct()
 
 
+def computed_once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds costly columns behind an unfolded array, so that later filters do not repeat them."""
+    packed = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return rows.select("*", F.inline(F.array(packed)))
+
+
 def score_items(
     items: DataFrame,
     linked_texts: DataFrame,
@@ -83,7 +89,8 @@ def score_items(
 ) -> DataFrame:
     """Active items eligible for each term, with their score.
 
-    The normalised label is compared as stored, not unaccented.
+    The normalised label is compared as stored, not unaccented. Rows that cannot pass (no literal
+    hit, too few shared trigrams) leave before any similarity is computed.
     """
     print_threshold, norm_threshold, line_threshold = thresholds
     rows = with_terms(
@@ -93,29 +100,38 @@ def score_items(
         .withColumn("_seq_norm", trigram_sequence(F.col("label_norm"))),
         terms,
     )
-    code_hit = F.contains(F.lower("code"), F.lower("term"))
-    direct = (
-        F.coalesce(code_hit, F.lit(False))
+    grams = F.col("term_grams")
+    code_hit = F.coalesce(F.contains(F.lower("code"), F.lower("term")), F.lit(False))
+    literal = (
+        code_hit
         | F.contains("_print", "plain")
         | F.contains(search_text(F.col("label_norm")), F.col("plain"))
-        | resembles(F.col("_seq_print"), print_threshold)
-        | resembles(F.col("_seq_norm"), norm_threshold)
     )
     by_wording = item_ids_by_wording(linked_texts, terms, line_threshold).withColumn(
         "_worded", F.lit(True)
     )
-    eligible = rows.join(by_wording, ["term", "item_id"], "left").where(
-        F.col("_worded") | direct
+    possible = rows.join(by_wording, ["term", "item_id"], "left").where(
+        F.col("_worded")
+        | literal
+        | shares_enough(grams, F.col("_seq_print"), print_threshold)
+        | shares_enough(grams, F.col("_seq_norm"), norm_threshold)
     )
-    grams = F.col("term_grams")
-    score = F.greatest(
-        F.when(code_hit, 1.0).otherwise(0.0),
-        word_similarity(grams, F.col("_seq_print")),
-        word_similarity(grams, F.col("_seq_norm")),
-        jaccard(grams, F.array_distinct("_seq_print")),
+    measured = computed_once(
+        possible,
+        _in_print=word_similarity(grams, F.col("_seq_print")),
+        _in_norm=word_similarity(grams, F.col("_seq_norm")),
+        _sure=F.coalesce("_worded", F.lit(False)) | literal,
+        _code=F.when(code_hit, 1.0).otherwise(0.0),
+        _whole=jaccard(grams, F.array_distinct("_seq_print")),
     )
-    return eligible.withColumn("score", score).drop(
-        "_worded", "_print", "_seq_print", "_seq_norm", "plain", "term_grams"
+    return (
+        measured.where(
+            F.col("_sure")
+            | (F.col("_in_print") > print_threshold)
+            | (F.col("_in_norm") > norm_threshold)
+        )
+        .withColumn("score", F.greatest("_code", "_in_print", "_in_norm", "_whole"))
+        .select("term", *items.columns, "score")
     )
 
 
@@ -161,10 +177,6 @@ def client_search(
         terms,
     )
     grams = F.col("term_grams")
-    whole = jaccard(grams, F.array_distinct("_seq"))
-    direct = (
-        F.contains("_name", "plain") | resembles(F.col("_seq"), CLIENT_WORD) | (whole > CLIENT_WHOLE)
-    )
     spelled = (
         with_terms(
             aliases.withColumn("_seq", trigram_sequence(search_text(F.col("alias")))), terms
@@ -174,10 +186,25 @@ def client_search(
         .distinct()
         .withColumn("_spelled", F.lit(True))
     )
+    known = rows.join(spelled, ["term", "client_id"], "left")
+    shared = F.size(F.array_intersect(grams, "_seq"))
+    possible = (
+        F.col("_spelled")
+        | F.contains("_name", "plain")
+        | (shared >= CLIENT_WORD * F.size(grams))
+        | (shared > CLIENT_WHOLE * F.size(grams))
+    )
+    measured = computed_once(
+        known.where(possible),
+        _sure=F.coalesce("_spelled", F.lit(False)) | F.contains("_name", "plain"),
+        _word=word_similarity(grams, F.col("_seq")),
+        _whole=jaccard(grams, F.array_distinct("_seq")),
+    )
     found = (
-        rows.join(spelled, ["term", "client_id"], "left")
-        .where(F.col("_spelled") | direct)
-        .withColumn("score", half_up(F.greatest(word_similarity(grams, F.col("_seq")), whole), 6))
+        measured.where(
+            F.col("_sure") | (F.col("_word") > CLIENT_WORD) | (F.col("_whole") > CLIENT_WHOLE)
+        )
+        .withColumn("score", half_up(F.greatest("_word", "_whole"), 6))
         .select("term", "client_id", "name", "score")
     )
     totals = client_totals(documents)
