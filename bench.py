@@ -44,7 +44,6 @@ HEADLINE = (
     "orphan_queue",
     "history_lines",
     "progress_kpis",
-    "payload_lines",
     "ledger_state",
 )
 
