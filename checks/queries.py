@@ -971,7 +971,7 @@ def segment_merge_lines(m: Model) -> DataFrame:
     parsed = payloads.parse_payloads(samples.payload_segments(m))
     keys = ["document_key", "segment", "line_id"]
     lines = payloads.payload_lines(parsed, keys).withColumn("position", F.lit(1))
-    rows = payloads.merged_lines(lines, lines)
+    rows = payloads.merged_lines(lines)
     return rows.select("line_id", "document_key", whole("ord"))
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricebase.session import hot_rows
+from pricebase.session import hot_rows, materialized
 
-SALT = "_salt"
 
 
 def hot_groups(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame | None:
@@ -41,3 +40,35 @@ def count_per_key(df: DataFrame, key: str, name: str) -> DataFrame:
     """df plus the row count of its key, by an aggregate joined back (never a keyed window)."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
     return df.join(counts, key, "left")
+
+
+def running_before(
+    rows: DataFrame, key: str, order: str, value: Column, name: str
+) -> DataFrame:
+    """rows plus the sum of ``value`` over the rows of the key that come before in ``order``.
+
+    (key, order) must be unique. The rows are range-partitioned on both, so that a key of any size
+    is spread over many tasks: sums inside a part, plus the totals of the key's earlier parts. The
+    placed rows are written out once, because both steps must see the same parts.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialized(
+        rows.withColumn("_value", value)
+        .repartitionByRange(parts, key, order)
+        .withColumn("_part", F.spark_partition_id())
+    )
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy(key, "_part")
+        .agg(F.sum("_value").alias("_sum"))
+        .withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+        .drop("_sum")
+    )
+    inside = (
+        Window.partitionBy(key, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    return (
+        placed.join(offsets, [key, "_part"])
+        .withColumn(name, F.col("_offset") + F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+        .drop("_value", "_part", "_offset")
+    )

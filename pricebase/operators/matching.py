@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricebase.functions.numbers import half_up
+from pricebase.functions.skew import running_before
 from pricebase.functions.text import LUMP_UNITS, code_slug, search_text
 from pricebase.operators.trigram_join import text_side, trigram_join
 from pricebase.session import materialized
@@ -227,11 +228,12 @@ def apply_groupings(
     fresh = resolved.where(F.col("existing_item_id").isNull() & named)
     slug = code_slug(F.coalesce("code", "label_norm"))
     taken = items.select("code", F.lit(1).alias("taken")).dropDuplicates(["code"])
-    twins = Window.partitionBy("base_code").orderBy("group_id")
+    numbered = running_before(
+        fresh.withColumn("base_code", slug), "base_code", "group_id", F.lit(1), "_twins"
+    )
     coded = (
-        fresh.withColumn("base_code", slug)
-        .join(taken.withColumnRenamed("code", "base_code"), "base_code", "left")
-        .withColumn("_n", F.row_number().over(twins) + F.coalesce("taken", F.lit(0)))
+        numbered.join(taken.withColumnRenamed("code", "base_code"), "base_code", "left")
+        .withColumn("_n", F.col("_twins") + 1 + F.coalesce("taken", F.lit(0)))
         .withColumn(
             "new_code",
             F.when(F.col("_n") == 1, F.col("base_code")).otherwise(

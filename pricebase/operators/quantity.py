@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pricebase.functions.numbers import half_up, scaled, unscaled
 from pricebase.functions.quantiles import exact_quantiles
-from pricebase.functions.skew import split_hot
+from pricebase.functions.skew import running_before, split_hot
 
 MIN_SIDE = 4
 DROP = 0.95
@@ -139,7 +139,7 @@ def quantity_threshold(
     if heavy is not None:
         counts = heavy.groupBy("item_id", "quantity", "_p").agg(F.count(F.lit(1)).alias("w"))
         sided = (
-            counts.join(_cuts(heavy), "item_id")
+            counts.join(_cuts_of_any_size(heavy), "item_id")
             .withColumn("side", F.col("quantity") >= F.col("threshold"))
             .groupBy(*keys, "side", "_p")
             .agg(F.sum("w").alias("w"))
@@ -169,6 +169,19 @@ def _cuts(rows: DataFrame) -> DataFrame:
     )
 
 
+def _cuts_of_any_size(rows: DataFrame) -> DataFrame:
+    """The same cuts, with running counts spread over many tasks per item."""
+    per_quantity = rows.groupBy("item_id", "quantity").agg(F.count(F.lit(1)).alias("c"))
+    counted = running_before(per_quantity, "item_id", "quantity", F.col("c"), "n_below")
+    totals = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_all"))
+    return (
+        counted.join(totals, "item_id")
+        .withColumn("n_above", F.col("n_all") - F.col("n_below"))
+        .where((F.col("n_below") >= MIN_SIDE) & (F.col("n_above") >= MIN_SIDE))
+        .select("item_id", F.col("quantity").alias("threshold"), "n_below", "n_above")
+    )
+
+
 def trend_lines(points: DataFrame, x: str, indexed: bool = False) -> DataFrame:
     """Least-squares line of each item with its two end points; at least three distinct points.
 

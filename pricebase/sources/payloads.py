@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricebase.functions.skew import running_before
 from pricebase.functions.text import without_nul
 
 # Document types and the attributes of a line.
@@ -157,23 +158,20 @@ def merged_headers(segments: DataFrame) -> DataFrame:
     )
 
 
-def merged_lines(lines: DataFrame, segments: DataFrame) -> DataFrame:
+def merged_lines(lines: DataFrame) -> DataFrame:
     """Lines of all parts renumbered 1..n in segment order.
 
     The number is the line's place in its segment plus the size of the segments before it, so a
-    document of any length is never sorted as a whole. ``lines``: document_key, segment, position.
+    document of any length is never sorted in one task. ``lines``: document_key, segment, position.
     """
     sizes = lines.groupBy("document_key", "segment").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy("document_key").orderBy("segment").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop(
+    offsets = running_before(sizes, "document_key", "segment", F.col("_size"), "_before").drop(
         "_size"
     )
     return (
         lines.join(offsets, ["document_key", "segment"])
-        .withColumn("ord", F.col("position") + F.col("_offset"))
-        .drop("_offset")
+        .withColumn("ord", F.col("position") + F.col("_before"))
+        .drop("_before")
     )
 
 

@@ -53,7 +53,7 @@ def test_segments_merge_in_order(spark):
     assert (head.type_document, head.numero_document, head.total_ht) == ("facture", "D-1", 9.0)
     assert (head.est_ts, head.remarques) == (False, "un | trois")
     lines = payloads.payload_lines(parsed, ["document_key", "segment"]).withColumn("position", F.col("ordre"))
-    merged = payloads.merged_lines(lines, lines)
+    merged = payloads.merged_lines(lines)
     assert [r.ord for r in merged.orderBy("segment").collect()] == [1, 2, 3]
 
 
