@@ -529,7 +529,7 @@ oracle(
       SELECT n.raw_name, (SELECT min(client_id) FROM kc WHERE upper(name) = n.raw_name) AS ac, b.sc, b.score
       FROM names n LEFT JOIN best b ON b.lx = {plain('n.raw_name')})""",
     f"""kc AS (SELECT * FROM m_clients WHERE client_id % 10 <> 3),
-  names AS (SELECT DISTINCT trim(CASE WHEN o_custkey % 10 = 3 THEN 'Foncia ' || {client_name('o_custkey + 1000003 * 17 + 5')} WHEN o_orderkey % 4 = 0 THEN {RAWNAME}
+  names AS (SELECT DISTINCT trim(CASE WHEN o_custkey % 10 = 3 THEN 'Agence ' || {client_name('o_custkey + 1000003 * 17 + 5')} WHEN o_orderkey % 4 = 0 THEN {RAWNAME}
       WHEN o_orderkey % 4 = 1 THEN upper({RAWNAME}) WHEN o_orderkey % 4 = 2 THEN {RAWNAME} || 's' ELSE replace({RAWNAME}, 'e', 'é') END) AS raw_name FROM orders),
   lt AS (SELECT {plain('raw_name')} AS x FROM names), rt AS (SELECT {plain('name')} AS x, min(client_id) AS client_id FROM kc GROUP BY 1),
   {posting_pairs('lt', 'rt', 0.55)},

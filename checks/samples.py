@@ -97,7 +97,7 @@ def raw_client_names(m: Model) -> DataFrame:
     name = client_name(key)
     n = F.pmod(F.col("o_orderkey"), F.lit(4))
     printed = (
-        F.when(F.pmod(key, F.lit(10)) == 3, F.concat(F.lit("Foncia "), client_name(key + 1000003 * 17 + 5)))
+        F.when(F.pmod(key, F.lit(10)) == 3, F.concat(F.lit("Agence "), client_name(key + 1000003 * 17 + 5)))
         .when(n == 0, name)
         .when(n == 1, F.upper(name))
         .when(n == 2, F.concat(name, F.lit("s")))
