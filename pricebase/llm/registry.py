@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pricebase.llm import exact_dedup, sharding, url_filter
+from pricebase.llm import byte_bpe, exact_dedup, packing, sharding, url_filter
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -27,6 +29,22 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages", "page_id", "url"), rules)
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents", "doc_id", "text"), path, pattern)
+    return byte_bpe.decode(encoded, path, pattern).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), path, pattern, 2048)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"), keep="largest")
 
@@ -37,6 +55,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_packing": op3_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_sharding": op9_sharding,
 }
