@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricebase.llm import byte_bpe, exact_dedup, packing, sharding, url_filter
+from pricebase.llm import byte_bpe, exact_dedup, packing, quality, sharding, url_filter
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -45,6 +45,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), path, pattern, 2048)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    trees = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, trees).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"), keep="largest")
 
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_packing": op3_packing,
+    "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_sharding": op9_sharding,
 }
