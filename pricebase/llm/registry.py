@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricebase.llm import byte_bpe, exact_dedup, ngram_join, packing, quality, sharding, url_filter
+from pricebase.llm import byte_bpe, exact_dedup, html_text, license_scan, ngram_join, packing, quality, sharding, url_filter
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -45,6 +45,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), path, pattern, 2048)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     trees = quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -55,6 +59,20 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"), keep="largest")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    best = F.array_max(F.transform("notices", lambda n: F.struct(n["coverage"], n["matched_words"], -n["first_word"], n["license"], n["last_word"])))
+    return found.select(
+        "doc_id",
+        F.size("notices").alias("n_notices"),
+        F.array_join(F.array_sort(F.array_distinct("notices.license")), ",").alias("licenses"),
+        best["license"].alias("license"),
+        best["coverage"].alias("coverage"),
+        (-best["col3"]).alias("first_word"),
+        best["last_word"].alias("last_word"),
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_table(spark, sf_dir, "documents", "doc_id", "text"), 16)
 
@@ -67,8 +85,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_packing": op3_packing,
+    "op4_html_text": op4_html_text,
     "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_sharding": op9_sharding,
     "op10_ngram_join": op10_ngram_join,
 }
