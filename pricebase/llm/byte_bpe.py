@@ -11,7 +11,8 @@ Decoding reverses the byte table; a character split between tokens is whole agai
 part of one alone becomes U+FFFD in text. Offsets count characters: a token that holds part of a character covers it.
 
 Defined results: a null text is empty and has no ids; null ids or elements decode to no bytes; an id outside the vocabulary
-decodes to U+FFFD; texts are never cut; repeated rows are encoded separately; further columns pass through unread.
+decodes to U+FFFD; texts are never cut; repeated rows are encoded separately; further columns pass through unread, and are
+replaced if they are named like an added one.
 """
 
 from __future__ import annotations
@@ -206,8 +207,9 @@ def encode(
 ) -> DataFrame:
     """All columns but the text, then the ids and, if asked for, ``starts`` and ``ends`` (characters of every token)."""
     prepared(docs.sparkSession)
-    rows = docs.select(*[c for c in docs.columns if c != text_col], F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
     added = [ids_col, "starts", "ends"] if offsets else [ids_col]
+    others = [c for c in docs.columns if c not in (text_col, *added)]
+    rows = docs.select(*others, F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
     fields = [f for f in rows.schema.fields if f.name != text_col]
     schema = StructType(fields + [StructField(n, ArrayType(IntegerType())) for n in added])
 
@@ -234,6 +236,7 @@ def decode(
     """All columns, then the decoded bytes and, if named, the text."""
     prepared(rows.sparkSession)
     added = [(bytes_col, BinaryType())] * bool(bytes_col) + [(text_col, StringType())] * bool(text_col)
+    rows = rows.drop(*[n for n, _ in added])
     schema = StructType(rows.schema.fields + [StructField(n, k) for n, k in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,9 +114,10 @@ def exact_duplicates(
 
 def without_duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` (columns unchanged) that stay."""
-    kept = exact_duplicates(docs, keep=keep).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    kept = exact_duplicates(docs, keep=keep).where("kept")
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    joined = docs.withColumn("_own", sha).join(
-        kept, F.col("_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_sha") == F.col("_own")), "left_semi"
+    joined = docs.withColumn("__own", sha).join(
+        kept, F.col("__id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__sha") == F.col("__own")), "left_semi"
     )
-    return joined.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    return joined.dropDuplicates(["doc_id", "__own"]).drop("__own")

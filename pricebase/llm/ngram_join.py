@@ -391,5 +391,5 @@ def ngram_components(
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their component, and those without id; columns unchanged."""
-    kept = ngram_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").union(docs.where("doc_id is null"))
+    kept = ngram_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").unionAll(docs.where("doc_id is null"))

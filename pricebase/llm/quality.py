@@ -194,11 +194,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Tree
     return fit(x[order], (sample["y"].to_numpy() > 0).astype(float)[order])
 
 
-def score(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs``, then ``score`` and ``predicted``."""
+def score(
+    docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, score_col: str = "score", predicted_col: str = "predicted"
+) -> DataFrame:
+    """All columns of ``docs``, then the score and the prediction."""
     prepared(docs.sparkSession)
-    fields = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    schema = StructType(fields + [StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    fields = [f for f in docs.schema.fields if f.name not in (score_col, predicted_col)]
+    schema = StructType(fields + [StructField(score_col, DoubleType()), StructField(predicted_col, IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,3 +217,9 @@ def score(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFr
 def remainder(doc_id: object) -> int:
     """crc32 of the id as text, modulo 5: 0 is held out."""
     return zlib.crc32(str(doc_id).encode()) % 5
+
+
+def good_documents(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, that are predicted to be good."""
+    scored = score(docs, trees, threshold, "__score", "__predicted")
+    return scored.where("__predicted = 1").drop("__score", "__predicted")

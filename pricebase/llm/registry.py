@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricebase.llm import byte_bpe, exact_dedup, html_text, license_scan, ngram_join, packing, quality, sharding, url_filter
+from pricebase.llm import byte_bpe, exact_dedup, html_text, license_scan, ngram_join, order_minhash, packing, quality, sharding, url_filter
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -59,6 +59,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"), keep="largest")
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_fingerprints(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(_table(spark, sf_dir, "documents", "doc_id", "text"))
     best = F.array_max(F.transform("notices", lambda n: F.struct(n["coverage"], n["matched_words"], -n["first_word"], n["license"], n["last_word"])))
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_text": op4_html_text,
     "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_order_minhash": op7_order_minhash,
     "op8_license_scan": op8_license_scan,
     "op9_sharding": op9_sharding,
     "op10_ngram_join": op10_ngram_join,
