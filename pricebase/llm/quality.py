@@ -106,7 +106,7 @@ class Trees:
 
 def fit(x: np.ndarray, y: np.ndarray) -> Trees:
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return _flattened(math.log((share * 0.98 + 0.01) / (1 - share * 0.98 - 0.01)), [])
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], 1)
