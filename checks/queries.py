@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from checks import samples
 from pricebase.functions.numbers import half_up
-from pricebase.functions.skew import hot_groups
 from pricebase.functions.text import is_administrative
 from pricebase.operators import (
     cooccurrence as cooc,
@@ -58,17 +57,6 @@ def base(m: Model, zoned: bool = True) -> DataFrame:
     )
 
 
-def hot_items(m: Model) -> DataFrame | None:
-    """Items with too many linked lines for one task (none is proven by the row count alone)."""
-    rows = m.table("lineitem").select(F.col("l_partkey").alias("item_id"))
-    return hot_groups(rows, ["item_id"])
-
-
-def wide_items(m: Model) -> DataFrame | None:
-    rows = m.table("lineitem").select(F.col("l_partkey").alias("item_id"))
-    return hot_groups(rows, ["item_id"], quantity.FEW_POINTS)
-
-
 def zoned_base(m: Model) -> DataFrame:
     """Aggregable lines with the code of their zone, for zone filters."""
     zones = F.broadcast(m.zones().select("zone_id", "zone_code"))
@@ -127,7 +115,7 @@ def quantity_points(m: Model) -> DataFrame:
 
 @query
 def price_stats_levels(m: Model) -> DataFrame:
-    rows = stats.price_stats_levels(base(m), hot_items(m))
+    rows = stats.price_stats_levels(base(m))
     return rows.select(
         "item_id", text("is_extra"), number("zone_id"), "level", "n", "n_documents", "price_min",
         "price_max", "price_mean", "price_p25", "price_median", "price_p75", "price_stddev",
@@ -139,31 +127,31 @@ def price_stats_levels(m: Model) -> DataFrame:
 @query
 def price_stats_filtered(m: Model) -> DataFrame:
     f = PriceFilters(since=PERIOD.since, until=PERIOD.until, zones=PERIOD.zones, work_type="normal")
-    rows = stats.price_stats(zoned_base(m), ["item_id"], f, hot_items(m))
+    rows = stats.price_stats(zoned_base(m), ["item_id"], f)
     return rows.withColumn("zone_always_reliable", text("zone_always_reliable"))
 
 
 @query
 def stats_by_zone(m: Model) -> DataFrame:
-    return stats.stats_by_zone(base(m), m.zones(), hot=hot_items(m))
+    return stats.stats_by_zone(base(m), m.zones())
 
 
 @query
 def line_outliers(m: Model) -> DataFrame:
     rows = base(m, zoned=False)
-    return stats.line_outliers(rows, stats.price_stats(rows, ["item_id"], hot=hot_items(m)))
+    return stats.line_outliers(rows, stats.price_stats(rows, ["item_id"]))
 
 
 @query
 def display_bounds(m: Model) -> DataFrame:
     return stats.display_bounds(
-        stats.price_stats(base(m, zoned=False), ["item_id"], hot=hot_items(m))
+        stats.price_stats(base(m, zoned=False), ["item_id"])
     )
 
 
 @query
 def common_scale(m: Model) -> DataFrame:
-    by_type = stats.price_stats(base(m, zoned=False), ["item_id", "is_extra"], hot=hot_items(m))
+    by_type = stats.price_stats(base(m, zoned=False), ["item_id", "is_extra"])
     return stats.common_scale(by_type)
 
 
@@ -174,13 +162,13 @@ def deduced_zone_documents(m: Model) -> DataFrame:
 
 @query
 def compare_by_year(m: Model) -> DataFrame:
-    rows = stats.compare_by_year(base(m, zoned=False), (1996, 1997, 1998), hot_items(m))
+    rows = stats.compare_by_year(base(m, zoned=False), (1996, 1997, 1998))
     return rows.select("item_id", whole("year"), "n", "price_median", "indexed_median", "reliability")
 
 
 @query
 def compare_by_work_type(m: Model) -> DataFrame:
-    return stats.compare_by_work_type(base(m, zoned=False), hot_items(m))
+    return stats.compare_by_work_type(base(m, zoned=False))
 
 
 GRID_COLUMNS = (
@@ -201,7 +189,7 @@ def _grid_columns(rows: DataFrame, *more: str) -> DataFrame:
 @query
 def price_grid(m: Model) -> DataFrame:
     return _grid_columns(
-        grid.price_grid(base(m, zoned=False), categorised(m), hot=hot_items(m))
+        grid.price_grid(base(m, zoned=False), categorised(m))
     )
 
 
@@ -212,14 +200,14 @@ def price_grid_filtered(m: Model) -> DataFrame:
         until=PERIOD.until, work_type="normal", min_n=4, min_reliability="moyenne", indexed=True,
     )
     return _grid_columns(
-        grid.price_grid(zoned_base(m), categorised(m), m.categories(), f, hot_items(m))
+        grid.price_grid(zoned_base(m), categorised(m), m.categories(), f)
     )
 
 
 @query
 def price_grid_page(m: Model) -> DataFrame:
     f = PriceFilters(include_unpriced=True)
-    rows = grid.price_grid(base(m, zoned=False), categorised(m), filters=f, hot=hot_items(m))
+    rows = grid.price_grid(base(m, zoned=False), categorised(m), filters=f)
     second = page_with_total(rows, grid.grid_order("price", ascending=False), 2, 50)
     return _grid_columns(second, "total_rows")
 
@@ -227,7 +215,7 @@ def price_grid_page(m: Model) -> DataFrame:
 @query
 def csv_export_rows(m: Model) -> DataFrame:
     return export.csv_rows(
-        grid.price_grid(base(m, zoned=False), categorised(m), hot=hot_items(m))
+        grid.price_grid(base(m, zoned=False), categorised(m))
     )
 
 
@@ -236,13 +224,13 @@ def csv_export_rows(m: Model) -> DataFrame:
 
 @query
 def site_fees(m: Model) -> DataFrame:
-    return fees.site_fees(m.linked_lines(), m.documents(zoned=False), m.items(), hot_items(m))
+    return fees.site_fees(m.linked_lines(), m.documents(zoned=False), m.items())
 
 
 @query
 def fee_listing(m: Model) -> DataFrame:
     rows = fees.fee_listing(
-        fees.site_fees(m.linked_lines(), m.documents(zoned=False), m.items(), hot_items(m)),
+        fees.site_fees(m.linked_lines(), m.documents(zoned=False), m.items()),
         m.items(),
     )
     return rows.withColumn("normal_n", number("normal_n")).withColumn("extra_n", number("extra_n"))
@@ -255,9 +243,7 @@ def point_series(m: Model) -> DataFrame:
 
 @query
 def quantity_threshold(m: Model) -> DataFrame:
-    return quantity.quantity_threshold(
-        views.quantity_points(base(m, zoned=False)), hot=hot_items(m), wide=wide_items(m)
-    )
+    return quantity.quantity_threshold(views.quantity_points(base(m, zoned=False)))
 
 
 @query

@@ -5,20 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricebase.functions.joins import null_safe_join
 from pricebase.functions.numbers import half_up, scaled, unscaled
-from pricebase.functions.quantiles import exact_quantiles
-from pricebase.functions.skew import split_hot
 
-MEDIAN = {"p50": 0.5}
 
-
-def site_fees(
-    linked: DataFrame, documents: DataFrame, items: DataFrame, hot: DataFrame | None = None
-) -> DataFrame:
+def site_fees(linked: DataFrame, documents: DataFrame, items: DataFrame) -> DataFrame:
     """Amounts and shares per lump-sum item and work type.
 
     Titles, prices and the lump flag of the line play no part; lines without amount count in n.
+    Lines with equal amount and share are counted first, so that the medians of an item with any
+    number of lines see each value once per task.
     """
     lump = items.where(F.col("is_lump")).select("item_id")
     rows = (
@@ -34,29 +29,24 @@ def site_fees(
         .withColumn("_amount", scaled(F.col("total"), 2))
     )
     keys = ["item_id", "is_extra"]
-    additive = [
-        F.count(F.lit(1)).alias("n"),
+    counted = rows.groupBy(*keys, "_amount", "_share").agg(
+        F.count(F.lit(1)).alias("_lines"),
         F.count("total").alias("_n"),
         F.sum("total").alias("_sum"),
         F.sum("_share").alias("_shares"),
         F.min("document_total").alias("_lo"),
         F.max("document_total").alias("_hi"),
-    ]
-    ordinary, heavy = split_hot(rows, hot, ["item_id"])
-    block = ordinary.groupBy(*keys).agg(
-        *additive,
-        F.percentile("_amount", F.lit(0.5)).alias("_amount"),
-        F.percentile("_share", F.lit(0.5)).alias("_median_share"),
     )
-    if heavy is not None:
-        found = null_safe_join(
-            exact_quantiles(heavy, keys, "_amount", {"_amount": 0.5}),
-            exact_quantiles(heavy, keys, "_share", {"_median_share": 0.5}),
-            keys,
-        )
-        block = block.unionByName(
-            null_safe_join(heavy.groupBy(*keys).agg(*additive), found, keys)
-        )
+    block = counted.groupBy(*keys).agg(
+        F.sum("_lines").alias("n"),
+        F.sum("_n").alias("_n"),
+        F.sum("_sum").alias("_sum"),
+        F.sum("_shares").alias("_shares"),
+        F.min("_lo").alias("_lo"),
+        F.max("_hi").alias("_hi"),
+        F.percentile("_amount", F.lit(0.5), F.col("_lines")).alias("_amount"),
+        F.percentile("_share", F.lit(0.5), F.col("_lines")).alias("_median_share"),
+    )
     return block.select(
         *keys,
         "n",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricebase.functions.text import search_text
+from pricebase.operators.search import grid_search
 from pricebase.operators.stats import finished_block, raw_block
 from pricebase.operators.tree import descendants
 from pricebase.plans.filters import RELIABILITY_ORDER, PriceFilters
@@ -25,7 +26,10 @@ def _rank(reliability: Column) -> Column:
 
 
 def chosen_items(
-    items: DataFrame, categories: DataFrame | None, filters: PriceFilters
+    items: DataFrame,
+    categories: DataFrame | None,
+    filters: PriceFilters,
+    linked_texts: DataFrame | None = None,
 ) -> DataFrame:
     """Active items that pass the item-side filters (a category includes its descendants)."""
     kept = items.where(F.col("active"))
@@ -36,9 +40,13 @@ def chosen_items(
     if filters.category_id is not None:
         if filters.with_subcategories:
             subtree = descendants(categories, filters.category_id)
-            kept = kept.join(F.broadcast(subtree), "category_id", "left_semi")
+            kept = kept.join(subtree, "category_id", "left_semi")
         else:
             kept = kept.where(F.col("category_id") == filters.category_id)
+    if filters.search and filters.search.strip():
+        if linked_texts is None:
+            raise ValueError("a search needs the wordings of the linked lines")
+        kept = kept.join(grid_search(items, linked_texts, filters.search), "item_id", "left_semi")
     return kept
 
 
@@ -47,15 +55,15 @@ def price_grid(
     items: DataFrame,
     categories: DataFrame | None = None,
     filters: PriceFilters | None = None,
-    hot: DataFrame | None = None,
+    linked_texts: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per item. The work-type filter only drops items lacking that side."""
+    """One row per item; a search needs the linked wordings. The work-type filter only drops items lacking that side."""
     f = filters or PriceFilters()
-    kept = chosen_items(items, categories, f)
+    kept = chosen_items(items, categories, f, linked_texts)
     rows = base.where(f.row_condition())
-    if f.units or f.category_id is not None:
+    if f.units or f.category_id is not None or f.search:
         rows = rows.join(kept.select("item_id"), "item_id", "left_semi")
-    by_type = finished_block(raw_block(rows, ["item_id", "is_extra"], hot), ["item_id", "is_extra"])
+    by_type = finished_block(raw_block(rows, ["item_id", "is_extra"]), ["item_id", "is_extra"])
 
     def pick(column: str, extra: bool) -> Column:
         return F.max(F.when(F.col("is_extra") == extra, F.col(column)))

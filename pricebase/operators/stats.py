@@ -5,69 +5,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricebase.functions.joins import null_safe_join
 from pricebase.functions.numbers import half_up, percent_gap, scaled, unscaled
-from pricebase.functions.quantiles import exact_quantiles
-from pricebase.functions.skew import split_hot
 from pricebase.plans.filters import PriceFilters
 
-QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+QUARTILES = (0.25, 0.5, 0.75)
 
 
-def _prepared(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_price", scaled(F.col("unit_price"))).withColumn(
-        "_indexed", scaled(F.col("price_indexed"))
+def counted_lines(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Line counts per key, price and indexed price, and one row without lines per key and document.
+
+    Statistics need no more than that. The shuffle is spread by prices and documents, so it does not
+    matter how many lines a key has, and documents are counted without a distinct aggregate.
+    """
+    price, indexed = scaled(F.col("unit_price")), scaled(F.col("price_indexed"))
+    none = F.lit(None)
+    reliable = F.col("zone_reliable") if "zone_reliable" in rows.columns else none.cast("boolean")
+    line = F.struct(
+        none.cast("bigint").alias("_document"), price.alias("_price"), indexed.alias("_indexed"),
+        F.lit(1).alias("_one"), F.col("quantity").alias("_quantity"), F.col("document_date").alias("_date"),
+        reliable.alias("_reliable"),
+    )
+    document = F.struct(
+        F.col("document_id").cast("bigint").alias("_document"), none.cast("bigint").alias("_price"),
+        none.cast("bigint").alias("_indexed"), F.lit(0).alias("_one"),
+        none.cast(rows.schema["quantity"].dataType).alias("_quantity"),
+        none.cast(rows.schema["document_date"].dataType).alias("_date"), none.cast("boolean").alias("_reliable"),
+    )
+    return (
+        rows.select(*keys, F.inline(F.array(line, document)))
+        .groupBy(*keys, "_document", "_price", "_indexed")
+        .agg(
+            F.sum("_one").alias("_lines"),
+            F.sum("_quantity").alias("_quantity"),
+            F.min("_date").alias("_first"),
+            F.max("_date").alias("_last"),
+            F.every("_reliable").alias("_reliable"),
+        )
     )
 
 
-def _additive(rows: DataFrame) -> list[Column]:
-    """Aggregates whose partial results combine before the shuffle."""
-    reliable = (
-        F.every("zone_reliable") if "zone_reliable" in rows.columns else F.lit(None).cast("boolean")
-    )
+def _figures() -> list[Column]:
+    """The raw block out of counted lines; sums are exact decimals."""
+    lines, probabilities = F.col("_lines"), F.array(*[F.lit(p) for p in QUARTILES])
+
+    def total(value: str) -> Column:
+        return F.sum(F.col(value).cast("decimal(18,0)") * lines)
+
+    priced = F.sum(F.when(F.col("_price").isNotNull(), lines))
+    squares = F.sum((F.col("_price").cast("decimal(18,0)") * F.col("_price").cast("decimal(18,0)")).cast("decimal(38,0)") * lines)
+    mean = (total("_price").cast("decimal(28,0)") / priced.cast("decimal(18,0)")).cast("decimal(28,6)")
+    deviations = squares.cast("double") - (total("_price").cast("decimal(28,0)") * mean).cast("double")
+    spread = F.sqrt(F.greatest(deviations, F.lit(0.0)) / (priced - 1)) / 10_000.0
     return [
-        F.count(F.lit(1)).alias("n"),
-        F.count_distinct("document_id").alias("n_documents"),
+        F.sum(lines).alias("n"),
+        F.count("_document").alias("n_documents"),
         F.min("_price").alias("_min"),
         F.max("_price").alias("_max"),
-        F.sum("unit_price").alias("_sum"),
-        F.stddev_samp(F.col("unit_price").cast("double")).alias("_stddev"),
+        (total("_price").cast("double") / 10_000.0).alias("_sum"),
+        F.when(priced > 1, spread).alias("_stddev"),
         F.min("_indexed").alias("_min_indexed"),
         F.max("_indexed").alias("_max_indexed"),
-        F.sum("price_indexed").alias("_sum_indexed"),
-        F.min("document_date").alias("first_date"),
-        F.max("document_date").alias("last_date"),
-        F.sum("quantity").alias("_quantity"),
-        reliable.alias("zone_always_reliable"),
+        (total("_indexed").cast("double") / 10_000.0).alias("_sum_indexed"),
+        F.min("_first").alias("first_date"),
+        F.max("_last").alias("last_date"),
+        F.sum("_quantity").alias("_quantity"),
+        F.every("_reliable").alias("zone_always_reliable"),
+        F.percentile("_price", probabilities, lines).alias("_q"),
+        F.percentile("_indexed", probabilities, lines).alias("_qi"),
     ]
 
 
-def _percentiles() -> list[Column]:
-    probabilities = F.array(*[F.lit(p) for p in QUARTILES.values()])
-    return [
-        F.percentile("_price", probabilities).alias("_q"),
-        F.percentile("_indexed", probabilities).alias("_qi"),
-    ]
-
-
-def _hot_block(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The same raw block for groups too large for one task."""
-    block = rows.groupBy(*keys).agg(*_additive(rows))
-    for column, target in (("_price", "_q"), ("_indexed", "_qi")):
-        found = exact_quantiles(rows, keys, column, QUARTILES)
-        found = found.select(*keys, F.array(*QUARTILES).alias(target))
-        block = null_safe_join(block, found, keys)
-    return block
-
-
-def raw_block(rows: DataFrame, keys: list[str], hot: DataFrame | None = None) -> DataFrame:
-    """Unrounded statistics per key. ``hot`` lists the item ids with too many lines for one task."""
-    rows = _prepared(rows)
-    ordinary, heavy = split_hot(rows, hot, ["item_id"])
-    block = ordinary.groupBy(*keys).agg(*_additive(ordinary), *_percentiles())
-    if heavy is None:
-        return block
-    return block.unionByName(_hot_block(heavy, keys))
+def raw_block(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Unrounded statistics per key."""
+    return counted_lines(rows, keys).groupBy(*keys).agg(*_figures())
 
 
 def reliability(n: Column, variation: Column) -> Column:
@@ -118,12 +128,11 @@ def price_stats(
     base: DataFrame,
     keys: list[str],
     filters: PriceFilters | None = None,
-    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Filtered statistics per key, computed on the fly."""
     chosen = filters or PriceFilters()
     rows = base.where(chosen.row_condition(work_type=True))
-    return finished_block(raw_block(rows, keys, hot), keys)
+    return finished_block(raw_block(rows, keys), keys)
 
 
 def values(stats: DataFrame, indexed: bool) -> DataFrame:
@@ -133,37 +142,21 @@ def values(stats: DataFrame, indexed: bool) -> DataFrame:
     return stats.select("*", *picks)
 
 
-def price_stats_levels(base: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def price_stats_levels(base: DataFrame) -> DataFrame:
     """Three granularities in one pass: per zone, per work type, all together.
 
     The level comes from the grouping set, never from NULLs: a zone may really be unknown.
-    Levels overlap, so readers must pick one (``at_level``).
+    Levels overlap, so readers must pick one (``at_level``). A document has one zone and one work
+    type, so that its row at the finest level counts at every level.
     """
-    rows = _prepared(base)
-    ordinary, heavy = split_hot(rows, hot, ["item_id"])
     level = (
         F.when(F.grouping("zone_id") == 0, "zone")
         .when(F.grouping("is_extra") == 0, "type")
         .otherwise("global")
     )
-    sets = [["item_id", "is_extra", "zone_id"], ["item_id", "is_extra"], ["item_id"]]
-    block = ordinary.groupingSets(sets, "item_id", "is_extra", "zone_id").agg(
-        level.alias("level"), *_additive(ordinary), *_percentiles()
-    )
-    if heavy is not None:
-        none_zone = F.lit(None).cast(base.schema["zone_id"].dataType)
-        none_extra = F.lit(None).cast("boolean")
-        levels = [("zone", F.col("is_extra"), F.col("zone_id")),
-                  ("type", F.col("is_extra"), none_zone), ("global", none_extra, none_zone)]
-        exploded = heavy.withColumn(
-            "_level",
-            F.explode(F.array(*[
-                F.struct(F.lit(name).alias("level"), e.alias("is_extra"), z.alias("zone_id"))
-                for name, e, z in levels
-            ])),
-        ).drop("is_extra", "zone_id").select("*", "_level.*")
-        keys = ["item_id", "is_extra", "zone_id", "level"]
-        block = block.unionByName(_hot_block(exploded, keys))
+    finest = ["item_id", "is_extra", "zone_id"]
+    sets = [finest, finest[:2], finest[:1]]
+    block = counted_lines(base, finest).groupingSets(sets, *finest).agg(level.alias("level"), *_figures())
     variation = F.col("_stddev") / F.nullif(_mean("_sum"), F.lit(0.0))
     return block.select(
         "item_id",
@@ -200,7 +193,6 @@ def stats_by_zone(
     base: DataFrame,
     zones: DataFrame,
     filters: PriceFilters | None = None,
-    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Every item with every zone, empty ones included, and the gap to the item's own median.
 
@@ -210,10 +202,10 @@ def stats_by_zone(
     rows = base.where(chosen.row_condition(zones=False, work_type=True))
     median = "indexed_median" if chosen.indexed else "price_median"
     per_zone = finished_block(
-        raw_block(rows.where(F.col("zone_id").isNotNull()), ["item_id", "zone_id"], hot),
+        raw_block(rows.where(F.col("zone_id").isNotNull()), ["item_id", "zone_id"]),
         ["item_id", "zone_id"],
     ).select("item_id", "zone_id", "n", "n_documents", "reliability", F.col(median).alias("median"))
-    overall = finished_block(raw_block(rows, ["item_id"], hot), ["item_id"]).select(
+    overall = finished_block(raw_block(rows, ["item_id"]), ["item_id"]).select(
         "item_id", F.col(median).alias("item_median")
     )
     # the zones are a fixed handful: hang their list on every item and unfold it
@@ -277,18 +269,16 @@ def deduced_zone_documents(base: DataFrame) -> DataFrame:
     return base.groupBy("item_id").agg(F.count_distinct(deduced).alias("n_deduced"))
 
 
-def compare_by_year(
-    base: DataFrame, years: tuple[int, ...], hot: DataFrame | None = None
-) -> DataFrame:
+def compare_by_year(base: DataFrame, years: tuple[int, ...]) -> DataFrame:
     """Statistics of every item for each of the given years."""
     dated = base.withColumn("year", F.year("document_date")).where(F.col("year").isin(*years))
     keys = ["item_id", "year"]
-    return finished_block(raw_block(dated, keys, hot), keys)
+    return finished_block(raw_block(dated, keys), keys)
 
 
-def compare_by_work_type(base: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def compare_by_work_type(base: DataFrame) -> DataFrame:
     """Normal against extra work on indexed medians, with the gap in percent."""
-    by_type = finished_block(raw_block(base, ["item_id", "is_extra"], hot), ["item_id", "is_extra"])
+    by_type = finished_block(raw_block(base, ["item_id", "is_extra"]), ["item_id", "is_extra"])
 
     def side(extra: bool, column: str) -> Column:
         return F.max(F.when(F.col("is_extra") == extra, F.col(column)))

@@ -30,11 +30,10 @@ class Catalogue:
     clients: DataFrame
     client_aliases: DataFrame
     zones: DataFrame
-    hot: DataFrame | None = None
 
     def site_fees(self, term: str = "") -> DataFrame:
         """Lump-sum items with statistics, optionally by label; normal work wins over extra."""
-        rows = fees.site_fees(self.linked, self.documents, self.items, self.hot)
+        rows = fees.site_fees(self.linked, self.documents, self.items)
         labels = self.items.where(F.col("active")).select("item_id", "label_print")
         if term:
             labels = labels.where(
@@ -74,7 +73,7 @@ class Catalogue:
     def item_stats(self, item_id: int, filters: PriceFilters | None = None) -> DataFrame:
         """Statistics of one item; no row when nothing matches."""
         rows = self.base.where(F.col("item_id") == item_id)
-        return stats.price_stats(rows, ["item_id"], filters, self.hot)
+        return stats.price_stats(rows, ["item_id"], filters)
 
     def compare_items(
         self, item_ids: list[int], dimension: str = "type", years: tuple[int, ...] = ()
@@ -82,10 +81,10 @@ class Catalogue:
         """Items side by side by 'zone', 'type' or 'year'."""
         rows = self.base.where(F.col("item_id").isin(*item_ids))
         if dimension == "zone":
-            return stats.stats_by_zone(rows, self.zones, PriceFilters(indexed=True), self.hot)
+            return stats.stats_by_zone(rows, self.zones, PriceFilters(indexed=True))
         if dimension == "type":
-            return stats.compare_by_work_type(rows, self.hot)
-        return stats.compare_by_year(rows, years, self.hot)
+            return stats.compare_by_work_type(rows)
+        return stats.compare_by_year(rows, years)
 
     def find_client(self, term: str) -> DataFrame:
         return search.client_search(

@@ -1,4 +1,6 @@
 import random
+from datetime import date
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -47,17 +49,39 @@ def test_levels_add_up(base):
     levels.unpersist()
 
 
-def test_hot_path_equals_ordinary_path(base):
-    hot = hot_groups(base, ["item_id"], 12)
-    assert hot is not None and 0 < hot.count() < base.select("item_id").distinct().count()
-    assert rows_of(stats.price_stats(base, ["item_id", "is_extra"], hot=hot)) == rows_of(
-        stats.price_stats(base, ["item_id", "is_extra"])
+def lines_of(spark, rows):
+    schema = (
+        "item_id long, document_id long, unit_price decimal(14,4), price_indexed decimal(18,4), quantity decimal(14,3), "
+        "document_date date, is_extra boolean, zone_id long, zone_reliable boolean"
     )
-    assert rows_of(stats.price_stats_levels(base, hot)) == rows_of(stats.price_stats_levels(base))
-
-
-def test_small_tables_need_no_hot_check(base):
-    assert hot_groups(base, ["item_id"], 10**9) is None
+    return spark.createDataFrame(rows, schema)
+
+
+def test_statistics_of_counted_lines_match_numpy(spark):
+    draw = random.Random(5)
+    rows = []
+    for i in range(600):
+        item, document = draw.choice([1, 1, 1, 2, 3]), draw.randint(1, 60)
+        price = Decimal(draw.choice([10, 12, 12.5, 99.9999, draw.randint(1, 9999)])).quantize(Decimal("0.0001"))
+        rows.append((item, document, price, None if item == 3 else price * 2, Decimal(1), date(2024, 1, 1 + document % 28), document % 2 == 0, document % 3 or None, None))
+    rows += [(4, None, Decimal("7.0000"), None, None, None, False, None, True)] * 3
+    got = {r.item_id: r for r in stats.price_stats(lines_of(spark, rows), ["item_id"]).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    for item, r in got.items():
+        prices = np.array([float(x[2]) for x in rows if x[0] == item])
+        assert r.n == len(prices) and r.n_documents == len({x[1] for x in rows if x[0] == item} - {None})
+        assert r.price_median == pytest.approx(np.median(prices), abs=0.006) and r.price_mean == pytest.approx(prices.mean(), abs=0.006)
+        assert r.price_stddev == pytest.approx(prices.std(ddof=1), abs=0.006)
+        if item >= 3:
+            assert r.indexed_median is None and r.indexed_mean is None
+    assert got[4].price_stddev == 0 and got[4].variation == 0
+    levels = stats.price_stats_levels(lines_of(spark, rows)).where("level = 'global'").select("item_id", "n", "n_documents", "price_median")
+    assert {(r.item_id, r.n, r.n_documents) for r in levels.collect()} == {(i, r.n, r.n_documents) for i, r in got.items()}
+
+
+def test_one_plan_without_distinct_beside_percentile(base):
+    plan = stats.price_stats_levels(base)._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan.lower() and plan.count("percentile(") >= 2
 
 
 def test_quartiles_need_four_lines(base):
@@ -96,12 +120,15 @@ def test_separate_tables_give_the_same_base(base, model):
     assert joined.exceptAll(base).count() == 0 and base.exceptAll(joined).count() == 0
 
 
-def test_fees_hot_path(model):
-    items = model.items()
-    hot = hot_groups(model.links(), ["item_id"], 25)
-    plain = fees.site_fees(model.linked_lines(), model.documents(zoned=False), items)
-    assert rows_of(fees.site_fees(model.linked_lines(), model.documents(zoned=False), items, hot)) == rows_of(plain)
-    assert plain.where((F.col("share_median") <= 0)).count() == 0
+def test_fees_keep_items_without_amounts(spark):
+    linked = spark.createDataFrame(
+        [(i, 1, 1, True, False, "ok", None) for i in range(3)] + [(9, 2, 1, True, False, "ok", Decimal("50.00"))],
+        "line_id long, item_id long, document_id long, validated boolean, excluded boolean, control string, total decimal(14,2)",
+    )
+    documents = spark.createDataFrame([(1, "valide", False, Decimal("1000.00"))], "document_id long, status string, is_extra boolean, document_total decimal(14,2)")
+    items = spark.createDataFrame([(1, True), (2, True)], "item_id long, is_lump boolean")
+    got = {r.item_id: r for r in fees.site_fees(linked, documents, items).collect()}
+    assert got[1].n == 3 and got[1].amount_median is None and got[2].share_median == 5.0
 
 
 def test_quantity_threshold_three_ways(base):
