@@ -755,6 +755,11 @@ oracle(
     "validation_status_report",
     "SELECT count(*) FILTER (validated) AS n_validated, count(*) FILTER (NOT validated) AS n_pending, (SELECT count(DISTINCT item_id) FROM m_base) AS n_priced_items FROM m_linked",
 )
+# what an undone gesture leaves behind: the links as they were
+oracle("validate_then_undo", f"SELECT {STATE} FROM m_linked")
+oracle("attach_then_undo", f"SELECT {STATE} FROM m_linked")
+oracle("merge_then_undo", "SELECT link_id, item_id, active FROM m_linked JOIN m_items USING (item_id)")
+
 JOURNAL = f"""{EV}, jo AS (SELECT event_id * 100 + ord AS seq, 'u' || user_id || '-' || ts::DATE::VARCHAR AS batch_id, link_id, item_id, event_type, ts FROM m_linked JOIN ev USING (document_id)),
   lg AS (SELECT batch_id, count(link_id) AS n, max(seq) AS last_seq, max(ts) AS latest_ts FROM jo WHERE event_type <> 'error' GROUP BY 1 ORDER BY latest_ts DESC, last_seq DESC LIMIT 200)"""
 oracle("last_gestures", "SELECT batch_id, n, last_seq FROM lg", JOURNAL)
@@ -957,3 +962,33 @@ oracle(
     """SELECT date_trunc('hour', ts)::TIMESTAMP::VARCHAR AS window_start, CASE event_type WHEN 'click' THEN 'en_attente' WHEN 'view' THEN 'extraction' WHEN 'signup' THEN 'extrait' WHEN 'purchase' THEN 'insere' ELSE 'erreur' END AS state,
     count(*) AS n FROM events GROUP BY 1, 2""",
 )
+
+# ---- grid search and the questions of an assistant: the same definitions, one object at a time -----------------------
+
+
+def only(name: str, columns: str, where: str) -> str:
+    return f"SELECT {columns} FROM ({ORACLES[name]}) AS x WHERE {where}"
+
+
+ORACLES["price_grid_search"] = only("price_grid", "*", f"item_id IN ({ORACLES['grid_search']})")
+ORACLES["tool_site_fees"] = f"""SELECT item_id, label_print, is_extra::VARCHAR AS is_extra, n, amount_median, share_median FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY is_extra) AS nth FROM ({ORACLES['site_fees']})) AS x
+    JOIN (SELECT item_id, label_print FROM ({with_prelude('SELECT * FROM m_items WHERE active')})) AS i USING (item_id)
+    WHERE nth = 1 AND contains(lower(label_print), 'large')"""
+ORACLES["tool_find_items"] = f"""SELECT rank, item_id, score, category_code, coalesce(n, 0) AS n, price_median
+    FROM ({ORACLES['item_search']}) AS x
+    JOIN ({with_prelude('SELECT item_id, category_code FROM m_items LEFT JOIN m_cats USING (category_id)')}) AS i USING (item_id)
+    LEFT JOIN (SELECT item_id, n, price_median FROM ({ORACLES['price_stats_levels']}) AS l WHERE level = 'global') AS p USING (item_id)
+    WHERE term = 'smal ring brand 7'"""
+ORACLES["tool_find_client"] = only("client_search", "*", "term = 'residence ibatlmo'")
+ORACLES["tool_item_stats"] = only("price_stats_filtered", "*", "item_id = 7")
+ORACLES["tool_compare_items"] = only("compare_by_work_type", "*", "item_id IN (7, 21, 33, 144)")
+ORACLES["tool_cooccurrences"] = only("cooccurrence_topk", "*", "item_id = 10")
+ORACLES["tool_document_lines"] = only("document_lines", "line_id, document_id, ord, quantity, total, excluded", "document_id = 70")
+oracle(
+    "tool_client_documents",
+    """SELECT document_id, number, document_date::VARCHAR AS document_date, document_total::DOUBLE AS document_total, coalesce(n_lines, 0) AS n_lines
+    FROM m_docs LEFT JOIN lcnt USING (document_id) WHERE client_id = 37 AND document_date >= DATE '1995-06-01'
+    ORDER BY m_docs.document_date DESC NULLS LAST, number DESC NULLS FIRST, document_id LIMIT 25""",
+    COUNTS,
+)

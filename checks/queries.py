@@ -27,6 +27,7 @@ from pricebase.operators import (
     tree,
 )
 from pricebase.plans import views
+from pricebase.plans.api import Catalogue
 from pricebase.plans.filters import CurationFilters, HistoryFilters, PriceFilters, page, page_with_total
 from pricebase.sources import dims, export, files, ledger, payloads
 from pricebase.sources.fixtures import Model
@@ -48,6 +49,8 @@ def query(build: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
     return build
 
 
+TOOL_ITEMS, TOOL_CLIENT, TOOL_DOCUMENT = (7, 21, 33, 144), 37, 70
+
 # ---- shared pieces ---------------------------------------------------------
 
 
@@ -219,6 +222,12 @@ def csv_export_rows(m: Model) -> DataFrame:
     )
 
 
+@query
+def price_grid_search(m: Model) -> DataFrame:
+    f = PriceFilters(search="large gaer brand 7")
+    return _grid_columns(grid.price_grid(base(m, zoned=False), categorised(m), filters=f, linked_texts=linked_texts(m)))
+
+
 # ---- fees, quantities, co-occurrence ---------------------------------------------
 
 
@@ -606,15 +615,7 @@ def auto_validation_report(m: Model) -> DataFrame:
 @query
 def attach_lines(m: Model) -> DataFrame:
     """Users attach all lines of the documents they signed up for, linked or not."""
-    events = m.table("events").where(F.col("event_type") == "signup").select(
-        F.col("event_id").alias("document_id"),
-        F.col("user_id").alias("target_item_id"),
-        F.concat(F.lit("g"), F.col("event_id").cast("string")).alias("batch_id"),
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor"),
-        F.col("ts").alias("at"),
-    )
-    commands = m.lines().select("line_id", "document_id").join(events, "document_id")
-    after, _ = curation.attach_lines(m.links(), commands)
+    after, _ = curation.attach_lines(m.links(), samples.attach_commands(m))
     return _link_state(after)
 
 
@@ -721,6 +722,33 @@ def undo_last(m: Model) -> DataFrame:
     return _link_state(after)
 
 
+@query
+def validate_then_undo(m: Model) -> DataFrame:
+    """All gestures of a bulk validation, undone from the journal it wrote: the links as they were."""
+    links, items = m.links(), m.items()
+    after, journal = curation.bulk_validate(links, samples.validation_commands(m))
+    back, _, _, _ = curation.undo_last(after, items, samples.proposals(m), journal, 1_000_000)
+    return _link_state(back)
+
+
+@query
+def attach_then_undo(m: Model) -> DataFrame:
+    """Attached lines, undone: links that did not exist before disappear again."""
+    links = m.links()
+    after, journal = curation.attach_lines(links, samples.attach_commands(m))
+    back, _, _, _ = curation.undo_last(after, m.items(), samples.proposals(m), journal, 1_000_000)
+    return _link_state(back)
+
+
+@query
+def merge_then_undo(m: Model) -> DataFrame:
+    """Merged items, undone: links and items as they were."""
+    after, items, proposals, journal = _merge(m)
+    back, on, _, _ = curation.undo_last(after, items, proposals, journal, 1_000_000)
+    state = on.select("item_id", F.col("active"))
+    return back.select("link_id", "item_id").join(state, "item_id")
+
+
 @query
 def exclusion_changes(m: Model) -> DataFrame:
     g = samples.gestures(m).where(F.col("event_type").isin("error", "signup"))
@@ -905,6 +933,61 @@ def progress_kpis(m: Model) -> DataFrame:
     )
 
 
+# ---- the questions of an assistant -------------------------------------------------------------
+
+
+def catalogue(m: Model) -> Catalogue:
+    return Catalogue(
+        zoned_base(m), m.linked_lines(), linked_texts(m), worded(m), m.links(), m.documents(), m.items(),
+        m.categories(), m.clients(), m.client_aliases(), m.zones(),
+    )
+
+
+@query
+def tool_site_fees(m: Model) -> DataFrame:
+    return catalogue(m).site_fees("large").select("item_id", "label_print", text("is_extra"), "n", "amount_median", "share_median")
+
+
+@query
+def tool_find_items(m: Model) -> DataFrame:
+    rows = catalogue(m).find_items(ITEM_TERMS[0], 10)
+    return rows.select(whole("rank"), "item_id", "score", "category_code", "n", "price_median")
+
+
+@query
+def tool_item_stats(m: Model) -> DataFrame:
+    f = PriceFilters(since=PERIOD.since, until=PERIOD.until, zones=PERIOD.zones, work_type="normal")
+    rows = catalogue(m).item_stats(TOOL_ITEMS[0], f)
+    return rows.withColumn("zone_always_reliable", text("zone_always_reliable"))
+
+
+@query
+def tool_compare_items(m: Model) -> DataFrame:
+    return catalogue(m).compare_items(list(TOOL_ITEMS), "type")
+
+
+@query
+def tool_find_client(m: Model) -> DataFrame:
+    return catalogue(m).find_client(CLIENT_TERMS[0]).withColumn("rank", whole("rank"))
+
+
+@query
+def tool_client_documents(m: Model) -> DataFrame:
+    rows = catalogue(m).client_documents(TOOL_CLIENT, since="1995-06-01")
+    return rows.select("document_id", "number", text("document_date"), number("document_total"), "n_lines")
+
+
+@query
+def tool_document_lines(m: Model) -> DataFrame:
+    rows = catalogue(m).document_lines(TOOL_DOCUMENT)
+    return rows.select("line_id", "document_id", whole("ord"), number("quantity"), number("total"), "excluded")
+
+
+@query
+def tool_cooccurrences(m: Model) -> DataFrame:
+    return catalogue(m).cooccurrences(10, min_documents=2).withColumn("rank", whole("rank"))
+
+
 # ---- ingest ----------------------------------------------------------------------------------
 
 
@@ -956,7 +1039,7 @@ def segment_merge_headers(m: Model) -> DataFrame:
 def segment_merge_lines(m: Model) -> DataFrame:
     parsed = payloads.parse_payloads(samples.payload_segments(m))
     keys = ["document_key", "segment", "line_id"]
-    lines = payloads.payload_lines(parsed, keys).withColumn("position", F.lit(1))
+    lines = payloads.payload_lines(parsed, keys)
     rows = payloads.merged_lines(lines)
     return rows.select("line_id", "document_key", whole("ord"))
 

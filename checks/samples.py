@@ -142,6 +142,18 @@ def validation_commands(m: Model) -> DataFrame:
     )
 
 
+def attach_commands(m: Model) -> DataFrame:
+    """Users attach all lines of the documents they signed up for, linked or not."""
+    events = m.table("events").where(F.col("event_type") == "signup").select(
+        F.col("event_id").alias("document_id"),
+        F.col("user_id").alias("target_item_id"),
+        F.concat(F.lit("g"), F.col("event_id").cast("string")).alias("batch_id"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor"),
+        F.col("ts").alias("at"),
+    )
+    return m.lines().select("line_id", "document_id").join(events, "document_id")
+
+
 def journal(m: Model) -> DataFrame:
     """A journal with one gesture per user and day; before-images are missing for new links."""
     g = gestures(m)

@@ -61,8 +61,9 @@ def search_literal(term: str) -> str:
 
 
 def without_nul(value: Column) -> Column:
-    """Drop NUL characters, raw or JSON-escaped."""
-    return F.replace(F.replace(value, F.lit("\u0000"), F.lit("")), F.lit("\\u0000"), F.lit(""))
+    """Drop NUL characters, raw or JSON-escaped; an escaped backslash before ``u0000`` is none."""
+    raw = F.replace(value, F.lit("\u0000"), F.lit(""))
+    return F.regexp_replace(raw, r"(?<!\\)((?:\\\\)*)\\u0000", "$1")
 
 
 def is_administrative(text: Column) -> Column:

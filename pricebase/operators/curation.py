@@ -23,8 +23,21 @@ def snapshot() -> Column:
     return F.struct(*STATE)
 
 
-def _journal(rows: DataFrame, action: Column) -> DataFrame:
-    return rows.select("batch_id", action.alias("action"), "link_id", "before", "actor", "at")
+def _journal(rows: DataFrame, action: str) -> DataFrame:
+    """The one shape of all journals: their union is what ``undo_last`` reads.
+
+    ``seq`` is the time of the gesture in microseconds; a gesture touches a link at most once.
+    """
+
+    def named(column: str) -> Column:
+        known = F.col(column) if column in rows.columns else F.lit(None)
+        return known.cast("bigint").alias(column)
+
+    return rows.select(
+        F.unix_micros(F.col("at").cast("timestamp")).alias("seq"), "batch_id", F.lit(action).alias("action"), "link_id", "before",
+        named("created_item_id"), named("merged_item_id"), "actor", "at",
+        F.lit(None).cast("timestamp").alias("undone_at"),
+    )
 
 
 # ---- C1-C3: validate, validate per item, un-validate ----------------------
@@ -113,7 +126,7 @@ def unvalidate(links: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFr
             "validated_on": F.when(~changed, F.col("validated_on")),
         }
     ).select(*links.columns)
-    return after, _journal(marked.where(changed), F.lit("devalider"))
+    return after, _journal(marked.where(changed), "devalider")
 
 
 def automatic_validations(links: DataFrame) -> DataFrame:
@@ -170,11 +183,13 @@ def identical_orphans(lines: DataFrame, links: DataFrame, chosen: DataFrame) ->
 def attach_lines(links: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Upsert: lines (line_id, target_item_id, batch_id, actor, at) get a validated manual link.
 
-    A line without link gets one whose id is the line's; its before-image is NULL.
+    A line without link gets one whose id is the line's; its before-image is NULL. Commands may
+    name the item they created (``created_item_id``), which an undo switches off again.
     """
+    created = [c for c in ("created_item_id",) if c in commands.columns]
     latest = (
         commands.groupBy("line_id")
-        .agg(F.max(F.struct("at", "batch_id", "actor", "target_item_id")).alias("_c"))
+        .agg(F.max(F.struct("at", "batch_id", "actor", "target_item_id", *created)).alias("_c"))
         .select("line_id", "_c.*")
     )
     marked = (
@@ -195,7 +210,7 @@ def attach_lines(links: DataFrame, commands: DataFrame) -> tuple[DataFrame, Data
         "excluded": F.coalesce("excluded", F.lit(False)),
     }
     after = marked.withColumns(values).select(*links.columns)
-    return after, _journal(marked.where(hit), F.lit("rattacher"))
+    return after, _journal(marked.where(hit), "rattacher")
 
 
 # ---- C6-C7: merges and proposals -------------------------------------------
@@ -203,9 +218,8 @@ def attach_lines(links: DataFrame, commands: DataFrame) -> tuple[DataFrame, Data
 
 def resolve_chains(merges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(source_id, target_id) with every target final, by pointer doubling."""
-    current = merges.groupBy("source_id").agg(F.min("target_id").alias("target_id")).where(
-        F.col("source_id") != F.col("target_id")
-    )
+    current = merges.groupBy("source_id").agg(F.min("target_id").alias("target_id"))
+    current = current.where(F.col("source_id") != F.col("target_id"))
     current = materialized(current)
     for _ in range(max_rounds):
         further = current.select(
@@ -218,26 +232,48 @@ def resolve_chains(merges: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise ValueError("the merges form a cycle")
 
 
+def _latest_merges(merges: DataFrame) -> DataFrame:
+    """source_id, target_id, batch_id, actor, at: the one command per source that counts."""
+    given = merges
+    for column, default in (
+        ("batch_id", F.lit("fusion")), ("actor", F.lit(None).cast("string")), ("at", F.current_timestamp()),
+    ):
+        if column not in given.columns:
+            given = given.withColumn(column, default)
+    given = given.where(F.col("source_id") != F.col("target_id"))
+    latest = F.max(F.struct("at", (-F.col("target_id")).alias("_smaller"), "target_id", "batch_id", "actor"))
+    return given.groupBy("source_id").agg(latest.alias("_c")).select(
+        "source_id", "_c.target_id", "_c.batch_id", "_c.actor", "_c.at"
+    )
+
+
+def conflicting_merges(merges: DataFrame) -> DataFrame:
+    """Commands that do not count because another one for the same source does: source_id, target_id, kept_target_id."""
+    kept = _latest_merges(merges).select("source_id", F.col("target_id").alias("kept_target_id"))
+    pairs = merges.select("source_id", "target_id").where(F.col("source_id") != F.col("target_id")).distinct()
+    return pairs.join(kept, "source_id").where(F.col("target_id") != F.col("kept_target_id"))
+
+
 def merge_items(
     links: DataFrame, items: DataFrame, proposals: DataFrame, merges: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Repoints the links of merged items; returns (links, items, proposals, journal).
 
-    Merged items become inactive, and other open proposals that touch them obsolete. A merge
-    without links is still journalled, with a NULL link.
+    ``merges``: source_id, target_id and, if known, batch_id, actor and at; of several targets of a
+    source the latest command counts (without times the smallest target), and
+    ``conflicting_merges`` reports the others. Merged items become inactive, and other open
+    proposals that touch them obsolete. A merge without links is still journalled, with a NULL link.
     """
-    final = resolve_chains(merges)
+    chosen = _latest_merges(merges)
+    final = resolve_chains(chosen).join(chosen.drop("target_id"), "source_id")
     target = final.select(F.col("source_id").alias("item_id"), F.col("target_id").alias("_to"))
     marked = links.join(target, "item_id", "left").withColumn("before", snapshot())
     after = marked.withColumn("item_id", F.coalesce("_to", "item_id")).select(*links.columns)
     entries = marked.where(F.col("_to").isNotNull()).select(
         F.col("item_id").alias("merged_item_id"), "link_id", "before"
     )
-    journal = (
-        final.select(F.col("source_id").alias("merged_item_id"))
-        .join(entries, "merged_item_id", "left")
-        .withColumn("action", F.lit("fusion"))
-    )
+    by_source = final.select(F.col("source_id").alias("merged_item_id"), "batch_id", "actor", "at")
+    journal = _journal(by_source.join(entries, "merged_item_id", "left"), "fusion")
     gone = final.select(F.col("source_id").alias("item_id"), F.lit(True).alias("_gone"))
     items_after = (
         items.join(gone, "item_id", "left")

@@ -47,11 +47,12 @@ def rule_matching(
         ).distinct()
     )
     levels = tuple(t for t in RULE_LEVELS if t > threshold) + (threshold,)
-    compatible = _nearest(wordings, _pool(active, 1), 1, levels).withColumn("ok", F.lit(True))
+    units = known_units(wordings)
+    compatible = _nearest(wordings, _pool(active, 1, units), 1, levels).withColumn("ok", F.lit(True))
     rest = wordings.join(compatible, ["search_text", "unit_key"], "left_anti")
     anyone = _nearest(
         materialized(rest.select("search_text", F.lit(ANY_UNIT).alias("unit_key")).distinct()),
-        _pool(active, 1, by_unit=False),
+        _pool(active, 1),
         1,
         levels,
     ).drop("unit_key")
@@ -72,12 +73,17 @@ def rule_matching(
     )
 
 
-def _pool(active: DataFrame, k: int, by_unit: bool = True) -> DataFrame:
+def known_units(wordings: DataFrame) -> Column:
+    """The units the lines themselves carry, one small array."""
+    return wordings.agg(F.collect_set("unit_key")).scalar()
+
+
+def _pool(active: DataFrame, k: int, units: Column | None = None) -> DataFrame:
     """(label, unit_key, item_id): the first k items of each label among those compatible.
 
     Copies of a label are interchangeable, so more than k of them are never needed.
     """
-    classes = _unit_classes(F.col("item_unit")) if by_unit else F.array(F.lit(ANY_UNIT))
+    classes = F.array(F.lit(ANY_UNIT)) if units is None else _unit_classes(F.col("item_unit"), units)
     first = Window.partitionBy("label", "unit_key").orderBy("item_id")
     return materialized(
         active.select("item_id", "label", F.explode(classes).alias("unit_key"))
@@ -87,11 +93,10 @@ def _pool(active: DataFrame, k: int, by_unit: bool = True) -> DataFrame:
     )
 
 
-def _unit_classes(unit: Column) -> Column:
-    """Line units an item of this unit is compatible with; without unit, all of them."""
+def _unit_classes(unit: Column, units: Column) -> Column:
+    """Line units an item of this unit is compatible with; without unit, all that lines have."""
     lump = F.array(*[F.lit(u) for u in LUMP_UNITS])
-    every = F.array(*[F.lit(u) for u in ("m2", "ml", "m3", "u", "kg", "h", "j", *LUMP_UNITS, NO_UNIT)])
-    return F.when(unit.isNull(), every).when(unit.isin(*LUMP_UNITS), lump).otherwise(F.array(unit))
+    return F.when(unit.isNull(), units).when(unit.isin(*LUMP_UNITS), lump).otherwise(F.array(unit))
 
 
 def match_alternatives(
@@ -105,20 +110,22 @@ def match_alternatives(
     Compatible units come first however low their similarity. The similarity join starts at a high
     threshold; only wordings still short of k+1 items go on to a lower one, which keeps the answer
     exact without scoring every pair. What is then still missing is filled with compatible items
-    of no resemblance, by id, and after those with the most similar incompatible ones.
+    of no resemblance, by id, then with the most similar incompatible ones, then with any other
+    item by id: whoever has k other items gets k answers.
     """
     active = items.where(F.col("active")).select(
         "item_id", "item_unit", F.col("label_norm").alias("label")
     )
-    per_class = active.select(
-        "item_id", F.explode(_unit_classes(F.col("item_unit"))).alias("unit_key")
-    )
     wordings = materialized(
         pending.select(
             "search_text", F.coalesce("unit", F.lit(NO_UNIT)).alias("unit_key")
         ).distinct()
     )
-    found = _nearest(wordings, _pool(active, k + 1), k + 1, thresholds)
+    units = known_units(wordings)
+    per_class = active.select(
+        "item_id", F.explode(_unit_classes(F.col("item_unit"), units)).alias("unit_key")
+    )
+    found = _nearest(wordings, _pool(active, k + 1, units), k + 1, thresholds)
     counted = found.groupBy("search_text", "unit_key").agg(F.count(F.lit(1)).alias("have"))
     short = wordings.join(counted, ["search_text", "unit_key"], "left").where(
         F.coalesce("have", F.lit(0)) < k + 1
@@ -136,19 +143,22 @@ def match_alternatives(
         .select("search_text", "unit_key", "item_id", F.lit(0.0).alias("score"))
     )
     ranked = found.withColumn("ok", F.lit(True)).unionByName(fill.withColumn("ok", F.lit(True)))
-    if not _enough_everywhere(per_class, k + 1):
-        anyone = _nearest(
-            wordings.select("search_text", F.lit(ANY_UNIT).alias("unit_key")).distinct(),
-            _pool(active, 3 * (k + 1), by_unit=False),
-            3 * (k + 1),
-            thresholds,
-        ).drop("unit_key")
-        others = (
-            wordings.join(anyone, "search_text")
-            .join(ranked, ["search_text", "unit_key", "item_id"], "left_anti")
-            .withColumn("ok", F.lit(False))
-        )
-        ranked = ranked.unionByName(others.select(*ranked.columns))
+    # classes with fewer than k+1 items look further: all their items are ranked already
+    sizes = per_class.groupBy("unit_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k)
+    scarce = materialized(wordings.join(sizes, "unit_key", "left_anti"))
+    anyone = _nearest(
+        scarce.select("search_text", F.lit(ANY_UNIT).alias("unit_key")).distinct(),
+        _pool(active, 3 * (k + 1)),
+        3 * (k + 1),
+        thresholds,
+    ).drop("unit_key")
+    key = ["search_text", "unit_key", "item_id"]
+    others = scarce.join(anyone, "search_text").join(ranked, key, "left_anti").withColumn("ok", F.lit(False))
+    ranked = ranked.unionByName(others.select(*ranked.columns))
+    first = active.orderBy("item_id").limit(5 * (k + 1)).agg(F.collect_list("item_id")).scalar()
+    rest = scarce.withColumn("item_id", F.explode(first)).join(ranked, key, "left_anti")
+    rest = rest.select(*key, F.lit(0.0).alias("score"), F.lit(False).alias("ok"))
+    ranked = ranked.unionByName(rest.select(*ranked.columns))
     rows = (
         pending.withColumn("unit_key", F.coalesce("unit", F.lit(NO_UNIT)))
         .withColumnRenamed("item_id", "current_item_id")
@@ -165,12 +175,6 @@ def match_alternatives(
     )
 
 
-def _enough_everywhere(per_class: DataFrame, k: int) -> bool:
-    """True when every one of the ten unit classes holds at least k items."""
-    sizes = per_class.groupBy("unit_key").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.where(F.col("n") >= k).count() == 10
-
-
 def _nearest(
     wordings: DataFrame, pool: DataFrame, k: int, thresholds: tuple[float, ...]
 ) -> DataFrame:
@@ -228,23 +232,34 @@ def apply_groupings(
     fresh = resolved.where(F.col("existing_item_id").isNull() & named)
     slug = code_slug(F.coalesce("code", "label_norm"))
     taken = items.select("code", F.lit(1).alias("taken")).dropDuplicates(["code"])
-    numbered = running_before(
-        fresh.withColumn("base_code", slug), "base_code", "group_id", F.lit(1), "_twins"
+    based = fresh.withColumn("base_code", slug)
+    # the largest number already hung on a code, among stored and new ones
+    numbers = (
+        items.select("code").unionAll(based.select("base_code"))
+        .select(
+            F.regexp_extract("code", r"^(.*)-[0-9]{1,9}$", 1).alias("base_code"),
+            F.nullif(F.regexp_extract("code", r"-([0-9]{1,9})$", 1), F.lit("")).cast("bigint").alias("number"),
+        )
+        .where(F.col("number").isNotNull())
+        .groupBy("base_code")
+        .agg(F.max("number").alias("largest"))
     )
+    numbered = running_before(based, "base_code", "group_id", F.lit(1), "_twins")
     coded = (
         numbered.join(taken.withColumnRenamed("code", "base_code"), "base_code", "left")
-        .withColumn("_n", F.col("_twins") + 1 + F.coalesce("taken", F.lit(0)))
+        .join(numbers, "base_code", "left")
+        .withColumn("_n", F.col("_twins") + F.coalesce("taken", F.lit(0)))
         .withColumn(
             "new_code",
-            F.when(F.col("_n") == 1, F.col("base_code")).otherwise(
-                F.concat_ws("-", "base_code", F.col("_n").cast("string"))
+            F.when(F.col("_n") == 0, F.col("base_code")).otherwise(
+                F.concat_ws("-", "base_code", (F.col("_n") + F.greatest(F.coalesce("largest", F.lit(1)), F.lit(1))).cast("string"))
             ),
         )
     )
-    known_units = units.select(F.col("code").alias("unit"), F.lit(True).alias("known_unit"))
+    unit_codes = units.select(F.col("code").alias("unit"), F.lit(True).alias("known_unit"))
     known_categories = categories.select("category_code", "category_id")
     new_items = (
-        coded.join(F.broadcast(known_units), "unit", "left")
+        coded.join(unit_codes, "unit", "left")
         .join(known_categories, "category_code", "left")
         .select(
             F.col("group_id"),

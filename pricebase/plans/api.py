@@ -109,9 +109,11 @@ class Catalogue:
         )
         return rows.orderBy("ord", "line_id")
 
-    def cooccurrences(self, item_id: int, limit: int = 5) -> DataFrame:
-        pairs = cooc.cooccurrence(self.base)
+    def cooccurrences(self, item_id: int, limit: int = 5, min_documents: int = cooc.MIN_DOCUMENTS) -> DataFrame:
+        """Partners of one item, out of the documents that hold it: rates are relative to the item."""
+        holding = self.base.where(F.col("item_id") == item_id).select("document_id").distinct()
+        near = self.base.join(holding, "document_id", "left_semi")
+        pairs = cooc.cooccurrence(near, min_documents)
+        pairs = pairs.where((F.col("item_a") == item_id) | (F.col("item_b") == item_id))
         best = cooc.cooccurrence_topk(pairs, self.items, min(limit or 5, MAX_LIMIT))
         return best.where(F.col("item_id") == item_id).orderBy("rank")
-
-

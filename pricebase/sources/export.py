@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pricebase.functions.numbers import decimal_comma
 from pricebase.sources.dims import UNIT_LABELS
 
-MAX_ROWS = 10_000
 BOM = "﻿"
 # Header of the export.
 HEADER = (
@@ -58,14 +57,18 @@ def header_line() -> str:
     return ";".join(f'"{name}"' for name in HEADER)
 
 
-def write_csv(grid: DataFrame, order: list[Column], path: str, indexed: bool = False) -> None:
-    """One UTF-8 file with byte-order mark, at most 10 000 rows as the screen offers.
+def write_csv(
+    grid: DataFrame, order: list[Column], path: str, indexed: bool = False, max_rows: int | None = None
+) -> None:
+    """UTF-8 part files with byte-order mark and header; their names and rows are in sort order.
 
-    The row bound is what makes a single output file safe.
+    All rows are written unless the caller bounds them, as a screen with one download would.
     """
-    rows = grid.orderBy(*order).limit(MAX_ROWS)
+    rows = grid.orderBy(*order)
+    if max_rows is not None:
+        rows = rows.limit(max_rows)
     lines = csv_rows(rows, indexed).select(F.col("csv_line").alias(BOM + header_line()))
-    lines.coalesce(1).write.mode("overwrite").options(
+    lines.write.mode("overwrite").options(
         header="true", quote="", sep="\u0001", escapeQuotes="false", lineSep="\n",
         ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false",
     ).csv(path)

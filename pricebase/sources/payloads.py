@@ -112,9 +112,11 @@ def attribute(attributes: Column, name: str) -> Column:
 
 
 def payload_lines(parsed: DataFrame, keys: list[str]) -> DataFrame:
-    """The lines of valid payloads, unfolded, with typed attributes."""
-    lines = parsed.where(F.col("error").isNull()).select(
-        *keys, F.inline("document.lignes")
+    """The lines of valid payloads, unfolded, with their place (from 1) and typed attributes."""
+    lines = (
+        parsed.where(F.col("error").isNull())
+        .select(*keys, F.posexplode("document.lignes").alias("_at", "_line"))
+        .select(*keys, (F.col("_at") + 1).alias("position"), "_line.*")
     )
     return lines.withColumn("est_titre", F.coalesce("est_titre", F.lit(False))).withColumns(
         {
@@ -175,16 +177,38 @@ def merged_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_batch_results(spark: SparkSession, path: str) -> DataFrame:
-    """Batch answers (JSON lines): import_id, content or error."""
+def read_batch_answers(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a batch answer file; ``_corrupt`` holds what is not JSON of this shape."""
     schema = (
         "custom_id string, error struct<message:string>, response struct<status_code:int,"
-        " body:struct<choices:array<struct<message:struct<content:string>>>>>"
+        " body:struct<choices:array<struct<message:struct<content:string>>>>>, _corrupt string"
+    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    answers = lines.select("value", F.from_json("value", schema, options).alias("a"))
+    broken = F.col("a").isNull() | F.col("a._corrupt").isNotNull()
+    fields = [F.col(f"a.{c}").alias(c) for c in ("custom_id", "error", "response")]
+    return answers.select(*fields, F.when(broken, F.col("value")).alias("_corrupt"))
+
+
+def read_batch_results(spark: SparkSession, path: str) -> DataFrame:
+    """Batch answers (JSON lines): import_id, content or error. See ``batch_quarantine``."""
+    return batch_results(read_batch_answers(spark, path))
+
+
+def batch_quarantine(answers: DataFrame) -> DataFrame:
+    """Lines that no import can be found for: line (if kept) and reason (``json`` or ``custom_id``)."""
+    line = F.col("_corrupt") if "_corrupt" in answers.columns else F.lit(None).cast("string")
+    return answers.where(line.isNotNull() | F.col("custom_id").isNull()).select(
+        line.alias("line"), F.when(line.isNotNull(), "json").otherwise("custom_id").alias("reason")
     )
-    return batch_results(spark.read.schema(schema).json(path))
 
 
 def batch_results(answers: DataFrame) -> DataFrame:
+    """One row per readable answer of a named import."""
+    answers = answers.where(F.col("custom_id").isNotNull())
+    if "_corrupt" in answers.columns:
+        answers = answers.where(F.col("_corrupt").isNull())
     content = F.nullif(F.get("response.body.choices", F.lit(0))["message"]["content"], F.lit(""))
     return answers.select(
         F.col("custom_id").alias("import_id"),

@@ -30,7 +30,8 @@ def refresh_touched(
 ) -> None:
     """Rewrites only the partitions of the touched items (``rows`` holds all current statistics).
 
-    The touched buckets are a bounded list of small integers, so they can prune the write.
+    The touched buckets are a bounded list of small integers, so they can prune the write. A bucket
+    that has no rows left is removed, as the write alone would keep its old files.
     """
     changed = [r.item_bucket for r in touched_buckets(touched, buckets).collect()]
     if not changed:
@@ -43,6 +44,11 @@ def refresh_touched(
         .partitionBy("item_bucket")
         .parquet(path)
     )
+    filled = {r.item_bucket for r in fresh.select("item_bucket").distinct().collect()}
+    jvm, hadoop = rows.sparkSession._jvm, rows.sparkSession._jsc.hadoopConfiguration()
+    for bucket in set(changed) - filled:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/item_bucket={bucket}")
+        folder.getFileSystem(hadoop).delete(folder, True)
 
 
 def save_bucketed(rows: DataFrame, table: str, key: str, buckets: int) -> None:

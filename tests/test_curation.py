@@ -32,17 +32,6 @@ def no_proposals(spark):
     return spark.createDataFrame([], "source_id bigint, target_id bigint, status string")
 
 
-def as_journal(entries, created=None, merged=None):
-    return entries.withColumns(
-        {
-            "seq": F.monotonically_increasing_id(),
-            "created_item_id": F.lit(created).cast("bigint"),
-            "merged_item_id": F.lit(merged).cast("bigint"),
-            "undone_at": F.lit(None).cast("timestamp"),
-        }
-    )
-
-
 def state(links):
     return {r.link_id: (r.item_id, r.method, r.validated, r.validated_by) for r in links.collect()}
 
@@ -62,7 +51,7 @@ def test_validate_then_undo(spark, links, items, no_proposals):
     assert {r.link_id: r.action for r in journal.collect()} == {"a": "valider", "c": "modifier"}
     again, nothing = curation.bulk_validate(after, commands(spark, [("a", None), ("c", 3)]))
     assert nothing.count() == 0 and state(again) == state(after)
-    back, _, _, log = curation.undo_last(after, items, no_proposals, as_journal(journal))
+    back, _, _, log = curation.undo_last(after, items, no_proposals, journal)
     assert state(back) == state(links)
     assert log.where(F.col("undone_at").isNull()).count() == 0
     assert curation.last_gestures(log).count() == 0
@@ -75,17 +64,17 @@ def test_attach_then_undo_removes_new_links(spark, links, items, no_proposals):
     )
     after, journal = curation.attach_lines(links, attach)
     assert state(after)["z"] == (2, "manuel", True, "me")
-    back, _, _, _ = curation.undo_last(after, items, no_proposals, as_journal(journal))
+    back, _, _, _ = curation.undo_last(after, items, no_proposals, journal)
     assert state(back) == state(links)
 
 
 def test_created_item_without_links_is_switched_off(spark, links, items, no_proposals):
     attach = spark.createDataFrame(
-        [("z", 3, "g1", "me", AT)],
-        "line_id string, target_item_id bigint, batch_id string, actor string, at timestamp",
+        [("z", 3, "g1", "me", AT, 3)],
+        "line_id string, target_item_id bigint, batch_id string, actor string, at timestamp, created_item_id bigint",
     )
     after, journal = curation.attach_lines(links, attach)
-    _, left, _, _ = curation.undo_last(after, items, no_proposals, as_journal(journal, created=3))
+    _, left, _, _ = curation.undo_last(after, items, no_proposals, journal)
     assert {r.item_id: r.active for r in left.collect()} == {1: True, 2: True, 3: False}
 
 
@@ -98,14 +87,35 @@ def test_merge_resolves_chains_and_comes_back(spark, links, items):
     assert {v[0] for v in state(after).values()} == {3}
     assert {r.item_id: r.active for r in gone.collect()} == {1: False, 2: False, 3: True}
     assert sorted(r.status for r in left.collect()) == ["obsolete", "obsolete", "refusee"]
-    log = as_journal(journal.withColumns({"batch_id": F.lit("g"), "actor": F.lit("me"), "at": F.lit(AT)}).drop("merged_item_id"))
-    merged = journal.select("link_id", "merged_item_id")
-    log = log.drop("merged_item_id").join(merged, log.link_id.eqNullSafe(merged.link_id)).drop(merged.link_id)
-    back, on, _, _ = curation.undo_last(after, gone, left, log.select(*[c for c in log.columns]))
+    back, on, _, _ = curation.undo_last(after, gone, left, journal)
     assert state(back) == state(links)
     assert all(r.active for r in on.collect())
 
 
+def test_gestures_of_all_kinds_are_undone_from_one_journal(spark, links, items, no_proposals):
+    later = AT + dt.timedelta(hours=1)
+    first, one = curation.bulk_validate(links, commands(spark, [("a", 3)]))
+    attach = spark.createDataFrame(
+        [("a", 2, "g2", "me", later)], "line_id string, target_item_id bigint, batch_id string, actor string, at timestamp"
+    )
+    second, two = curation.attach_lines(first, attach)
+    journal = one.unionByName(two)
+    back, _, _, log = curation.undo_last(second, items, no_proposals, journal)
+    assert state(back) == state(first) and log.where("undone_at is null").count() == 1
+    back, _, _, _ = curation.undo_last(second, items, no_proposals, journal, 2)
+    assert state(back) == state(links)
+
+
+def test_latest_of_several_targets_counts_and_the_others_are_reported(spark, links, items, no_proposals):
+    rows = [(1, 2, "g1", "me", AT), (1, 3, "g2", "you", AT + dt.timedelta(hours=1))]
+    merges = spark.createDataFrame(rows, "source_id bigint, target_id bigint, batch_id string, actor string, at timestamp")
+    after, _, _, journal = curation.merge_items(links, items, no_proposals, merges)
+    assert 1 not in {v[0] for v in state(after).values()} and {(r.batch_id, r.actor) for r in journal.collect()} == {("g2", "you")}
+    assert [tuple(r) for r in curation.conflicting_merges(merges).collect()] == [(1, 2, 3)]
+    undated = curation.conflicting_merges(merges.select("source_id", "target_id")).collect()
+    assert [(r.target_id, r.kept_target_id) for r in undated] == [(3, 2)]
+
+
 def test_merge_cycle_is_refused(spark):
     merges = spark.createDataFrame([(1, 2), (2, 1)], "source_id bigint, target_id bigint")
     with pytest.raises(ValueError, match="cycle"):

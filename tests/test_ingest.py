@@ -52,11 +52,38 @@ def test_segments_merge_in_order(spark):
     (head,) = payloads.merged_headers(payloads.headers(parsed, ["document_key", "segment"])).collect()
     assert (head.type_document, head.numero_document, head.total_ht) == ("facture", "D-1", 9.0)
     assert (head.est_ts, head.remarques) == (False, "un | trois")
-    lines = payloads.payload_lines(parsed, ["document_key", "segment"]).withColumn("position", F.col("ordre"))
-    merged = payloads.merged_lines(lines)
+    merged = payloads.merged_lines(payloads.payload_lines(parsed, ["document_key", "segment"]))
     assert [r.ord for r in merged.orderBy("segment").collect()] == [1, 2, 3]
 
 
+def test_lines_of_longer_segments_are_numbered_in_order(spark):
+    one = json.loads(payload())["lignes"][0]
+    parts = [("d", s, payload(lignes=[one | {"ordre": 9, "designation": f"{s}.{i}"} for i in range(n)])) for s, n in ((1, 3), (2, 0), (3, 2))]
+    frame = spark.createDataFrame(parts, "document_key string, segment int, payload string")
+    merged = payloads.merged_lines(payloads.payload_lines(payloads.parse_payloads(frame), ["document_key", "segment"]))
+    assert [r.designation for r in merged.orderBy("ord").collect()] == ["1.0", "1.1", "1.2", "3.0", "3.1"]
+    assert sorted(r.ord for r in merged.collect()) == [1, 2, 3, 4, 5]
+
+
+def test_unreadable_batch_lines_are_quarantined(spark, tmp_path):
+    answer = {"custom_id": "1", "response": {"status_code": 200, "body": {"choices": [{"message": {"content": "{}"}}]}}}
+    nameless = {k: v for k, v in answer.items() if k != "custom_id"}
+    file = tmp_path / "answers.jsonl"
+    file.write_text("\n".join([json.dumps(answer), json.dumps(answer | {"custom_id": "2"})[:40], "", json.dumps(nameless)]) + "\n")
+    answers = payloads.read_batch_answers(spark, str(file))
+    assert [(r.import_id, r.content) for r in payloads.batch_results(answers).collect()] == [("1", "{}")]
+    assert sorted(r.reason for r in payloads.batch_quarantine(answers).collect()) == ["custom_id", "json"]
+    assert payloads.read_batch_results(spark, str(file)).count() == 1
+
+
+def test_only_real_nul_escapes_are_dropped(spark):
+    from pricebase.functions.text import without_nul
+
+    texts = [("a\\u0000b", "ab"), ("a\\\\u0000b", "a\\\\u0000b"), ("a\\\\\\u0000b", "a\\\\b"), ("a\x00b", "ab")]
+    rows = spark.createDataFrame(texts, "given string, wanted string").select(without_nul(F.col("given")).alias("got"), "wanted")
+    assert [r.got for r in rows.collect()] == [w for _, w in texts]
+
+
 def test_file_inventory(spark, tmp_path):
     (tmp_path / "Pièce n°1.pdf").write_bytes(b"%PDF /Type /Page /Type /Pages /Type/Page\n")
     (tmp_path / "b.txt").write_bytes(b"x")
@@ -121,6 +148,14 @@ def test_snapshot_refresh_touches_only_its_buckets(spark, tmp_path):
     store.refresh_touched(rows.withColumn("n", F.lit(2)), touched, path, 8)
     got = {r.item_id: r.n for r in spark.read.parquet(path).collect()}
     assert len(got) == 50 and got[3] == 2 and 1 in got.values()
+    # an item that lost its last line, alone in its bucket or not
+    lost = rows.where("item_id <> 3")
+    same = store.with_item_bucket(rows, 8).where("item_id = 3").first().item_bucket
+    alone = store.with_item_bucket(rows, 8).where(f"item_bucket <> {same}").drop("item_bucket")
+    store.refresh_touched(lost, touched, path, 8)
+    assert 3 not in {r.item_id for r in spark.read.parquet(path).collect()}
+    store.refresh_touched(alone, touched, path, 8)
+    assert {r.item_id for r in spark.read.parquet(path).collect()} == {r.item_id for r in alone.collect()}
 
 
 def test_csv_file(spark, model, tmp_path):
@@ -129,12 +164,17 @@ def test_csv_file(spark, model, tmp_path):
 
     rows = grid.price_grid(queries.base(model, False), queries.categorised(model))
     export.write_csv(rows, grid.grid_order("label"), str(tmp_path / "csv"))
-    (part,) = (tmp_path / "csv").glob("part-*.csv")
-    text = part.read_text(encoding="utf-8")
-    lines = text.rstrip("\n").split("\n")
-    assert text.startswith("﻿\"Lot\";\"Code\"")
-    assert len(lines) == rows.count() + 1
-    assert lines[1].count(";") == 16
+    parts = sorted((tmp_path / "csv").glob("part-*.csv"))
+    texts = [p.read_text(encoding="utf-8") for p in parts]
+    lines = [t.rstrip("\n").split("\n") for t in texts]
+    assert all(t.startswith("\ufeff\"Lot\";\"Code\"") for t in texts)
+    body = [row for own in lines for row in own[1:]]
+    assert len(body) == rows.count() and all(row.count(";") == 16 for row in body)
+    wanted = [r.csv_line for r in export.csv_rows(rows.orderBy(*grid.grid_order("label"))).collect()]
+    assert body == wanted
+    export.write_csv(rows, grid.grid_order("label"), str(tmp_path / "few"), max_rows=5)
+    few = [line for p in (tmp_path / "few").glob("part-*.csv") for line in p.read_text(encoding="utf-8").rstrip("\n").split("\n")[1:]]
+    assert few == wanted[:5]
 
 
 def test_reference_dimensions(spark):

@@ -86,6 +86,35 @@ def test_alternatives_equal_brute_force(spark):
         assert got[line_id] == [i for _, _, i in options[:3]]
 
 
+def test_alternatives_are_always_k_and_units_are_those_of_the_lines(spark):
+    schema = "item_id bigint, item_unit string, label_norm string, active boolean"
+    items = spark.createDataFrame([(1, "palette", "zzz", True), (2, "kg", "yyy", True), (3, "kg", "www", True), (4, None, "vvv", True)], schema)
+    lines = spark.createDataFrame([("a", "qqq", "palette", 1)], "line_id string, search_text string, unit string, item_id bigint")
+    got = matching.match_alternatives(lines, items).orderBy("rank").collect()
+    assert [(r.item_id, r.ok) for r in got] == [(4, True), (2, False), (3, False)]
+    lines = spark.createDataFrame([("a", "vvv", "palette", None)], "line_id string, search_text string, unit string, item_id bigint")
+    (found,) = matching.rule_matching(lines.drop("item_id"), items).collect()
+    assert (found.item_id, found.unit_ok) == (4, True)
+
+
+def test_new_codes_are_free(spark):
+    items = spark.createDataFrame([(1, "A"), (2, "A-2"), (3, "C-7")], "item_id bigint, code string")
+    rows = [(g, None, code, "label", "print", None, None, False, [g]) for g, code in ((1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, "b-2"), (6, "c"))]
+    groups = spark.createDataFrame(
+        rows,
+        "group_id bigint, existing_code string, code string, label_norm string, label_print string, category_code string, unit string, is_lump boolean, line_ids array<bigint>",
+    )
+    lines = spark.range(1, 7).select(F.col("id").alias("line_id"))
+    links = spark.createDataFrame([], "line_id bigint")
+    categories = spark.createDataFrame([], "category_code string, category_id bigint")
+    units = spark.createDataFrame([], "code string")
+    made, linked = matching.apply_groupings(groups, lines, links, items, categories, units)
+    codes = {r.group_id: r.code for r in made.collect()}
+    assert len(set(codes.values()) | {"A", "A-2", "C-7"}) == 9
+    assert codes[1] == "A-3" and codes[3] == "B" and codes[5] == "B-2" and codes[6] == "C"
+    assert linked.count() == 6
+
+
 def test_merge_proposals_never_self_and_idempotent(model):
     proposals = dedupe.merge_proposals(model.items(), model.links()).persist()
     assert proposals.count() > 0
