@@ -12,9 +12,10 @@ count as frequent is estimated from a sample of documents: it moves work between
 changes the result.
 
 Spark deals packed signatures out by their hash; a task of the text pass sends on one document of those that agree
-within it. Members of one signature are first compared with a common leader each; those not yet in one component are then
-compared with every member outside it. Every comparison counts the common n-grams of both whole texts. Equal sets are
-one node throughout.
+within it. Members of one signature are first compared with a common leader each; where that leaves a signature in
+several components, those outside its largest one are compared with every member of another. Of those pairs, the sizes and
+counts of hashed n-grams, whose differences are never more than those of the sets, rule most out beforehand; every other
+comparison counts the common n-grams of both whole texts. Equal sets are one node throughout.
 
 Defined results: null, empty or blank texts have no n-grams and no links; shorter texts are one n-gram; a row without id
 has no links and a null component; rows with one id and different texts are one node; extra columns are ignored.
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricebase.llm.common import prepared, shuffle_partitions, written
@@ -191,7 +192,7 @@ def _unpacked(known: bytes, index: bytes, n: int) -> np.ndarray:
 
 
 def _sign(docs: DataFrame, bits: np.ndarray, words: int, similarity: Fraction, buckets: int) -> DataFrame:
-    """The text pass. Kind 0: signatures to meet others; 1: signatures that met within the chunk; 2: sizes and set keys."""
+    """The text pass. Kind 0: signatures to meet others; 1: those that met a leader in the chunk; 2: sizes and set keys."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,9 +208,9 @@ def _sign(docs: DataFrame, bits: np.ndarray, words: int, similarity: Fraction, b
                 order = np.lexsort((all_owners, all_sigs))
                 all_sigs, all_owners = all_sigs[order], all_owners[order]
                 head = np.concatenate([[True], all_sigs[1:] != all_sigs[:-1]])
-                alone = head & np.concatenate([head[1:], [True]])
-                for kind, which in ((0, head), (1, ~alone)):
-                    own_sigs, own_docs = all_sigs[which], all_owners[which]
+                leaders = all_owners[np.flatnonzero(head)][np.cumsum(head) - 1]
+                for kind, which in ((0, head), (1, ~head)):
+                    own_sigs, own_docs, own_leaders = all_sigs[which], all_owners[which], leaders[which]
                     spread = own_sigs if kind == 0 else _mixed(own_sigs ^ own_docs.view(np.uint64))
                     bucket = (spread % np.uint64(buckets)).astype(np.int64)
                     order = np.argsort(bucket, kind="stable")
@@ -218,7 +219,8 @@ def _sign(docs: DataFrame, bits: np.ndarray, words: int, similarity: Fraction, b
                         part = order[cuts[b] : cuts[b + 1]]
                         # six bytes tell signatures of a bucket apart well enough: what meets is compared in full
                         tops = (own_sigs[part] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                        rows.append((int(b), kind, tops, *_packed(own_docs[part]), b""))
+                        led = own_leaders[part].tobytes() if kind else b""
+                        rows.append((int(b), kind, tops, *_packed(own_docs[part]), led))
             if infos:
                 ids, sizes, highs, lows = zip(*infos)
                 null = np.array([i is None for i in ids], np.uint8).tobytes()
@@ -250,7 +252,7 @@ def _sign(docs: DataFrame, bits: np.ndarray, words: int, similarity: Fraction, b
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The signatures of a bucket that several documents have, and the kinds that only pass through."""
+    """Who met whom: kind 1 holds signature, document and its leader, the smallest id; kind 2 passes through."""
     tops, owners, bucket = [], [], 0
 
     def table(kind: int, *columns: np.ndarray, null: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
@@ -276,17 +278,17 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = wide(row["a"])
             docs = _unpacked(row["b"], row["c"], len(own))
             if row["kind"] == 1:
-                yield from table(1, own, docs)
+                yield from table(1, own, docs, np.frombuffer(row["d"], np.int64))
             else:
                 tops.append(own)
                 owners.append(docs)
     if tops:
         tops, owners = np.concatenate(tops), np.concatenate(owners)
-        order = np.argsort(tops, kind="stable")
+        order = np.lexsort((owners, tops))
         tops, owners = tops[order], owners[order]
-        same = tops[1:] == tops[:-1]
-        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        yield from table(1, tops[shared], owners[shared])
+        head = np.concatenate([[True], tops[1:] != tops[:-1]])
+        leaders = owners[np.flatnonzero(head)][np.cumsum(head) - 1]
+        yield from table(1, tops[~head], owners[~head], leaders[~head])
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: Fraction = SIMILARITY) -> bool:
@@ -315,6 +317,78 @@ def _links(pairs: DataFrame, texts: DataFrame, words: int, similarity: Fraction)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """Counts of the elements by the top bits of their hash, about half as many counts as elements; 255 is the most."""
+    bits = max(len(own) // 2, 8).bit_length()
+    return np.minimum(np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, size_a: int, size_b: int, bands: Bands) -> bool:
+    """False only where sizes or counts show that the sets differ in too many elements."""
+    if max(size_a, size_b) > bands.partner(min(size_a, size_b)):
+        return False
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int32) for v in (a, b))
+    if len(x) != len(y):  # counts at the limit cannot be added up
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        if x.max() == 255 or y.max() == 255:
+            return True
+        x = x.reshape(len(y), -1).sum(1)
+    return int(np.abs(x - y).sum()) <= bands.difference(size_a + size_b)
+
+
+def _sketches(texts: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = ngram_sets(batch.column("text").to_pylist(), words)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(sketch, sets), pa.binary())],
+                ["node", "size", "sketch"],
+            )
+
+    return texts.mapInArrow(run, "node long, size long, sketch binary")
+
+
+def _crossed(
+    met: DataFrame, shares: DataFrame, grouped: DataFrame, stars: DataFrame, sketches: DataFrame, similarity: Fraction
+) -> DataFrame:
+    """Pairs (a, b) of one signature that are in different components, were not compared yet and may be similar."""
+    component = grouped.select("node", "component")
+    led = grouped.select(F.col("node").alias("leader_node"), F.col("component").alias("leader_component"))
+    placed = shares.join(component, "node", "left").join(led, "leader_node", "left")
+    split = placed.where(F.coalesce("component", "node") != F.coalesce("leader_component", "leader_node"))
+    split = _broadcast_if_small(written(split.select("doc_id", "leader"), "split"))
+    # the signatures in which someone is not in the leader's component, with all their documents
+    mixed = _broadcast_if_small(written(met.join(split, ["doc_id", "leader"], "left_semi").select("sig").distinct(), "mixed"))
+    members = met.join(mixed, "sig", "left_semi").select("sig", F.explode(F.array("doc_id", "leader")).alias("doc_id"))
+    node_of = shares.select(F.explode(F.array(F.struct("doc_id", "node"), F.struct(F.col("leader").alias("doc_id"), F.col("leader_node").alias("node")))).alias("x"))
+    members = members.join(node_of.select("x.*").distinct(), "doc_id").select("sig", "node").distinct().join(component, "node", "left")
+    members = written(members.select("sig", "node", F.coalesce("component", "node").alias("component")), "members")
+    per = members.groupBy("sig", "component").agg(F.count("*").alias("n"))
+    main = per.groupBy("sig").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    few = members.join(main, "sig").where("component <> main").select("sig", F.col("node").alias("x"), F.col("component").alias("component_x"))
+    others = members.select("sig", F.col("node").alias("y"), F.col("component").alias("component_y"))
+    pairs = few.join(others, "sig").where("component_x <> component_y")
+    pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+
+    known = written(sketches, "sketches")
+    for side in "ab":
+        pairs = pairs.join(known.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(similarity)
+        for batch in batches:
+            own = [batch.column(f"{kind}_{side}").to_pylist() for kind in ("sketch", "size") for side in "ab"]
+            mask = pa.array([may_be_similar(*x, bands) for x in zip(*own)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(side).filter(mask) for side in "ab"], ["a", "b"])
+
+    found = pairs.mapInArrow(run, "a long, b long").distinct()
+    return written(found, "crossed")
+
+
+def _broadcast_if_small(keys: DataFrame) -> DataFrame:
+    return keys if keys.count() > BROADCAST_IDS else F.broadcast(keys)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, by least labels and pointer jumping over written tables."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
@@ -351,34 +425,23 @@ def ngram_components(
     node_of = named.where("set_node is not null").groupBy("doc_id").agg(F.min("set_node").alias("node"))
     split = named.where("set_node is not null").join(node_of, "doc_id").where("set_node <> node").select(F.col("set_node").alias("a"), F.col("node").alias("b"))
 
-    met = table.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("doc_id"))
-    met = met.join(node_of, "doc_id").select("sig", "node").distinct()
-    leaders = met.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("most")).where("leader <> most")
-    met = written(met.join(leaders, "sig").select("sig", "node", "leader"), "met")
+    met = table.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("doc_id"), F.col("c").alias("leader"))
+    shares = met.groupBy("doc_id", "leader").agg(F.count("*").alias("n"))
+    leader_node = node_of.select(F.col("doc_id").alias("leader"), F.col("node").alias("leader_node"))
+    shares = written(shares.join(node_of, "doc_id").join(leader_node, "leader"), "shares")
+    apart = shares.where("node <> leader_node")
     # each node against the leader with which it shares most signatures
-    shares = met.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
-    stars = shares.groupBy(F.col("node").alias("a")).agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("b"))
-    stars = written(stars, "stars")
+    stars = apart.groupBy(F.col("node").alias("a"), F.col("leader_node").alias("b")).agg(F.sum("n").alias("n"))
+    stars = written(stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")), "stars")
 
-    wanted = met.select("node").distinct()
-    many = wanted.count() > BROADCAST_IDS
-    wanted = wanted if many else F.broadcast(wanted)
+    wanted = apart.select(F.explode(F.array("node", "leader_node")).alias("node")).distinct()
+    wanted = wanted if wanted.count() > BROADCAST_IDS else F.broadcast(wanted)
     texts = rows.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
     texts = written(texts, "texts")
 
     links = written(_links(stars, texts, words, similarity).union(split), "links")
     grouped = components(links)
-
-    # what meets in a signature across components: those outside its largest component against all others
-    placed = met.join(grouped, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    per = placed.groupBy("sig", "component").agg(F.count("*").alias("n"))
-    main = per.groupBy("sig").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = written(placed.join(main, "sig").select("sig", "node", "component", "main"), "mixed")
-    few = mixed.where("component <> main").select("sig", F.col("node").alias("a"), F.col("component").alias("component_a"))
-    others = mixed.select("sig", F.col("node").alias("b"), F.col("component").alias("component_b"))
-    crossed = few.join(others, "sig").where("component_a <> component_b")
-    crossed = crossed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    crossed = crossed.join(stars, ["a", "b"], "left_anti")
+    crossed = _crossed(met, shares, grouped, stars, _sketches(texts, words), similarity)
     more = written(_links(crossed, texts, words, similarity), "links")
     if not more.isEmpty():
         grouped = components(links.union(more))
