@@ -17,13 +17,19 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import SparkSession  # noqa: E402
 
 HEADLINE = (
+    "aggregable_lines",
     "price_stats_levels",
+    "price_stats_filtered",
+    "stats_by_zone",
     "line_outliers",
     "price_grid",
+    "price_grid_filtered",
     "site_fees",
     "quantity_threshold",
+    "trend_lines_by_date",
     "cooccurrence",
     "category_rollup",
+    "line_controls",
     "document_controls",
     "unit_normalization",
     "date_recovery",
@@ -34,6 +40,7 @@ HEADLINE = (
     "client_search",
     "bulk_validate",
     "undo_last",
+    "progress_kpis",
     "item_queue",
     "orphan_queue",
     "history_lines",

@@ -22,15 +22,6 @@ def hot_groups(df: DataFrame, keys: list[str], limit: int | None = None) -> Data
     return None if hot.isEmpty() else hot
 
 
-def split_hot(
-    df: DataFrame, hot: DataFrame | None, keys: list[str]
-) -> tuple[DataFrame, DataFrame | None]:
-    """(ordinary rows, rows of hot groups)."""
-    if hot is None:
-        return df, None
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
-
-
 def salts_for(rows: Column, limit: int) -> Column:
     """Number of salts that bring a group of ``rows`` rows under ``limit``."""
     return F.greatest(F.ceil(rows / F.lit(limit)), F.lit(1)).cast("int")

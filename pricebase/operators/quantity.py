@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricebase.functions.numbers import half_up, scaled, unscaled
-from pricebase.functions.quantiles import exact_quantiles
-from pricebase.functions.skew import running_before, split_hot
 
 MIN_SIDE = 4
 DROP = 0.95
-# up to this many lines an item has so few cuts that its points can meet all of them
-FEW_POINTS = 200
 
 
 def point_series(base: DataFrame, zones: DataFrame) -> DataFrame:
     """Dated price points of each item with their zone."""
-    return base.join(F.broadcast(zones.select("zone_id", "zone_code")), "zone_id", "left").select(
+    return base.join(zones.select("zone_id", "zone_code"), "zone_id", "left").select(
         "item_id",
         "line_id",
         "document_id",
@@ -60,105 +53,35 @@ def _best(candidates: DataFrame) -> DataFrame:
     )
 
 
-def _running_medians(group: pd.DataFrame) -> pd.DataFrame:
-    """Medians on both sides of every cut of one item, in one sweep each way (two heaps)."""
-    ordered = group.sort_values("quantity", kind="stable")
-    quantities = ordered["quantity"].tolist()
-    prices = ordered["_p"].tolist()
-    n = len(prices)
-
-    def sweep(indices: range) -> dict[int, float]:
-        low: list[float] = []
-        high: list[float] = []
-        after = {}
-        for count, i in enumerate(indices, start=1):
-            moved = -heapq.heappushpop(low, -prices[i])
-            heapq.heappush(high, moved)
-            if len(high) > len(low):
-                heapq.heappush(low, -heapq.heappop(high))
-            after[count] = -low[0] if count % 2 else (high[0] - low[0]) / 2
-        return after
-
-    below, above = sweep(range(n)), sweep(range(n - 1, -1, -1))
-    cuts = [
-        i
-        for i in range(MIN_SIDE, n - MIN_SIDE + 1)
-        if quantities[i] != quantities[i - 1]
-    ]
-    return pd.DataFrame(
-        {
-            "item_id": [group["item_id"].iloc[0]] * len(cuts),
-            "threshold": [quantities[i] for i in cuts],
-            "n_below": cuts,
-            "n_above": [n - i for i in cuts],
-            "below": [below[i] for i in cuts],
-            "above": [above[n - i] for i in cuts],
-        }
-    )
-
-
-def quantity_threshold(
-    points: DataFrame,
-    indexed: bool = False,
-    hot: DataFrame | None = None,
-    wide: DataFrame | None = None,
-) -> DataFrame:
+def quantity_threshold(points: DataFrame, indexed: bool = False) -> DataFrame:
     """Quantity from which an item's median price drops by more than 5 percent.
 
-    Each distinct quantity of an item is a candidate cut. ``wide`` lists the items with more than
-    ``FEW_POINTS`` lines and ``hot`` those too large for one task. The points of an ordinary item
-    meet its few cuts in a join; a wide item is swept once in each direction; for a hot item equal
-    points collapse and the medians come from the counting percentiles.
+    Each distinct quantity of an item is a candidate cut. Equal points of an item are counted
+    first; the distinct ones meet the item's cuts, and the medians of both sides weigh the counts.
     """
     price = scaled(F.col("price_indexed" if indexed else "unit_price"))
-    rows = points.select("item_id", "quantity", price.alias("_p"))
-    narrow, beyond = split_hot(rows, wide, ["item_id"])
+    counted = (
+        points.select("item_id", "quantity", price.alias("_p"))
+        .groupBy("item_id", "quantity", "_p")
+        .agg(F.count(F.lit(1)).alias("_w"))
+    )
     keys = ["item_id", "threshold", "n_below", "n_above"]
     lower = F.when(F.col("quantity") < F.col("threshold"), F.col("_p"))
     upper = F.when(F.col("quantity") >= F.col("threshold"), F.col("_p"))
     medians = (
-        narrow.join(_cuts(narrow), "item_id")
+        counted.join(_cuts(counted), "item_id")
         .groupBy(*keys)
         .agg(
-            F.percentile(lower, F.lit(0.5)).alias("below"),
-            F.percentile(upper, F.lit(0.5)).alias("above"),
+            F.percentile(lower, F.lit(0.5), F.col("_w")).alias("below"),
+            F.percentile(upper, F.lit(0.5), F.col("_w")).alias("above"),
         )
     )
-    if beyond is None:
-        return _best(medians)
-    swept, heavy = split_hot(beyond, hot, ["item_id"])
-    schema = (
-        "item_id bigint, threshold double, n_below bigint, n_above bigint, below double, above double"
-    )
-    numbers = swept.select(
-        "item_id", F.col("quantity").cast("double").alias("quantity"), F.col("_p").cast("double").alias("_p")
-    )
-    medians = medians.withColumn("threshold", F.col("threshold").cast("double")).unionByName(
-        numbers.groupBy("item_id").applyInPandas(_running_medians, schema)
-    )
-    if heavy is not None:
-        counts = heavy.groupBy("item_id", "quantity", "_p").agg(F.count(F.lit(1)).alias("w"))
-        sided = (
-            counts.join(_cuts_of_any_size(heavy), "item_id")
-            .withColumn("side", F.col("quantity") >= F.col("threshold"))
-            .groupBy(*keys, "side", "_p")
-            .agg(F.sum("w").alias("w"))
-        )
-        found = exact_quantiles(sided, [*keys, "side"], "_p", {"m": 0.5}, "w")
-        medians = medians.unionByName(
-            found.groupBy(*keys)
-            .agg(
-                F.max(F.when(~F.col("side"), F.col("m"))).alias("below"),
-                F.max(F.when(F.col("side"), F.col("m"))).alias("above"),
-            )
-            .withColumn("threshold", F.col("threshold").cast("double"))
-        )
     return _best(medians)
 
 
-def _cuts(rows: DataFrame) -> DataFrame:
+def _cuts(counted: DataFrame) -> DataFrame:
     """Distinct quantities of each item with at least four points on both sides."""
-    per_quantity = rows.groupBy("item_id", "quantity").agg(F.count(F.lit(1)).alias("c"))
+    per_quantity = counted.groupBy("item_id", "quantity").agg(F.sum("_w").alias("c"))
     item = Window.partitionBy("item_id")
     until = item.orderBy("quantity").rowsBetween(Window.unboundedPreceding, 0)
     return (
@@ -169,19 +92,6 @@ def _cuts(rows: DataFrame) -> DataFrame:
     )
 
 
-def _cuts_of_any_size(rows: DataFrame) -> DataFrame:
-    """The same cuts, with running counts spread over many tasks per item."""
-    per_quantity = rows.groupBy("item_id", "quantity").agg(F.count(F.lit(1)).alias("c"))
-    counted = running_before(per_quantity, "item_id", "quantity", F.col("c"), "n_below")
-    totals = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_all"))
-    return (
-        counted.join(totals, "item_id")
-        .withColumn("n_above", F.col("n_all") - F.col("n_below"))
-        .where((F.col("n_below") >= MIN_SIDE) & (F.col("n_above") >= MIN_SIDE))
-        .select("item_id", F.col("quantity").alias("threshold"), "n_below", "n_above")
-    )
-
-
 def trend_lines(points: DataFrame, x: str, indexed: bool = False) -> DataFrame:
     """Least-squares line of each item with its two end points; at least three distinct points.
 

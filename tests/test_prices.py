@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from checks import queries
 from pricebase.functions.quantiles import exact_quantiles
-from pricebase.functions.skew import hot_groups
 from pricebase.operators import cooccurrence as cooc
 from pricebase.operators import fees, quantity, stats
 from pricebase.plans import views
@@ -131,14 +130,28 @@ def test_fees_keep_items_without_amounts(spark):
     assert got[1].n == 3 and got[1].amount_median is None and got[2].share_median == 5.0
 
 
-def test_quantity_threshold_three_ways(base):
-    points = views.quantity_points(base)
-    narrow = rows_of(quantity.quantity_threshold(points))
-    everyone = base.select("item_id").distinct()
-    assert narrow
-    assert rows_of(quantity.quantity_threshold(points, wide=everyone)) == narrow
-    hot = hot_groups(base, ["item_id"], 12)
-    assert rows_of(quantity.quantity_threshold(points, wide=everyone, hot=hot)) == narrow
+def test_quantity_threshold_against_brute_force(spark):
+    draw = random.Random(8)
+    rows = []
+    for item in range(1, 7):
+        for _ in range(draw.choice([5, 9, 60])):
+            amount = draw.randint(1, 12)
+            price = draw.choice([100, 101, 120]) * (0.8 if amount > 6 and item % 2 else 1.0)
+            rows.append((item, Decimal(amount), Decimal(str(round(price, 4))), None))
+    points = spark.createDataFrame(rows, "item_id long, quantity decimal(14,3), unit_price decimal(14,4), price_indexed decimal(18,4)")
+    got = {r.item_id: (r.threshold, r.median_below, r.median_above, r.n_below, r.n_above) for r in quantity.quantity_threshold(points).collect()}
+    wanted = {}
+    for item in range(1, 7):
+        own = [(float(q), float(p)) for i, q, p, _ in rows if i == item]
+        found = []
+        for cut in {q for q, _ in own}:
+            below, above = [p for q, p in own if q < cut], [p for q, p in own if q >= cut]
+            if len(below) >= 4 and len(above) >= 4 and np.median(above) < 0.95 * np.median(below):
+                found.append((np.median(below) - np.median(above), -cut, np.median(below), np.median(above), len(below), len(above)))
+        if found:
+            _, cut, low, high, n_low, n_high = max(found)
+            wanted[item] = (-cut, pytest.approx(low), pytest.approx(high), n_low, n_high)
+    assert got == wanted and got
 
 
 def test_cooccurrence_with_large_documents(base):
