@@ -26,12 +26,14 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricebase.llm.common import prepared, shuffle_partitions, written
@@ -43,6 +45,8 @@ FREQUENT, SAMPLE_ONE_IN, MOST_FREQUENT, BITS = 4, 64, 1 << 19, 22
 SLACK = 0.08
 #: Signatures gathered in the text pass before they are dealt out; remembered words of a worker.
 CHUNK, REMEMBERED = 1_500_000, 300_000
+#: Coarse counts that a join compares before anything else of two sets.
+COARSE = 32
 #: Nodes whose texts are fetched by a broadcast of their ids; beyond it by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -337,15 +341,28 @@ def may_be_similar(a: bytes, b: bytes, size_a: int, size_b: int, bands: Bands) -
 
 
 def _sketches(texts: DataFrame, words: int) -> DataFrame:
+    """Per node: size, the counts of ``sketch``, and COARSE counts in columns c0, c1, ..."""
+    coarse = [f"c{i}" for i in range(COARSE)]
+    shift = np.uint64(64 - (COARSE - 1).bit_length())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = ngram_sets(batch.column("text").to_pylist(), words)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(sketch, sets), pa.binary())],
-                ["node", "size", "sketch"],
-            )
+            counts = np.array([np.bincount((s >> shift).astype(np.int64), minlength=COARSE) for s in sets], np.int32)
+            sizes = [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(sketch, sets), pa.binary())]
+            few = [pa.array(c) for c in counts.reshape(-1, COARSE).T.copy()]
+            yield pa.RecordBatch.from_arrays(sizes + few, ["node", "size", "sketch", *coarse])
+
+    return texts.mapInArrow(run, "node long, size long, sketch binary, " + ", ".join(f"{c} int" for c in coarse))
+
 
-    return texts.mapInArrow(run, "node long, size long, sketch binary")
+def _not_ruled_out(a: str, b: str, similarity: Fraction) -> Column:
+    """What ``may_be_similar`` tests, on sizes and coarse counts: a condition that the join itself evaluates."""
+    more, less = similarity.denominator + similarity.numerator, similarity.denominator - similarity.numerator
+    size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
+    apart = reduce(add, [F.abs(F.col(f"{a}.c{i}") - F.col(f"{b}.c{i}")) for i in range(COARSE)])
+    near = F.least(size_a, size_b) * similarity.denominator >= F.greatest(size_a, size_b) * similarity.numerator
+    return near & (apart * more <= (size_a + size_b) * less)
 
 
 def _crossed(
@@ -363,14 +380,21 @@ def _crossed(
     node_of = shares.select(F.explode(F.array(F.struct("doc_id", "node"), F.struct(F.col("leader").alias("doc_id"), F.col("leader_node").alias("node")))).alias("x"))
     members = members.join(node_of.select("x.*").distinct(), "doc_id").select("sig", "node").distinct().join(component, "node", "left")
     members = written(members.select("sig", "node", F.coalesce("component", "node").alias("component")), "members")
+    # of signatures with the same documents one is enough
+    content = members.groupBy("sig").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")
+    )
+    single = content.groupBy("n", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig")
+    members = written(members.join(single, "sig", "left_semi"), "members")
     per = members.groupBy("sig", "component").agg(F.count("*").alias("n"))
     main = per.groupBy("sig").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    few = members.join(main, "sig").where("component <> main").select("sig", F.col("node").alias("x"), F.col("component").alias("component_x"))
-    others = members.select("sig", F.col("node").alias("y"), F.col("component").alias("component_y"))
-    pairs = few.join(others, "sig").where("component_x <> component_y")
-    pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-
     known = written(sketches, "sketches")
+    counted = members.join(known.drop("sketch"), "node")
+    few = counted.join(main, "sig").where("component <> main").alias("x")
+    met_again = F.col("x.sig") == F.col("y.sig")
+    pairs = few.join(counted.alias("y"), met_again & (F.col("x.component") != F.col("y.component")) & _not_ruled_out("x", "y", similarity))
+    pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    pairs = pairs.join(stars, ["a", "b"], "left_anti")
     for side in "ab":
         pairs = pairs.join(known.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
 
