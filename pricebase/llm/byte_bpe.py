@@ -100,14 +100,13 @@ class _Remembered(dict):
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, model: models.BPE, pattern: str, letter_or_number: Callable[[str], str], token_bytes: list[bytes]):
+    def __init__(self, model: models.BPE, pattern: str, letter_or_number: Callable[[str], str]):
         self._tokenize = model.tokenize
         self._pattern = regex.compile(pattern)
         self._class_of = letter_or_number
         self._classes: dict[str, str] = {}
         self._pieces = _Remembered(self._piece)
         self._chunks = _Remembered(lambda chunk: self._split(" " + chunk))
-        self.token_bytes = token_bytes
 
     def _piece(self, piece: str) -> bytes:
         return array("I", [t.id for t in self._tokenize(as_characters(piece.encode()))]).tobytes()
@@ -144,18 +143,30 @@ class Encoder:
         first, *others = text.split(" ")
         return self._split(first) + b"".join(map(self._chunks.__getitem__, others))
 
-    def offsets(self, text: str, ids: np.ndarray) -> np.ndarray:
-        """Character spans (first, past the last) of the tokens."""
-        lengths = np.array([len(self.token_bytes[i]) for i in ids], np.int64)
-        ends = np.cumsum(lengths)
-        lead = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
-        character = np.cumsum(lead) - 1
-        return np.stack([character[ends - lengths], character[ends - 1] + 1], 1) if len(ids) else np.zeros((0, 2), np.int64)
+
+def offsets_of(text: str, ids: np.ndarray, table: list[bytes]) -> np.ndarray:
+    """Character spans (first, past the last) of the tokens."""
+    lengths = np.array([len(table[i]) for i in ids], np.int64)
+    ends = np.cumsum(lengths)
+    lead = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
+    character = np.cumsum(lead) - 1
+    return np.stack([character[ends - lengths], character[ends - 1] + 1], 1) if len(ids) else np.zeros((0, 2), np.int64)
 
 
 _RUNS = [c + " " for c in " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"]
 
 
+@functools.lru_cache(maxsize=4)
+def token_table(path: str) -> list[bytes]:
+    """The bytes of every id."""
+    if path.endswith(".tiktoken"):
+        ids = {rank: token for token, rank in read_ranks(path).items()}
+    else:
+        vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+        ids = {i: as_bytes(t) if all(c in _TO_BYTES for c in t) else t.encode() for t, i in vocabulary.items()}
+    return [ids.get(i, b"") for i in range(max(ids) + 1)]
+
+
 @functools.lru_cache(maxsize=4)
 def ranks_encoder(path: str, pattern: str) -> Encoder:
     """For a rank file, splitting as tiktoken does."""
@@ -172,10 +183,7 @@ def ranks_encoder(path: str, pattern: str) -> Encoder:
     def class_of(character: str) -> str:
         return next((k for k, d in (("L", "a"), ("N", "1")) if asked.encode_ordinary(character + d)[-1] >= 256), "-")
 
-    token_bytes = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        token_bytes[rank] = token
-    return Encoder(model, pattern, class_of, token_bytes)
+    return Encoder(model, pattern, class_of)
 
 
 @functools.lru_cache(maxsize=4)
@@ -187,11 +195,7 @@ def tokenizer_encoder(path: str, pattern: str) -> Encoder:
     def class_of(character: str) -> str:
         return next((k for k, d in (("L", "a"), ("N", "1")) if len(split(character + d)) == 1), "-")
 
-    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
-    token_bytes = [b""] * (max(vocabulary.values()) + 1)
-    for token, at in vocabulary.items():
-        token_bytes[at] = as_bytes(token) if all(c in _TO_BYTES for c in token) else token.encode()
-    return Encoder(tokenizer.model, pattern, class_of, token_bytes)
+    return Encoder(tokenizer.model, pattern, class_of)
 
 
 def encoder(path: str, pattern: str) -> Encoder:
@@ -222,7 +226,7 @@ def encode(
             lengths = [len(b) // 4 for b in blobs]
             columns = [batch.column(f.name) for f in fields] + [_lists(ids, lengths, pa.int32())]
             if offsets:
-                spans = [own.offsets(t, np.frombuffer(b, "<u4")) for t, b in zip(texts, blobs)]
+                spans = [offsets_of(t, np.frombuffer(b, "<u4"), token_table(path)) for t, b in zip(texts, blobs)]
                 both = np.concatenate(spans) if spans else np.zeros((0, 2), np.int64)
                 columns += [_lists(both[:, k].astype(np.int32), lengths, pa.int32()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields] + added)
@@ -231,7 +235,7 @@ def encode(
 
 
 def decode(
-    rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str | None = "bytes", text_col: str | None = None
+    rows: DataFrame, path: str, ids_col: str = "ids", bytes_col: str | None = "bytes", text_col: str | None = None
 ) -> DataFrame:
     """All columns, then the decoded bytes and, if named, the text."""
     prepared(rows.sparkSession)
@@ -240,7 +244,7 @@ def decode(
     schema = StructType(rows.schema.fields + [StructField(n, k) for n, k in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = encoder(path, pattern).token_bytes
+        table = token_table(path)
         size = len(table)
 
         def token(i: int | None) -> bytes:

@@ -48,7 +48,7 @@ def test_encode_and_decode_round_trip(spark, known):
     docs = frame(spark, ODD)
     encoded = byte_bpe.encode(docs, RANKS, P.PATTERN, offsets=True)
     assert encoded.columns == ["doc_id", "lang", "part", "ids", "starts", "ends"]
-    decoded = byte_bpe.decode(encoded, RANKS, P.PATTERN, text_col="again").collect()
+    decoded = byte_bpe.decode(encoded, RANKS, text_col="again").collect()
     for row in decoded:
         text = ODD[row.doc_id] or ""
         assert row.ids == known.encode_ordinary(text) and row.again == text and bytes(row.bytes) == text.encode()
@@ -58,7 +58,7 @@ def test_encode_and_decode_round_trip(spark, known):
 
 def test_decode_defines_odd_ids(spark):
     rows = spark.createDataFrame([(1, [100, None]), (2, None), (3, [10**6]), (4, [])], "doc_id long, ids array<int>")
-    found = {r.doc_id: bytes(r.bytes) for r in byte_bpe.decode(rows, RANKS, P.PATTERN).collect()}
+    found = {r.doc_id: bytes(r.bytes) for r in byte_bpe.decode(rows, RANKS).collect()}
     assert found[2] == found[4] == b"" and found[3] == "�".encode() and found[1]
 
 
