@@ -6,13 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricebase.functions.numbers import half_up
-from pricebase.functions.quantiles import exact_quantiles
-from pricebase.functions.skew import hot_groups
 from pricebase.session import materialized
 
 MIN_DOCUMENTS = 3
-# a document with more distinct items than this does not generate pairs by itself
-LARGE_DOCUMENT = 2_000
 
 
 def _pairs_within(memberships: DataFrame) -> DataFrame:
@@ -25,62 +21,14 @@ def _pairs_within(memberships: DataFrame) -> DataFrame:
     )
 
 
-def _joint_counts(
-    memberships: DataFrame, large: DataFrame | None, min_documents: int
-) -> DataFrame:
-    """Joint document counts without unfolding the pairs of a very large document.
-
-    Ordinary documents generate their pairs. A large document is only probed: pairs seen in an
-    ordinary document are looked up in it, and pairs seen in large documents alone are generated
-    over the items that at least ``min_documents`` large documents share.
-    """
-    if large is None:
-        return (
-            _pairs_within(memberships)
-            .groupBy("item_a", "item_b")
-            .agg(F.count(F.lit(1)).alias("n_together"))
-        )
-    ordinary = memberships.join(large, "document_id", "left_anti")
-    big = memberships.join(large, "document_id", "left_semi")
-    counted = (
-        _pairs_within(ordinary).groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n"))
-    )
-    probes = (
-        counted.join(big.withColumnRenamed("item_id", "item_a"), "item_a")
-        .join(big.withColumnRenamed("item_id", "item_b"), ["document_id", "item_b"])
-        .groupBy("item_a", "item_b")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    shared = big.groupBy("item_id").count().where(F.col("count") >= min_documents)
-    salted = big.join(shared.select("item_id"), "item_id", "left_semi").withColumn(
-        "salt", F.pmod(F.xxhash64("item_id"), F.lit(64))
-    )
-    spread = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    alone = (
-        salted.withColumnRenamed("item_id", "item_a")
-        .join(spread.withColumnRenamed("item_id", "item_b"), ["document_id", "salt"])
-        .where(F.col("item_a") < F.col("item_b"))
-        .groupBy("item_a", "item_b")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(counted, ["item_a", "item_b"], "left_anti")
-    )
-    return (
-        counted.unionByName(probes)
-        .unionByName(alone)
-        .groupBy("item_a", "item_b")
-        .agg(F.sum("n").alias("n_together"))
-    )
-
-
-def cooccurrence(
-    base: DataFrame, min_documents: int = MIN_DOCUMENTS, large_document: int = LARGE_DOCUMENT
-) -> DataFrame:
+def cooccurrence(base: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """Pairs (a < b) found together in at least ``min_documents`` documents.
 
     Counts are over distinct documents, the quantity ratio over line pairs. An item in fewer
-    documents than the minimum cannot be part of a pair, so it leaves before any pair is formed.
+    documents than the minimum cannot be part of a pair, so it leaves before any pair is formed;
+    quantities are looked up only in the documents that a remaining pair really shares.
     """
-    # equal quantities of a document collapse into a weight; read five times, so written once
+    # equal quantities of a document collapse into a weight; read several times, so written once
     quantities = materialized(
         base.groupBy("document_id", "item_id", F.col("quantity").cast("double").alias("q")).agg(
             F.count(F.lit(1)).alias("w")
@@ -90,26 +38,27 @@ def cooccurrence(
     totals = memberships.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
     frequent = totals.where(F.col("n_documents") >= min_documents)
     kept = memberships.join(frequent.select("item_id"), "item_id", "left_semi")
-    large = hot_groups(memberships, ["document_id"], large_document)
-    joint = _joint_counts(kept, large, min_documents).where(F.col("n_together") >= min_documents)
+    pairs = _pairs_within(kept)
+    joint = pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n_together"))
+    joint = materialized(joint.where(F.col("n_together") >= min_documents))
 
-    # ratios only for the pairs that stay
-    quantities = quantities.where(F.col("q").isNotNull())
-    a = quantities.select(
+    shared = pairs.join(joint.select("item_a", "item_b"), ["item_a", "item_b"], "left_semi")
+    known = quantities.where(F.col("q").isNotNull())
+    a = known.select(
         "document_id", F.col("item_id").alias("item_a"), F.col("q").alias("qa"), F.col("w").alias("wa")
     )
-    b = quantities.select(
+    b = known.select(
         "document_id", F.col("item_id").alias("item_b"), F.col("q").alias("qb"), F.col("w").alias("wb")
     )
     ratios = (
-        joint.select("item_a", "item_b")
-        .join(a, "item_a")
+        shared.join(a.where(F.col("qa") != 0), ["document_id", "item_a"])
         .join(b, ["document_id", "item_b"])
-        .where(F.col("qa") != 0)
         .groupBy("item_a", "item_b", (F.col("qb") / F.col("qa")).alias("ratio"))
         .agg(F.sum(F.col("wa") * F.col("wb")).alias("w"))
     )
-    medians = exact_quantiles(ratios, ["item_a", "item_b"], "ratio", {"median": 0.5}, "w")
+    medians = ratios.groupBy("item_a", "item_b").agg(
+        F.percentile("ratio", F.lit(0.5), F.col("w")).alias("median")
+    )
     n_a = totals.select(F.col("item_id").alias("item_a"), F.col("n_documents").alias("n_a"))
     n_b = totals.select(F.col("item_id").alias("item_b"), F.col("n_documents").alias("n_b"))
     return (

@@ -6,10 +6,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A group with more rows than this is never aggregated exactly inside one task.
-HOT_ROWS_KEY = "spark.pricebase.hotGroupRows"
-HOT_ROWS_DEFAULT = 2_000_000
-
 _RUNTIME_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -30,10 +26,6 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def hot_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get(HOT_ROWS_KEY, str(HOT_ROWS_DEFAULT)))
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
     current = spark.sparkContext.getCheckpointDir()

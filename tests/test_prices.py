@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import queries
-from pricebase.functions.quantiles import exact_quantiles
 from pricebase.operators import cooccurrence as cooc
 from pricebase.operators import fees, quantity, stats
 from pricebase.plans import views
@@ -18,17 +17,6 @@ def rows_of(frame):
     return sorted((tuple(r) for r in frame.collect()), key=repr)
 
 
-def test_exact_quantiles_match_numpy(spark):
-    draw = random.Random(3)
-    data = [(g, round(draw.lognormvariate(3, 2) * draw.choice([1, -1]), 4), draw.randint(1, 4))
-            for g in ("a", "b", None) for _ in range(400)]
-    frame = spark.createDataFrame(data, "g string, v double, w int")
-    got = exact_quantiles(frame, ["g"], "v", {"q1": 0.25, "q2": 0.5, "q3": 0.9}, "w")
-    for r in got.collect():
-        values = np.repeat([v for g, v, _ in data if g == r.g], [w for g, _, w in data if g == r.g])
-        assert [r.q1, r.q2, r.q3] == pytest.approx(np.quantile(values, [0.25, 0.5, 0.9]).tolist())
-
-
 def test_levels_add_up(base):
     levels = stats.price_stats_levels(base).persist()
     total = {r.item_id: r.n for r in stats.at_level(levels, "global").collect()}
@@ -154,11 +142,24 @@ def test_quantity_threshold_against_brute_force(spark):
     assert got == wanted and got
 
 
-def test_cooccurrence_with_large_documents(base):
-    plain = rows_of(cooc.cooccurrence(base, 2))
-    assert plain
-    assert rows_of(cooc.cooccurrence(base, 2, large_document=2)) == plain
-    assert rows_of(cooc.cooccurrence(base, 2, large_document=1)) == plain
+def test_cooccurrence_against_brute_force(spark):
+    draw = random.Random(12)
+    rows = [(draw.randint(1, 25), draw.randint(1, 12), draw.choice([0.0, 1.0, 2.0, 4.0, None])) for _ in range(260)]
+    rows += [(99, i, 3.0) for i in range(1, 40)]
+    base = spark.createDataFrame(rows, "document_id long, item_id long, quantity double")
+    items = {i: {d for d, x, _ in rows if x == i} for i in {x for _, x, _ in rows}}
+    wanted = {}
+    for a in items:
+        for b in items:
+            both = items[a] & items[b]
+            if a < b and len(both) >= 3:
+                ratios = [
+                    qb / qa for d, x, qa in rows if x == a and d in both and qa for e, y, qb in rows if y == b and e == d and qb is not None
+                ]
+                median = float(np.floor(np.median(ratios) * 1000 + 0.5) / 1000) if ratios else None
+                wanted[a, b] = (len(both), len(items[a]), len(items[b]), median)
+    got = {(r.item_a, r.item_b): (r.n_together, r.n_a, r.n_b, r.ratio_b_over_a) for r in cooc.cooccurrence(base).collect()}
+    assert got == wanted and got
 
 
 def test_grid_sorts_missing_last(model):
