@@ -106,6 +106,23 @@ def test_fillings_use_every_piece_once():
         assert sum(t for _, t in plan) <= sum(plain.values()) + 1
 
 
+def test_the_program_packs_what_best_fit_cannot():
+    rng, histogram = np.random.default_rng(1), Counter()
+    while len(histogram) < 90:  # triples that fill a sequence exactly: as many sequences as triples, and no fewer
+        a, b = (int(x) for x in rng.integers(129, 256, 2))
+        if 128 < 512 - a - b < 256:
+            histogram.update({k: 20 * n for k, n in Counter([a, b, 512 - a - b]).items()})
+    lengths = np.array(sorted(histogram))
+    counts = np.array([histogram[k] for k in lengths.tolist()])
+    optimum = sum(counts) // 3
+    cover, value, bound = packing.Program(lengths, counts, 512).cover(packing.ROUNDS)
+    assert optimum - 1e-6 <= bound + 1e-3 and optimum <= value + 1e-6 and value <= 1.03 * optimum
+    made, rest = packing.solved(lengths, counts, 512)
+    assert made.total() >= 0.95 * optimum and rest.total() <= 0.05 * optimum
+    assert sum(t for _, t in packing.fillings(dict(histogram), 512)) <= 1.01 * optimum
+    assert sum(packing.best_fit(lengths, counts, 512).values()) > 1.05 * optimum
+
+
 PAGE = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body class="no-sidebar"><nav><ul><li>menu</ul></nav>
 <div class="ad-box ad">buy</div><article><h1>One &amp; two</h1><p><b>First<br><p>Second  line
 </p><div class="share">tweet</div></article><div id="comments"><p>nice</p></div><footer>f</footer></body></html>"""
