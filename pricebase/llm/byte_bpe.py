@@ -186,20 +186,37 @@ def ranks_encoder(path: str, pattern: str) -> Encoder:
     return Encoder(model, pattern, class_of)
 
 
+class WithAddedTokens:
+    """An encoder whose texts that spell an added token of the tokenizer are left to the tokenizer."""
+
+    def __init__(self, own: Encoder, tokenizer: Tokenizer):
+        self._own, self._tokenizer = own, tokenizer
+        self._added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def encode(self, text: str) -> bytes:
+        if any(content in text for content in self._added):
+            return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self._own.encode(text)
+
+
 @functools.lru_cache(maxsize=4)
-def tokenizer_encoder(path: str, pattern: str) -> Encoder:
-    """For a byte-level BPE file of the tokenizers library, splitting as it does; special tokens are ordinary text."""
+def tokenizer_encoder(path: str, pattern: str, added_tokens: bool = False) -> Encoder | WithAddedTokens:
+    """For a byte-level BPE file of the tokenizers library, splitting as it does; added tokens keep their ids or are ordinary text."""
     tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
     split = tokenizer.pre_tokenizer.pre_tokenize_str
 
     def class_of(character: str) -> str:
         return next((k for k, d in (("L", "a"), ("N", "1")) if len(split(character + d)) == 1), "-")
 
-    return Encoder(tokenizer.model, pattern, class_of)
+    own = Encoder(tokenizer.model, pattern, class_of)
+    return WithAddedTokens(own, tokenizer) if added_tokens else own
 
 
-def encoder(path: str, pattern: str) -> Encoder:
-    return ranks_encoder(path, pattern) if path.endswith(".tiktoken") else tokenizer_encoder(path, pattern)
+def encoder(path: str, pattern: str, added_tokens: bool = False) -> Encoder | WithAddedTokens:
+    """``added_tokens`` concerns tokenizer files; rank files have none."""
+    return ranks_encoder(path, pattern) if path.endswith(".tiktoken") else tokenizer_encoder(path, pattern, added_tokens)
 
 
 def _lists(values: np.ndarray, lengths: list[int], kind: pa.DataType) -> pa.ListArray:

@@ -43,13 +43,13 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, total, capacity))]
 
 
-def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int, closing_id: int) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int, closing_id: int, added_tokens: bool = False) -> DataFrame:
     """Pieces of the encoded documents, numbered within task and length."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     closing = closing_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, task, seen = encoder(path, pattern), TaskContext.get().partitionId(), Counter()
+        own, task, seen = encoder(path, pattern, added_tokens), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -230,10 +230,11 @@ def _places(plan: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarra
     return {k: tuple(np.array(c, np.int64) for c in zip(*rows)) for k, rows in found.items()}
 
 
-def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, closing_id: int = 0) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, closing_id: int = 0, added_tokens: bool = False) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. With ``added_tokens``, a text that spells an
+    added token of the tokenizer holds its id, as ``Tokenizer.encode`` has it; else it is ordinary text."""
     spark = prepared(docs.sparkSession)
-    pieces = written(token_pieces(docs, path, pattern, capacity, closing_id), "pieces")
+    pieces = written(token_pieces(docs, path, pattern, capacity, closing_id, added_tokens), "pieces")
     counts = written(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = spark.sparkContext.broadcast(_places(fillings(histogram, capacity)))  # bounded by the capacity

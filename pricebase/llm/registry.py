@@ -42,7 +42,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
-    return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), path, pattern, 2048)
+    return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), path, pattern, 2048, added_tokens=True)
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

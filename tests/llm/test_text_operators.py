@@ -91,6 +91,24 @@ def test_packing_is_gapless_and_complete(spark):
     assert packing.pack(docs.where("doc_id > 9999"), FILE, P.PATTERN, 256).count() == 0
 
 
+def test_packing_query_keeps_ids_of_added_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from pricebase.llm import registry
+
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "a  <|endoftext|> <|endoftext|>\n" * 700, "<|endoftext|", "plain 日本", None]
+    docs = frame(spark, texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    file = Tokenizer.from_file(FILE)
+    assert file.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
+    for packed in (registry.op3_packing(spark, str(tmp_path)), corpus_pipeline.best_fit_packing(spark, docs, str(tmp_path))):
+        rows = packed.collect()
+        for doc_id, text in enumerate(texts):
+            ids = file.encode(text or "", add_special_tokens=False).ids + [0]
+            own = sorted((r for r in rows if r.doc_id == doc_id), key=lambda r: r.piece)
+            assert [(r.start, r.length) for r in own] == packing.cut(len(ids), 2048)
+            assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in own)
+
+
 def test_fillings_use_every_piece_once():
     random.seed(2)
     for size, most in ((1, 4), (40, 3), (300, 60)):
