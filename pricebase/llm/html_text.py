@@ -4,14 +4,14 @@ Every element subtree of a page is hashed; Spark counts on how many pages of the
 that recur on at least half of the host's pages (three or more) are template and go. What is always furniture by its
 element, role or class (menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles, comments)
 goes as well, also on hosts with a single page. The text is that of the ``article`` elements, else of ``main``, else of
-the body. Those containers themselves, and the text blocks inside ``article`` and ``main``, are content even if they
-recur: an article published twice keeps its text.
+the body. Those containers themselves, and the text blocks inside ``article`` and ``main`` with the elements around them, are
+content even if they recur, and inline elements go only with their block. Pages of equal html count once.
 
 Blocks are joined by two newlines, white space inside a block becomes one space, character references are decoded.
 
 Defined results: null or empty html gives an empty text; pages without a host have no template; unclosed elements end
 where their parent does; nothing is cut, however long or deep; repeated rows are extracted separately, and count as
-pages of their host; extra columns are ignored.
+one page of their host; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,11 +61,11 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "roles", "children", "digest", "holds_main", "inside")
+    __slots__ = ("tag", "names", "roles", "children", "digest", "holds_main", "holds_text", "inside")
 
     def __init__(self, tag: str, attributes: str, inside: bool):
         found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
-        self.tag, self.children, self.digest, self.holds_main = tag, [], 0, False
+        self.tag, self.children, self.digest, self.holds_main, self.holds_text = tag, [], 0, False, False
         self.names = frozenset(_WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}")) if found else frozenset()
         self.roles = frozenset(found.get("role", "").split()) if found else frozenset()
         #: whether an article or main is around it
@@ -87,7 +87,9 @@ class Node:
         return not self.holds_main and bool(self.names & NAMES or self.roles & ROLES)
 
     def may_be_template(self) -> bool:
-        return not (self.tag in CONTAINERS or self.holds_main or self.inside and self.tag in TEXT_BLOCKS)
+        if self.tag not in BLOCKS or self.tag in CONTAINERS or self.holds_main:
+            return False
+        return not (self.inside and (self.holds_text or self.tag in TEXT_BLOCKS))
 
 
 def parse(html: str) -> tuple[Node, list[Node]]:
@@ -142,6 +144,11 @@ def parse(html: str) -> tuple[Node, list[Node]]:
         if tag in ("article", "main") or "main" in node.roles:
             for around in stack:
                 around.holds_main = True
+        if tag in TEXT_BLOCKS:
+            for around in reversed(stack):
+                if around.holds_text:
+                    break
+                around.holds_text = True
         if tag in VOID:
             node.closed()
             done.append(node)
@@ -209,16 +216,19 @@ def host_templates(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes = [], []
-            for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+            hosts, hashes, contents = [], [], []
+            for host, html, content in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "content"))):
                 found = template_candidates(html)
                 hosts += [host] * len(found)
                 hashes += [h - (1 << 64) if h >> 63 else h for h in found]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
-
-    with_host = pages.where("host <> ''")
-    sizes = with_host.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= TEMPLATE_PAGES)
-    counts = with_host.select("host", "html").mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
+                contents += [content] * len(found)
+            columns = [pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(contents, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "hash", "content"])
+
+    with_host = pages.where("host <> ''").select("host", "html", F.xxhash64("html").alias("content"))
+    sizes = with_host.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= TEMPLATE_PAGES)
+    found = with_host.mapInArrow(run, "host string, hash long, content long").distinct()
+    counts = found.groupBy("host", "hash").agg(F.count("*").alias("n"))
     recurring = counts.where(F.col("n") >= TEMPLATE_PAGES).join(sizes, "host").where(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
     return recurring.groupBy("host").agg(F.collect_list("hash").alias("template"))
 

@@ -164,6 +164,20 @@ def test_template_goes_and_articles_stay(spark):
     assert html_text.extract(rows.where("page_id > 99")).count() == 0
 
 
+def test_recurring_article_text_stays(spark):
+    real = spark.read.parquet(f"{SMALL}/pages.parquet").first().html
+    near = [real + f"<p>{i}</p>" for i in range(3)]
+    pages = [(i, "http://copies.org/", real) for i in range(3)] + [(10 + i, "http://near.org/", h) for i, h in enumerate(near)]
+    body = "<article><div class=body><p>the text</p><ul><li>one</ul></div><p>n {}</article>"
+    pages += [(20 + i, "http://wrap.org/", body.format(i)) for i in range(4)]
+    pages += [(30 + i, "http://inline.org/", f"<p>do <em>not</em> go {i}</p>") for i in range(4)]
+    pages += [(40 + i, "http://same.org/", "<div>only line</div>") for i in range(4)]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == found[10 + i] == html_text.main_text(real, frozenset()) for i in range(3))
+    assert all(found[20 + i] == f"the text\n\none\n\nn {i}" and found[30 + i] == f"do not go {i}" for i in range(4))
+    assert all(found[40 + i] == "only line" for i in range(4))
+
+
 def test_extraction_of_the_test_pages(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     html = {r.page_id: r.html for r in pages.collect()}
