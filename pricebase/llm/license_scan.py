@@ -4,6 +4,9 @@ Words unique to both a template and a stretch of text are anchors; their longest
 alignment, the gaps between anchors are aligned in the same way, and where a gap has no unique word its equal beginning
 and end are taken. The coverage of a template is the share of its words that are aligned.
 
+A find must also hold, word after word, the phrases that tell its licence from others (``MUST``: name, version, what sets it
+apart), and none of those that make it another licence may be in it or follow it (``MUST_NOT``).
+
 Words are runs of ASCII letters and digits and of other characters; only A-Z change case. A template is tried on a text
 that holds enough of its words to reach the threshold, around every occurrence of its key words: its rarest words, so
 many that without all of them the threshold is out of reach. So nothing is missed by looking only there.
@@ -52,6 +55,15 @@ TEMPLATES: list[tuple[str, str]] = [
         "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
         "the following disclaimer in the documentation and/or other materials provided with the distribution.",
     ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the "
+        "copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission.",
+    ),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
         "Apache-2.0",
@@ -71,8 +83,54 @@ TEMPLATES: list[tuple[str, str]] = [
     ),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    *[
+        (
+            f"{short}-or-later",
+            "This program is free software: you can redistribute it and/or modify it under the terms of the "
+            f"{name} as published by the Free Software Foundation, either version {short[-3]} of the License, or (at your option) any later version.",
+        )
+        for short, name in (
+            ("GPL-2.0", "GNU General Public License"),
+            ("LGPL-3.0", "GNU Lesser General Public License"),
+            ("AGPL-3.0", "GNU Affero General Public License"),
+        )
+    ],
 ]
 
+_CC = "creative commons attribution"
+#: Per licence the phrases of which one must be held whole, for each row one. Licences without an entry ask for none.
+MUST: dict[str, list[tuple[str, ...]]] = {
+    "MIT": [("mit license", "permission is hereby granted"), ("mit license", "this permission notice shall be included")],
+    "ISC": [("and or distribute this software for any purpose",)],
+    "BSD-2-Clause": [("redistribution and use in source and binary forms",)],
+    "BSD-3-Clause": [("redistribution and use in source and binary forms",), ("neither the name",), ("endorse or promote",)],
+    "Apache-2.0": [("apache license version 2 0",)],
+    "MPL-2.0": [("mozilla public license v 2 0",)],
+    "CC-BY-4.0": [("cc by 4 0", f"{_CC} 4 0")],
+    "CC-BY-SA-4.0": [("cc by sa 4 0", f"{_CC} sharealike 4 0")],
+    "CC-BY-NC-4.0": [("cc by nc 4 0", f"{_CC} noncommercial 4 0")],
+    "CC-BY-NC-SA-4.0": [("cc by nc sa 4 0", f"{_CC} noncommercial sharealike 4 0")],
+} | {
+    f"{short}-{version}.0{later}": [(f"gnu {name}general public license",), phrases]
+    for short, name in (("GPL", ""), ("LGPL", "lesser "), ("AGPL", "affero "))
+    for version in (2, 3)
+    for later, phrases in (("", (f"public license version {version}",)), ("-or-later", (f"version {version} of the license or at your option any later version",)))
+}
+#: Per licence: phrases that contradict it, and how many words after the find they are looked for, too.
+MUST_NOT: dict[str, tuple[tuple[str, ...], int]] = {
+    "BSD-2-Clause": (("endorse or promote", "neither the name"), 60),
+    **{f"{k}-{v}.0": (("or later", "or any later", "or at your option"), 5) for k in ("GPL", "LGPL", "AGPL") for v in (2, 3)},
+}
+
 _SPACED = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
 
@@ -125,6 +183,11 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
+def _within(phrase: list[bytes], words: list[bytes]) -> bool:
+    n = len(phrase)
+    return any(w == phrase[0] and words[i : i + n] == phrase for i, w in enumerate(words))
+
+
 @dataclass(frozen=True)
 class Find:
     license: str
@@ -138,6 +201,8 @@ class Scanner:
     def __init__(self, templates: list[tuple[str, str]], coverage: float = COVERAGE):
         self.coverage = coverage
         self.templates = [(name, words_of(text)) for name, text in templates]
+        self.must = {name: [[words_of(p) for p in phrases] for phrases in rows] for name, rows in MUST.items()}
+        self.must_not = {name: ([words_of(p) for p in phrases], after) for name, (phrases, after) in MUST_NOT.items()}
         spread = Counter(w for _, words in self.templates for w in set(words))
         self.counts = [Counter(words) for _, words in self.templates]
         self.vocabulary = frozenset(spread)
@@ -165,6 +230,15 @@ class Scanner:
                         tried.add(stretch)
                         yield stretch
 
+    def _tells(self, name: str, template: list[bytes], words: list[bytes], first: int, last: int) -> bool:
+        """Whether the words of a find tell this licence; only what its template itself holds can be asked for."""
+        held = words[first : last + 1]
+        for phrases in self.must.get(name, ()):
+            if (own := [p for p in phrases if _within(p, template)]) and not any(_within(p, held) for p in own):
+                return False
+        phrases, after = self.must_not.get(name, ((), 0))
+        return not any(_within(p, words[first : last + 1 + after]) for p in phrases)
+
     def scan(self, text: str) -> list[Find]:
         words = words_of(text)
         present = self.vocabulary.intersection(words)
@@ -177,7 +251,7 @@ class Scanner:
                 continue
             for start, end in self._tries(words, number):
                 pairs = align(template, words[start:end])
-                if len(pairs) >= needed:
+                if len(pairs) >= needed and self._tells(name, template, words, start + pairs[0][1], start + pairs[-1][1]):
                     found.append(Find(name, len(pairs) / len(template), len(pairs), start + pairs[0][1], start + pairs[-1][1]))
         kept: list[Find] = []
         firsts: list[int] = []

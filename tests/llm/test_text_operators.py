@@ -258,6 +258,30 @@ def test_licenses_are_found_whole_changed_and_repeated(spark):
     assert found[3][0].first_word == 2
 
 
+def test_other_licenses_are_not_taken_for_known_ones():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    work = "This work is licensed under "
+    expected = {
+        "Released under the Apache License": [],
+        "This project is licensed under the terms of the BSD license.": [],
+        work + "the GNU General Public License, version 2.": ["GPL-2.0"],
+        work + "the GNU General Public License, version 3.": ["GPL-3.0"],
+        work + "the GNU Lesser General Public License, version 3.": ["LGPL-3.0"],
+        work + "the GNU Affero General Public License, version 3.": ["AGPL-3.0"],
+        work + "the GNU Library General Public License, version 2.": [],
+        work + "the GNU General Public License, version 3 or any later version.": [],
+        "Licensed under CC BY 4.0.": ["CC-BY-4.0"],
+        "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0"],
+        "Licensed under CC BY-ND 4.0.": [],
+        work + "a Creative Commons Attribution-ShareAlike 4.0 International License.": ["CC-BY-SA-4.0"],
+        work + "a Creative Commons Attribution 3.0 International License.": [],
+    } | {text: [name] for name, text in license_scan.TEMPLATES}
+    bsd3 = next(t for n, t in license_scan.TEMPLATES if n == "BSD-3-Clause")
+    expected[bsd3.replace("copyright holder", "University of X").replace("specific prior", "")] = ["BSD-3-Clause"]
+    for text, names in expected.items():
+        assert [f.license for f in scanner.scan(f"a b {text} c d")] == names, text
+
+
 def test_licenses_of_the_test_documents(spark):
     docs = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet")
     lines = [t for _, t in license_scan.TEMPLATES if len(t) < 80]
