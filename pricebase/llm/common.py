@@ -35,6 +35,17 @@ def written(rows: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """The names, lengthened where a column is called the same (Spark compares names without case)."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        found.append(name)
+    return found
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

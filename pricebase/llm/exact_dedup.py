@@ -2,8 +2,9 @@
 
 Sampled splitters range-partition the normalised texts, an external sort inside every range places equal texts next to
 each other, and neighbours are compared in full. The order of ranges is (first characters, hash of the whole text, id),
-so a common beginning or one huge group of copies is spread over many ranges; the runs at the edges of ranges, two per
-range, are then joined by their full texts.
+so a common beginning or one huge group of copies is spread over many ranges. A range is sorted in that same order, the
+full text before the id. Only a run that has the beginning and hash of a splitter can go on in another range; these runs
+are then joined by their full texts.
 
 Defined results: a null text counts as empty, equal to other empty ones; a null id never wins over an id; of repeated
 rows with the same id and text one is kept; an empty table gives an empty result; further columns are ignored.
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricebase.llm.common import prepared, range_of, sampled_splitters, shuffle_partitions, written
+from pricebase.llm.common import prepared, range_of, sampled_splitters, shuffle_partitions, unused, written
 
 #: Characters of the text in a splitter; the hash and the id divide what shares them.
 SPLITTER_CHARS = 48
@@ -31,12 +32,16 @@ _ARROW = pa.schema(
 )
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of equal neighbours of one sorted range; only ids of the current run are held."""
-    run, text, ids, part = 0, None, [], 0
+def _neighbours(batches: Iterator[pa.RecordBatch], divided: frozenset[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
+    """Runs of equal neighbours of one sorted range; only ids of the current run are held.
 
-    def closed(edge: bool) -> pa.RecordBatch:
+    ``divided`` holds beginning and hash of the splitters: runs that may go on in another range.
+    """
+    run, text, hashed, ids, part = 0, None, 0, [], 0
+
+    def closed() -> pa.RecordBatch:
         own = pa.concat_arrays(ids)
+        edge = (text[:SPLITTER_CHARS], hashed) in divided
         n = len(own)
         digest = hashlib.sha256(text.encode()).hexdigest()
         edges = pa.array([text] + [None] * (n - 1) if edge else [None] * n, pa.string())
@@ -58,14 +63,14 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, end in zip(starts, [*starts[1:], batch.num_rows]):
             first = texts[start].as_py()
             if text is not None and first != text:
-                done.append(closed(edge=run == 0))
+                done.append(closed())
                 run, ids = run + 1, []
-            text = first
+            text, hashed = first, batch.column("hash")[start].as_py()
             ids.append(own.slice(start, end - start))
         if done:
             yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
     if text is not None:
-        yield closed(edge=True)
+        yield closed()
 
 
 def exact_duplicates(
@@ -90,8 +95,11 @@ def exact_duplicates(
     # the last row of a run is the one that stays
     order = F.col("doc_id").asc_nulls_first() if keep == "largest" else F.col("doc_id").desc_nulls_first()
     ranged = rows.withColumn("part", range_of(splitters, keys).cast("int"))
-    ordered = ranged.repartitionById(len(splitters) + 1, "part").sortWithinPartitions("text", order)
-    marked = written(ordered.mapInArrow(_neighbours, _MARKED), "content-sort")
+    dealt = ranged.repartitionById(len(splitters) + 1, "part").withColumn("head", keys[0]).withColumn("hash", keys[1])
+    # ranges are sorted as they are cut, so that a run is divided only where a splitter has its beginning and hash
+    ordered = dealt.sortWithinPartitions("head", "hash", "text", order).select("doc_id", "text", "part", "hash")
+    divided = frozenset((head, hashed) for head, hashed, _ in splitters)
+    marked = written(ordered.mapInArrow(lambda batches: _neighbours(batches, divided), _MARKED), "content-sort")
 
     same = Window.partitionBy("edge_text")
     best = F.col("run_best") if keep == "largest" else -F.col("run_best")
@@ -113,11 +121,10 @@ def exact_duplicates(
 
 
 def without_duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """The rows of ``docs`` (columns unchanged) that stay."""
-    kept = exact_duplicates(docs, keep=keep).where("kept")
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    joined = docs.withColumn("__own", sha).join(
-        kept, F.col("__id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__sha") == F.col("__own")), "left_semi"
+    """The rows of ``docs`` (columns unchanged, whatever their names) that stay."""
+    own, id_, sha = unused(docs.columns, "own_sha", "kept_id", "kept_sha")
+    kept = exact_duplicates(docs, keep=keep).where("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha))
+    joined = docs.withColumn(own, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).join(
+        kept, F.col(id_).eqNullSafe(F.col("doc_id").cast("long")) & (F.col(sha) == F.col(own)), "left_semi"
     )
-    return joined.dropDuplicates(["doc_id", "__own"]).drop("__own")
+    return joined.dropDuplicates(["doc_id", own]).drop(own)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from pricebase.llm.common import hash_sample, prepared
+from pricebase.llm.common import hash_sample, prepared, unused
 
 #: Bound of the training sample.
 TRAINING_ROWS = 24_000
@@ -221,5 +221,6 @@ def remainder(doc_id: object) -> int:
 
 def good_documents(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, columns unchanged, that are predicted to be good."""
-    scored = score(docs, trees, threshold, "__score", "__predicted")
-    return scored.where("__predicted = 1").drop("__score", "__predicted")
+    scores, predicted = unused(docs.columns, "own_score", "own_predicted")
+    scored = score(docs, trees, threshold, scores, predicted)
+    return scored.where(F.col(predicted) == 1).drop(scores, predicted)

@@ -107,6 +107,30 @@ def test_groups_over_many_ranges(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+@pytest.mark.parametrize("partitions", ["2", "8", "64"])
+def test_divided_groups_among_texts_with_their_beginning(spark, partitions):
+    """Hot texts that share their first characters with each other and with many single texts."""
+    opening = "the very same opening of all these texts, longer than a splitter's: "
+    rows = [(i, opening + "hot") for i in range(1500)] + [(5000 + i, opening + "second") for i in range(700)]
+    rows += [(10000 + i, f"{opening}{i * 7919 % 1500}") for i in range(1500)] + [(20000 + i, opening) for i in range(300)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        for keep, best in (("largest", max), ("smallest", min)):
+            found = exact_dedup.exact_duplicates(docs_of(spark, rows), keep=keep).collect()
+            groups = defaultdict(list)
+            for i, t in rows:
+                groups[t].append(i)
+            text = dict(rows)
+            assert len(found) == len(rows) and sum(r.kept for r in found) == len(groups)
+            for r in found:
+                own = groups[text[r.doc_id]]
+                assert (r.keep_id, r.group_size, r.kept) == (best(own), len(own), r.doc_id == best(own))
+        assert exact_dedup.without_duplicates(docs_of(spark, rows)).count() == len(groups)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_shards_are_even_and_gapless(spark):
     rows = mixture() + [(2000 + i, f"text number {i} " * (1 + i % 9)) for i in range(2000)] + [(None, "null id")]
     rows += [(9000 + i, "a hot text of some length") for i in range(900)]
