@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricebase.llm import byte_bpe, exact_dedup, html_text, license_scan, ngram_join, order_minhash, packing, quality, sharding, url_filter
+from pricebase.llm import byte_bpe, exact_dedup, html_text, license_scan, ngram_join, order_minhash, packing, prefix_trie, quality, quality_rules, sharding, token_alignment, url_filter
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -85,6 +85,25 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = prefix_trie.turn_lists(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return prefix_trie.trie(prefix_trie.with_shared_opening(lists, every=100, choices=6))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path_a, path_b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    rows = token_alignment.aligned(_table(spark, sf_dir, "documents", "doc_id", "text"), path_a, public_tokenizers.PATTERN, path_b)
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality_rules.train(docs, _table(spark, sf_dir, "labels"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return quality_rules.judge(docs, model).select("doc_id", *counts, "base_failed", "probability", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_byte_bpe": op2_byte_bpe,
@@ -96,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_sharding": op9_sharding,
     "op10_ngram_join": op10_ngram_join,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -140,4 +162,35 @@ SQL: dict[str, str] = {
             SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
         SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
         FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""",
+    # crc32 of the decimal id: each byte, then eight shifts
+    "op11_prefix_trie": """
+        WITH own AS (
+            SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST,
+                   md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        hashed AS (
+            SELECT conv_id, turns, xor(list_reduce(flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+                       lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda c, x:
+                       CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END,
+                       4294967295::BIGINT), 4294967295::BIGINT) % 6 AS h
+            FROM own),
+        rebuilt AS (
+            SELECT x.conv_id, list_concat(coalesce(y.turns, [])[1:x.h], x.turns[x.h + 1:]) AS turns
+            FROM hashed x LEFT JOIN own y ON y.conv_id = x.conv_id - x.conv_id % 100),
+        starts AS (SELECT conv_id, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth, turns FROM rebuilt),
+        nodes AS (
+            SELECT depth, turns[1:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+            FROM starts GROUP BY ALL),
+        parents AS (
+            SELECT c.depth, c.path, c.conv_id, c.n_convs, c.ends_sha256, p.conv_id AS parent_conv_id
+            FROM nodes c LEFT JOIN nodes p ON p.depth = c.depth - 1 AND p.path = c.path[1:c.depth - 1]),
+        children AS (SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+        counted AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM parents n LEFT JOIN children c ON c.depth = n.depth AND c.path = n.path),
+        subtrees AS (
+            SELECT top AS depth, path[1:top] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+            FROM (SELECT path, n_children, (n_convs - 1) * coalesce(length(path[depth].text), 0) AS saved, unnest(range(0, depth + 1)) AS top FROM counted)
+            GROUP BY ALL)
+        SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+        FROM counted JOIN subtrees USING (depth, path)""",
 }
