@@ -10,7 +10,9 @@ row per task. Each level is a table below ``spark.checkpoint.dir``; texts are ne
 The digest of a node's ended conversations hashes their ids in order, which no two tasks can share. Ranges of (node, id)
 write them as long strings first, so that the one task that a node needs reads blocks, not rows.
 
-A path is as long as its conversation, and there are as many rounds as the longest one has turns.
+Below the greatest depth at which two conversations agree every node has one member and is written from its path at once;
+peeling begins there, so the rounds are as many as the deepest shared beginning has turns. A path is as long as its
+conversation.
 
 Defined results: null roles and texts are empty; turns of equal number (null first) are ordered by their digest, repeated
 rows stay; rows without conv_id belong to no conversation; no conversations, no nodes; further columns are ignored.
@@ -133,34 +135,60 @@ def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-_NODES = "path binary, depth long, conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long"
+_FIGURES = "depth long, conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long"
+_NODES = f"node binary, above binary, {_FIGURES}"
 
 
-def peeled(paths: DataFrame, deepest: int) -> DataFrame:
-    """The nodes of all depths: path, depth, conv_id, n_convs, n_children, n_leaves, saved_tokens."""
-    spark, left = paths.sparkSession, None
+def _digests_of(path: bytes) -> list[bytes]:
+    return [path[at : at + DIGEST] for at in range(0, len(path), STEP)]
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each depth of each path; adding to what a task already met would need memory without bound, so Spark counts them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            own = [x for path in batch.column("path").slice(at, 200).to_pylist() for x in enumerate(_digests_of(path), 1)]
+            yield _rows(own, ["depth", "node"], [pa.int64(), pa.binary()])
+
+
+def _private(batches: Iterator[pa.RecordBatch], shared: int) -> Iterator[pa.RecordBatch]:
+    """The nodes deeper than ``shared``: one member, one leaf below, nothing saved."""
+    names = [f.split()[0] for f in _NODES.split(", ")]
+    kinds = [pa.binary(), pa.binary()] + [pa.int64()] * 6
+    for batch in batches:
+        for path, conv in zip(batch.column("path").to_pylist(), batch.column("conv_id").to_pylist()):
+            own = [b"", *_digests_of(path)]
+            last = len(own) - 1
+            yield _rows([(own[d], own[d - 1], d, conv, 1, int(d < last), 1, 0) for d in range(shared + 1, last + 1)], names, kinds)
+
+
+def peeled(paths: DataFrame) -> DataFrame:
+    """The nodes of all depths, each with its own digest and that of its parent."""
+    spark = paths.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/trie-{uuid.uuid4().hex}"
     none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    for depth in range(deepest, -1, -1):
-        merged = paths.where(F.col("depth") == depth).select(
+    meetings = paths.select("path").mapInArrow(_steps, "depth long, node binary").groupBy("node")
+    shared = meetings.agg(F.max("depth").alias("depth"), F.count("*").alias("n")).where("n > 1").agg(F.max("depth")).first()[0] or 0
+    deep = paths.where(F.col("depth") > shared)
+    deep.select("path", "conv_id").mapInArrow(lambda batches: _private(batches, shared), _NODES).write.parquet(f"{folder}/level={shared + 1}")
+    left = deep.select(F.substring("path", 1, STEP * shared).alias("path"), "conv_id", one.alias("n_convs"), one.alias("n_leaves"), none.alias("saved_tokens"))
+    schema = f"path binary, {_NODES}"
+    for depth in range(shared, -1, -1):
+        ended = paths.where(F.col("depth") == depth).select(
             "path", "conv_id", one.alias("n_convs"), none.alias("n_children"), none.alias("n_leaves"), none.alias("saved_tokens")
         )
-        if left is not None:
-            stripped = F.substring("path", 1, STEP * depth) if depth else F.lit(b"")
-            survivors = left.select(stripped.alias("path"), "conv_id", "n_convs", one.alias("n_children"), "n_leaves", "saved_tokens")
-            merged = merged.unionByName(survivors)
-        found = merged.groupBy("path").agg(
+        found = ended.unionByName(left.withColumn("n_children", one)).groupBy("path").agg(
             F.min("conv_id").alias("conv_id"), *[F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")]
         )
         length = F.conv(F.hex(F.substring("path", DIGEST - STEP, STEP - DIGEST)), 16, 10).cast("long") if depth else none
+        above = F.substring("path", 1, STEP * (depth - 1)) if depth > 1 else F.lit(b"")
         nodes = found.select(
-            "path", F.lit(depth).cast("long").alias("depth"), "conv_id", "n_convs", "n_children",
-            F.greatest("n_leaves", one).alias("n_leaves"), (F.col("saved_tokens") + (F.col("n_convs") - 1) * length).alias("saved_tokens"),
+            "path", _node("path").alias("node"), _node(above).alias("above"), F.lit(depth).cast("long").alias("depth"), "conv_id", "n_convs",
+            "n_children", F.greatest("n_leaves", one).alias("n_leaves"), (F.col("saved_tokens") + (F.col("n_convs") - 1) * length).alias("saved_tokens"),
         )
         nodes.write.parquet(f"{folder}/level={depth}")
-        left = spark.read.schema(_NODES).parquet(f"{folder}/level={depth}")
-    if left is None:
-        return spark.createDataFrame([], _NODES)
+        left = spark.read.schema(schema).parquet(f"{folder}/level={depth}")
+        left = left.select(above.alias("path"), "conv_id", "n_convs", "n_leaves", "saved_tokens")
     return spark.read.schema(_NODES + ", level int").parquet(folder).drop("level")
 
 
@@ -168,14 +196,12 @@ def trie(lists: DataFrame) -> DataFrame:
     """The nodes of the conversations (conv_id, turns of ``turn_lists``), one row each."""
     spark = prepared(lists.sparkSession)
     paths = written(lists.select("conv_id", "turns").mapInArrow(_paths, "conv_id long, path binary, depth int"), "trie-paths", by=["depth"])
-    deepest = paths.agg(F.max("depth")).first()[0]
-    nodes = peeled(paths, -1 if deepest is None else deepest)
+    rows = peeled(paths)
     parts = shuffle_partitions(spark)
     ends = paths.select(_node("path").alias("node"), "conv_id")
     blocks = ends.repartitionByRange(parts, "node", "conv_id").sortWithinPartitions("node", "conv_id").mapInArrow(_blocks, "node binary, first long, ids string")
     ends = blocks.repartition(parts, "node").sortWithinPartitions("node", "first").mapInArrow(_digests, "node binary, ends string")
-    above = F.substring("path", 1, F.length("path") - STEP)
-    rows = nodes.select(_node("path").alias("node"), F.when(F.col("depth") > 0, _node(above)).alias("above"), "*").drop("path")
+    rows = rows.withColumn("above", F.when(F.col("depth") > 0, F.col("above")))
     parents = rows.select(F.col("node").alias("above"), F.col("conv_id").alias("parent_conv_id"))
     return (
         rows.join(ends, "node", "left")

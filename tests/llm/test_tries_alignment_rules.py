@@ -28,7 +28,7 @@ def conversation_rows():
     for c in range(500, 540):  # copies, and one that goes on
         rows += [(c, t, "user", f"same {t}") for t in range(3)] + ([(c, 9, "assistant", "more")] if c % 7 == 0 else [])
     rows += [(600, None, "user", "unnumbered"), (600, None, None, None), (600, 1, "user", "one"), (600, 1, "user", "one"), (600, 1, "user", "tied")]
-    rows += [(700, t, "user", f"deep {t % 3}") for t in range(13)] + [(-5, 0, "user", "negative"), (None, 0, "user", "nobody's")]
+    rows += [(700, t, "user", f"deep {t % 3}") for t in range(300)] + [(-5, 0, "user", "negative"), (None, 0, "user", "nobody's")]
     random.shuffle(rows)
     return rows
 
