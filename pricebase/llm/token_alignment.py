@@ -34,8 +34,8 @@ from pricebase.llm.common import prepared, shuffle_partitions, written
 SHARDS, BRANCHES = 64, 16
 #: Links gathered before a task counts them; bytes of lookup tables sent at once.
 STRETCH, MOST_BYTES = 3_000_000, 256 << 20
-#: Bits of a level per pair that reaches it.
-ROOM = 2
+#: Bits of a level per pair that reaches it; documents aligned at once.
+ROOM, AT_ONCE = 2, 64
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -184,6 +184,10 @@ _NAMES = [f.split()[0] for f in _FIRST.split(", ")]
 _KINDS = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, AT_ONCE) for batch in batches for at in range(0, batch.num_rows, AT_ONCE))
+
+
 def _batch(*columns: list, names: list[str] = _NAMES, kinds: list[pa.DataType] = _KINDS) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
@@ -207,7 +211,7 @@ def _encoded(docs: DataFrame, tokenizers: tuple[str, str, str]) -> DataFrame:
                 [pairs[x].tobytes() for _, x in own], [counts[x].astype(np.int64).tobytes() for _, x in own],
             )
 
-        for batch in batches:
+        for batch in _slices(batches):
             encoded = sides.encode(batch.column("text").to_pylist())
             gathered.append(Aligned.of(encoded, sides).pairs(len(sides.bytes_b)))
             links += len(gathered[-1])
@@ -347,7 +351,7 @@ def _looked_up(rows: DataFrame, tokenizers: tuple[str, str, str], counts: Counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides, (looked, highest) = _sides(*tokenizers), shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             ids = [batch.column(c).to_pylist() for c in ("a", "b")]
             encoded = [(np.frombuffer(a, sides.kind_a), np.frombuffer(b, sides.kind_b)) for a, b in zip(*ids)]
             own = Aligned.of(encoded, sides)
