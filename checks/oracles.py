@@ -588,10 +588,37 @@ PROPOSALS = """pr AS (SELECT least(l_partkey, l_suppkey) AS source_id, greatest(
     CASE WHEN min(l_linenumber) <= 2 THEN 'incertain' END AS verdict, min(l_quantity) AS quantity,
     CASE WHEN max(l_discount) >= 0.09::DOUBLE THEN 'refusee' WHEN max(l_discount) >= 0.08::DOUBLE THEN 'acceptee' ELSE 'proposee' END AS status
     FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2)"""
-oracle(
-    "new_merge_proposals",
-    """SELECT source_id, target_id, 1.0::DOUBLE AS score FROM copies c WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.source_id = least(c.source_id, c.target_id) AND pr.target_id = greatest(c.source_id, c.target_id))""",
-    f"{STANDING}, {PROPOSALS}",
+VECTORS = f"""ev AS (SELECT st.*, list_transform(e.embedding::DOUBLE[], lambda x, k: x * CASE WHEN (item_id // 7 + k) % 5 = 0 THEN 1.6::DOUBLE ELSE 1.0::DOUBLE END) AS e
+    FROM st JOIN embeddings e ON e.vec_id = (item_id * 7) % (SELECT max(vec_id) + 1 FROM embeddings)),
+  en AS (SELECT *, row_number() OVER (PARTITION BY block, e ORDER BY n DESC, created_on DESC, item_id) AS r FROM ev),
+  er AS (SELECT * FROM en WHERE r = 1),
+  ep AS (SELECT CASE WHEN ka THEN b ELSE a END AS source_id, CASE WHEN ka THEN a ELSE b END AS target_id, {half('score', 3)} AS score, 'embedding' AS method, other_category
+    FROM (SELECT a.item_id AS a, b.item_id AS b, list_cosine_similarity(a.e, b.e) AS score, (a.n, a.created_on, -a.item_id) >= (b.n, b.created_on, -b.item_id) AS ka,
+        a.category_id IS DISTINCT FROM b.category_id AS other_category
+      FROM er a JOIN er b ON a.block = b.block AND a.item_id < b.item_id WHERE list_cosine_similarity(a.e, b.e) >= 0.92)
+    UNION ALL SELECT c.item_id, r.item_id, 1.0::DOUBLE, 'embedding', c.category_id IS DISTINCT FROM r.category_id
+    FROM en c JOIN er r ON r.block = c.block AND r.e = c.e WHERE c.r > 1)"""
+BOTH = """tp AS (SELECT CASE WHEN ka THEN b ELSE a END AS source_id, CASE WHEN ka THEN a ELSE b END AS target_id, score, 'trigramme' AS method FROM (
+      SELECT ra.item_id AS a, rb.item_id AS b, score, (ra.n, ra.created_on, -ra.item_id) >= (rb.n, rb.created_on, -rb.item_id) AS ka
+      FROM lp JOIN rep ra ON ra.block = lp.block AND ra.label_norm = label_a JOIN rep rb ON rb.block = lp.block AND rb.label_norm = label_b)
+    UNION ALL SELECT source_id, target_id, 1.0::DOUBLE, 'trigramme' FROM copies),
+  tn AS (SELECT * FROM tp WHERE (least(source_id, target_id), greatest(source_id, target_id)) NOT IN (SELECT (source_id, target_id) FROM pr)),
+  found AS (SELECT source_id, target_id, score, method FROM tn UNION ALL SELECT source_id, target_id, score, method FROM ep
+    WHERE (least(source_id, target_id), greatest(source_id, target_id)) NOT IN (SELECT (source_id, target_id) FROM pr)
+      AND (least(source_id, target_id), greatest(source_id, target_id)) NOT IN (SELECT (least(source_id, target_id), greatest(source_id, target_id)) FROM tn))"""
+NEW = f"{LABELS}, {STANDING}, {PROPOSALS}, {VECTORS}, {BOTH}"
+# each source follows its smallest target to the end
+MERGED = (
+    NEW
+    + """, first AS (SELECT source_id, min(target_id) AS target_id FROM found GROUP BY 1),
+  follow AS (SELECT source_id, target_id FROM first UNION ALL SELECT f.source_id, n.target_id FROM follow f JOIN first n ON n.source_id = f.target_id),
+  fin AS (SELECT source_id, target_id FROM follow WHERE target_id NOT IN (SELECT source_id FROM first))"""
+)
+oracle("new_merge_proposals", f"SELECT source_id, target_id, {half('score', 3)} AS score, method FROM found", NEW)
+oracle(
+    "embedding_proposals",
+    f"SELECT *, 'proximité de sens ' || printf('%.2f', {half('score', 2)}) || CASE WHEN other_category THEN ' · lots différents' ELSE '' END AS reason FROM ep",
+    f"{STANDING}, {VECTORS}",
 )
 oracle(
     "embedding_pairs",
@@ -711,13 +738,14 @@ oracle(
     JOIN (SELECT search_text FROM m_worded WHERE NOT linked AND NOT is_title AND unit_price > 0) o USING (search_text) GROUP BY 1""",
     EV,
 )
-oracle("merged_links", "SELECT link_id, coalesce(target_id, item_id) AS item_id FROM m_linked LEFT JOIN copies ON source_id = item_id", STANDING)
-oracle("merged_items", "SELECT item_id, active AND item_id NOT IN (SELECT source_id FROM copies) AS active FROM m_items", STANDING)
+oracle("merged_links", "SELECT link_id, coalesce(target_id, item_id) AS item_id FROM m_linked LEFT JOIN fin ON source_id = item_id", MERGED, True)
+oracle("merged_items", "SELECT item_id, active AND item_id NOT IN (SELECT source_id FROM fin) AS active FROM m_items", MERGED, True)
 oracle(
     "merged_proposals",
-    """SELECT CASE WHEN status = 'proposee' AND (source_id IN (SELECT source_id FROM copies) OR target_id IN (SELECT source_id FROM copies)) THEN 'obsolete' ELSE status END AS status, count(*) AS n
+    """SELECT CASE WHEN status = 'proposee' AND (source_id IN (SELECT source_id FROM fin) OR target_id IN (SELECT source_id FROM fin)) THEN 'obsolete' ELSE status END AS status, count(*) AS n
     FROM pr GROUP BY 1""",
-    f"{STANDING}, {PROPOSALS}",
+    MERGED,
+    True,
 )
 oracle(
     "proposal_verdicts",

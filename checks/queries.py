@@ -464,11 +464,15 @@ def merge_proposals(m: Model) -> DataFrame:
 
 @query
 def new_merge_proposals(m: Model) -> DataFrame:
-    standing = dedupe.with_link_counts(m.items(), m.links())
-    copies = dedupe.copy_proposals(standing, dedupe.label_groups(standing))
-    return dedupe.new_proposals(copies, samples.proposals(m)).select(
-        "source_id", "target_id", "score"
-    )
+    rows = dedupe.all_proposals(m.items(), m.links(), m.catalogue_embeddings(), samples.proposals(m))
+    return rows.select("source_id", "target_id", "score", "method")
+
+
+@query
+def embedding_proposals(m: Model) -> DataFrame:
+    rows = dedupe.embedding_proposals(m.items(), m.links(), m.catalogue_embeddings())
+    reason = dedupe.proposal_reason(F.col("score"), F.col("method"), F.col("other_category"))
+    return rows.withColumn("reason", reason)
 
 
 @query
@@ -650,9 +654,8 @@ def merged_proposals(m: Model) -> DataFrame:
 
 
 def _merge(m: Model) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    standing = dedupe.with_link_counts(m.items(), m.links())
-    copies = dedupe.copy_proposals(standing, dedupe.label_groups(standing))
-    return curation.merge_items(m.links(), m.items(), samples.proposals(m), copies)
+    found = dedupe.all_proposals(m.items(), m.links(), m.catalogue_embeddings(), samples.proposals(m))
+    return curation.merge_items(m.links(), m.items(), samples.proposals(m), found.select("source_id", "target_id"))
 
 
 @query

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricebase.functions.text import search_literal, trigram_literal
-from pricebase.operators import dedupe, matching, normalize, trigram_join
+from pricebase.operators import dedupe, matching, metric_join, normalize, trigram_join
 
 WORDS = ["dalle", "beton", "mur", "pose", "ipn", "160", "200", "depose", "acier", "cloison"]
 
@@ -177,3 +177,38 @@ def test_clients_alias_then_similar_then_new(spark):
         "Mairie de Vences": (None, "nouveau"),
     }
     assert {r.client_key for r in normalize.new_clients(matches).collect()} == {"mairie de vence"}
+
+
+def test_metric_join_against_all_pairs(spark):
+    """Clusters, scattered vectors, equal directions and boundary angles, for every number of pivots."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 16))
+    clustered = [centres[i % 12] + rng.normal(size=16) * rng.choice([0.05, 0.2, 0.4]) for i in range(300)]
+    rows = [(i, i % 2, v.tolist()) for i, v in enumerate([*clustered, *rng.normal(size=(60, 16))])]
+    rows += [(900, 0, (2 * np.array(rows[0][2])).tolist()), (901, 0, [0.0] * 16), (902, 1, None)]
+    frame = spark.createDataFrame(rows, "item_id bigint, block int, embedding array<double>")
+    unit = {i: (b, np.array(v) / np.linalg.norm(v)) for i, b, v in rows if v and any(v)}
+    for threshold in (0.92, 0.5):
+        wanted = {
+            (a, b) for a in unit for b in unit
+            if a < b and unit[a][0] == unit[b][0] and float(unit[a][1] @ unit[b][1]) >= threshold - 1e-9
+        }
+        assert len(wanted) > 100
+        for tile in (2_000, 9):
+            found = dedupe.embedding_pairs(frame, threshold, tile).collect()
+            assert len(found) == len(wanted) and {(r.node_a, r.node_b) for r in found} == wanted
+    assert dedupe.embedding_pairs(frame.where("block > 5")).count() == 0
+
+
+def test_pivots_spare_cells_of_clusters():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 64))
+    vectors = np.repeat(centres, 50, 0) + rng.normal(size=(2000, 64)) * 0.1
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rng.shuffle(vectors)
+    reach = float(np.arccos(0.92))
+    pivots = metric_join.chosen_pivots(vectors, 10_000_000, reach)
+    assert len(pivots) == 256
+    _, near = metric_join.visits(metric_join.angles(vectors, pivots), reach)
+    assert near.mean() < 0.1  # of all cells, instead of half of them
+    assert len(metric_join.chosen_pivots(vectors, 500, reach)) <= 16
