@@ -34,8 +34,10 @@ HEADLINE = (
     "unit_normalization",
     "date_recovery",
     "rule_matching",
+    "match_alternatives",
     "trigram_pairs",
     "embedding_pairs",
+    "embedding_proposals",
     "item_search",
     "client_search",
     "bulk_validate",

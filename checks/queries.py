@@ -430,7 +430,7 @@ def rule_matching(m: Model) -> DataFrame:
 @query
 def match_alternatives(m: Model) -> DataFrame:
     rows = pending(m).select("line_id", "item_id", "search_text", "unit")
-    return matching.match_alternatives(rows, m.items())
+    return matching.match_alternatives(rows, m.items()).withColumn("rank", whole("rank"))
 
 
 @query

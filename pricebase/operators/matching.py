@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from pricebase.functions.numbers import half_up
 from pricebase.functions.skew import running_before
 from pricebase.functions.text import LUMP_UNITS, code_slug, search_text
-from pricebase.operators.trigram_join import text_side, trigram_join
+from pricebase.operators.topk_join import topk_join
 from pricebase.session import materialized
 
 RULE_THRESHOLD = 0.45
 NO_UNIT = "?"
 ANY_UNIT = "*"
-# similarity levels tried from the top before the threshold itself
-RULE_LEVELS = (0.7,)
 
 
 def lines_to_match(
@@ -35,33 +33,30 @@ def rule_matching(
 
     Items of a compatible unit come first, then the score, then the smaller id. Identical
     designations are matched once and identical labels once; hot wordings therefore cost one row.
-    The search starts among the compatible items at a high similarity and goes on, with the
-    wordings still open, to lower ones and finally to the other items.
+    Only wordings without such an item among the compatible ones go on to the others.
     """
     active = items.where(F.col("active")).select(
         "item_id", "item_unit", search_text(F.col("label_norm")).alias("label")
     )
-    wordings = materialized(
-        lines.select(
-            "search_text", F.coalesce("unit", F.lit(NO_UNIT)).alias("unit_key")
-        ).distinct()
+    # read once: the lines of a catalogue come out of long joins
+    lines = materialized(
+        lines.select("line_id", "search_text", F.coalesce("unit", F.lit(NO_UNIT)).alias("unit_key"))
     )
-    levels = tuple(t for t in RULE_LEVELS if t > threshold) + (threshold,)
+    wordings = materialized(lines.select("search_text", "unit_key").distinct())
     units = known_units(wordings)
-    compatible = _nearest(wordings, _pool(active, 1, units), 1, levels).withColumn("ok", F.lit(True))
+    compatible = _nearest(wordings, _pool(active, 1, units), 1, threshold).withColumn("ok", F.lit(True))
     rest = wordings.join(compatible, ["search_text", "unit_key"], "left_anti")
     anyone = _nearest(
         materialized(rest.select("search_text", F.lit(ANY_UNIT).alias("unit_key")).distinct()),
         _pool(active, 1),
         1,
-        levels,
+        threshold,
     ).drop("unit_key")
     best = compatible.unionByName(
         rest.join(anyone, "search_text").withColumn("ok", F.lit(False))
     )
     return (
-        lines.withColumn("unit_key", F.coalesce("unit", F.lit(NO_UNIT)))
-        .join(best, ["search_text", "unit_key"])
+        lines.join(best, ["search_text", "unit_key"])
         .select(
             "line_id",
             "item_id",
@@ -103,14 +98,11 @@ def match_alternatives(
     pending: DataFrame,
     items: DataFrame,
     k: int = 3,
-    thresholds: tuple[float, ...] = (0.6, 0.45, 0.3, 0.15, 0.02),
 ) -> DataFrame:
     """The k best other items for every pending line (line_id, item_id, search_text, unit).
 
-    Compatible units come first however low their similarity. The similarity join starts at a high
-    threshold; only wordings still short of k+1 items go on to a lower one, which keeps the answer
-    exact without scoring every pair. What is then still missing is filled with compatible items
-    of no resemblance, by id, then with the most similar incompatible ones, then with any other
+    Compatible units come first however low their similarity. What the most similar of them leave
+    missing is filled with compatible items of no resemblance, by id, then with the most similar incompatible ones, then with any other
     item by id: whoever has k other items gets k answers.
     """
     active = items.where(F.col("active")).select(
@@ -125,7 +117,7 @@ def match_alternatives(
     per_class = active.select(
         "item_id", F.explode(_unit_classes(F.col("item_unit"), units)).alias("unit_key")
     )
-    found = _nearest(wordings, _pool(active, k + 1, units), k + 1, thresholds)
+    found = _nearest(wordings, _pool(active, k + 1, units), k + 1)
     counted = found.groupBy("search_text", "unit_key").agg(F.count(F.lit(1)).alias("have"))
     short = wordings.join(counted, ["search_text", "unit_key"], "left").where(
         F.coalesce("have", F.lit(0)) < k + 1
@@ -150,7 +142,6 @@ def match_alternatives(
         scarce.select("search_text", F.lit(ANY_UNIT).alias("unit_key")).distinct(),
         _pool(active, 3 * (k + 1)),
         3 * (k + 1),
-        thresholds,
     ).drop("unit_key")
     key = ["search_text", "unit_key", "item_id"]
     others = scarce.join(anyone, "search_text").join(ranked, key, "left_anti").withColumn("ok", F.lit(False))
@@ -175,43 +166,15 @@ def match_alternatives(
     )
 
 
-def _nearest(
-    wordings: DataFrame, pool: DataFrame, k: int, thresholds: tuple[float, ...]
-) -> DataFrame:
-    """Up to k most similar pool items per (wording, class), by thresholds going down.
-
-    Each round is written out, so a lost executor costs one round and plans stay small.
-    """
-    result = None
-    remaining = wordings
-    labels = text_side(pool, "label", F.col("unit_key"))
-    best = Window.partitionBy("search_text", "unit_key").orderBy(F.col("score").desc(), "item_id")
-    for position, threshold in enumerate(thresholds):
-        pairs = trigram_join(
-            text_side(remaining, "search_text", F.col("unit_key")), labels, threshold
-        ).select(
-            F.col("left_id").alias("search_text"),
-            F.col("right_id").alias("label"),
-            F.col("block").alias("unit_key"),
-            "score",
-        )
-        top = materialized(
-            pairs.join(pool, ["label", "unit_key"])
-            .withColumn("_r", F.row_number().over(best))
-            .where(F.col("_r") <= k)
-            .select("search_text", "unit_key", "item_id", "score")
-        )
-        last = position == len(thresholds) - 1
-        full = top.groupBy("search_text", "unit_key").agg(F.count(F.lit(1)).alias("n"))
-        full = full.where(F.col("n") >= k).select("search_text", "unit_key")
-        done = top if last else top.join(full, ["search_text", "unit_key"], "left_semi")
-        result = done if result is None else result.unionByName(done)
-        if last:
-            break
-        remaining = remaining.join(full, ["search_text", "unit_key"], "left_anti")
-        if remaining.isEmpty():
-            break
-    return result
+def _nearest(wordings: DataFrame, pool: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
+    """Up to k most similar pool items per (wording, class)."""
+    found = topk_join(
+        wordings.select(F.col("search_text").alias("text"), F.col("unit_key").alias("block")),
+        pool.select(F.col("label").alias("text"), F.col("unit_key").alias("block"), "item_id"),
+        k,
+        threshold,
+    )
+    return materialized(found.select(F.col("text").alias("search_text"), F.col("block").alias("unit_key"), "item_id", "score"))
 
 
 def apply_groupings(

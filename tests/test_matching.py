@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricebase.functions.text import search_literal, trigram_literal
-from pricebase.operators import dedupe, matching, metric_join, normalize, trigram_join
+from pricebase.operators import dedupe, matching, metric_join, normalize, topk_join, trigram_join
 
 WORDS = ["dalle", "beton", "mur", "pose", "ipn", "160", "200", "depose", "acier", "cloison"]
 
@@ -212,3 +212,29 @@ def test_pivots_spare_cells_of_clusters():
     _, near = metric_join.visits(metric_join.angles(vectors, pivots), reach)
     assert near.mean() < 0.1  # of all cells, instead of half of them
     assert len(metric_join.chosen_pivots(vectors, 500, reach)) <= 16
+
+
+@pytest.mark.parametrize("shard, k, threshold", [(20_000, 3, 0.0), (7, 3, 0.0), (7, 1, 0.45), (50, 40, 0.2)])
+def test_topk_join_against_all_pairs(spark, monkeypatch, shard, k, threshold):
+    monkeypatch.setattr(topk_join, "SHARD", shard)
+    monkeypatch.setattr(topk_join, "GROUP", 11)
+    random.seed(k)
+    parts = ["dalle", "beton", "dallage", "béton", "x", "poteau", "12", "m2"]
+    word = lambda n: " ".join(random.choice(parts) for _ in range(random.randrange(n)))
+    pool = [(word(6), b, i) for i, b in enumerate(random.choices("ab", k=150))] + [("dalle beton", "a", i) for i in range(500, 520)]
+    asked = sorted({(word(5), b) for b in "abc" for _ in range(40)})
+    found = topk_join.topk_join(
+        spark.createDataFrame(asked, "text string, block string"),
+        spark.createDataFrame(pool, "text string, block string, item_id bigint"), k, threshold,
+    ).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (-r.score, r.item_id)):
+        got.setdefault((r.text, r.block), []).append((r.item_id, round(r.score, 9)))
+    for text, block in asked:
+        own = set(trigram_literal(text))
+        scored = []
+        for label, b, i in pool:
+            other = set(trigram_literal(label))
+            if b == block and own & other and len(own & other) / len(own | other) >= threshold:
+                scored.append((-len(own & other) / len(own | other), i))
+        assert got.get((text, block), []) == [(i, round(-x, 9)) for x, i in sorted(scored)[:k]]
