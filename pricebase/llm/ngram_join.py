@@ -12,9 +12,11 @@ count as frequent is estimated from a sample of documents: it moves work between
 changes the result.
 
 Spark deals packed signatures out by their hash; a task of the text pass sends on one document of those that agree
-within it. Members of one signature are first compared with a common leader each; where that leaves a signature in
+within it. Members of one signature are first compared with a common leader each. Copies of one text whose edits differ
+are only about half of them similar to any one copy, so those left outside the largest component of a signature are then
+compared with a few of its members, others in every round, as long as that keeps joining them. Where a signature is still in
 several components, those outside its largest one are compared with every member of another. Of those pairs, the sizes and
-counts of hashed n-grams, whose differences are never more than those of the sets, rule most out beforehand; every other
+parities and counts of hashed n-grams, whose differences are never more than those of the sets, rule most out beforehand; every other
 comparison counts the common n-grams of both whole texts. Equal sets are one node throughout.
 
 Defined results: null, empty or blank texts have no n-grams and no links; shorter texts are one n-gram; a row without id
@@ -33,10 +35,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricebase.llm.common import prepared, shuffle_partitions, written
+from pricebase.llm.common import prepared, shuffle_partitions, unused, written
 
 WORDS, SIMILARITY = 5, Fraction(3, 4)
 #: An n-gram is frequent if it is in so many documents of one in SAMPLE_ONE_IN; at most so many are remembered, in a bitmap.
@@ -45,8 +47,10 @@ FREQUENT, SAMPLE_ONE_IN, MOST_FREQUENT, BITS = 4, 64, 1 << 19, 22
 SLACK = 0.08
 #: Signatures gathered in the text pass before they are dealt out; remembered words of a worker.
 CHUNK, REMEMBERED = 1_500_000, 300_000
-#: Coarse counts that a join compares before anything else of two sets.
-COARSE = 32
+#: Words of parities that a join compares before anything else of two sets.
+PARITY_WORDS = 16
+#: Members of the largest component that one outside it is compared with in a round, and the most rounds.
+MET_AT_ONCE, ROUNDS = 8, 6
 #: Nodes whose texts are fetched by a broadcast of their ids; beyond it by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -340,35 +344,41 @@ def may_be_similar(a: bytes, b: bytes, size_a: int, size_b: int, bands: Bands) -
     return int(np.abs(x - y).sum()) <= bands.difference(size_a + size_b)
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Whether each of 64 * PARITY_WORDS intervals of the hash domain holds an odd number of elements, as bits.
+
+    A difference of sets in one element turns one bit, so sets differ in at least as many elements as their bits do.
+    """
+    bits = (64 * PARITY_WORDS - 1).bit_length()
+    counts = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sketches(texts: DataFrame, words: int) -> DataFrame:
-    """Per node: size, the counts of ``sketch``, and COARSE counts in columns c0, c1, ..."""
-    coarse = [f"c{i}" for i in range(COARSE)]
-    shift = np.uint64(64 - (COARSE - 1).bit_length())
+    """Per node: size, the counts of ``sketch``, and its parities in columns p0, p1, ..."""
+    names = [f"p{i}" for i in range(PARITY_WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = ngram_sets(batch.column("text").to_pylist(), words)
-            counts = np.array([np.bincount((s >> shift).astype(np.int64), minlength=COARSE) for s in sets], np.int32)
             sizes = [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(sketch, sets), pa.binary())]
-            few = [pa.array(c) for c in counts.reshape(-1, COARSE).T.copy()]
-            yield pa.RecordBatch.from_arrays(sizes + few, ["node", "size", "sketch", *coarse])
+            odd = np.array([parities(s) for s in sets], np.int64).reshape(-1, PARITY_WORDS)
+            yield pa.RecordBatch.from_arrays(sizes + [pa.array(c) for c in odd.T.copy()], ["node", "size", "sketch", *names])
 
-    return texts.mapInArrow(run, "node long, size long, sketch binary, " + ", ".join(f"{c} int" for c in coarse))
+    return texts.mapInArrow(run, "node long, size long, sketch binary, " + ", ".join(f"{c} long" for c in names))
 
 
 def _not_ruled_out(a: str, b: str, similarity: Fraction) -> Column:
-    """What ``may_be_similar`` tests, on sizes and coarse counts: a condition that the join itself evaluates."""
+    """What ``may_be_similar`` tests, on sizes and parities: a condition that the join itself evaluates."""
     more, less = similarity.denominator + similarity.numerator, similarity.denominator - similarity.numerator
     size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
-    apart = reduce(add, [F.abs(F.col(f"{a}.c{i}") - F.col(f"{b}.c{i}")) for i in range(COARSE)])
+    apart = reduce(add, [F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))) for i in range(PARITY_WORDS)])
     near = F.least(size_a, size_b) * similarity.denominator >= F.greatest(size_a, size_b) * similarity.numerator
     return near & (apart * more <= (size_a + size_b) * less)
 
 
-def _crossed(
-    met: DataFrame, shares: DataFrame, grouped: DataFrame, stars: DataFrame, sketches: DataFrame, similarity: Fraction
-) -> DataFrame:
-    """Pairs (a, b) of one signature that are in different components, were not compared yet and may be similar."""
+def _members(met: DataFrame, shares: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(sig, node) of the signatures whose documents are in several components; one of those with the same documents."""
     component = grouped.select("node", "component")
     led = grouped.select(F.col("node").alias("leader_node"), F.col("component").alias("leader_component"))
     placed = shares.join(component, "node", "left").join(led, "leader_node", "left")
@@ -378,19 +388,64 @@ def _crossed(
     mixed = _broadcast_if_small(written(met.join(split, ["doc_id", "leader"], "left_semi").select("sig").distinct(), "mixed"))
     members = met.join(mixed, "sig", "left_semi").select("sig", F.explode(F.array("doc_id", "leader")).alias("doc_id"))
     node_of = shares.select(F.explode(F.array(F.struct("doc_id", "node"), F.struct(F.col("leader").alias("doc_id"), F.col("leader_node").alias("node")))).alias("x"))
-    members = members.join(node_of.select("x.*").distinct(), "doc_id").select("sig", "node").distinct().join(component, "node", "left")
-    members = written(members.select("sig", "node", F.coalesce("component", "node").alias("component")), "members")
-    # of signatures with the same documents one is enough
+    members = written(members.join(node_of.select("x.*").distinct(), "doc_id").select("sig", "node").distinct(), "members")
     content = members.groupBy("sig").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")
     )
     single = content.groupBy("n", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig")
-    members = written(members.join(single, "sig", "left_semi"), "members")
-    per = members.groupBy("sig", "component").agg(F.count("*").alias("n"))
-    main = per.groupBy("sig").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    return written(members.join(single, "sig", "left_semi"), "members")
+
+
+def _placed(members: DataFrame, grouped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members with their components, and the largest component of each signature (sig, main, size)."""
+    placed = members.join(grouped, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+    placed = written(placed, "placed")
+    per = placed.groupBy("sig", "component").agg(F.count("*").alias("n"))
+    return placed, per.groupBy("sig").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("size"))
+
+
+def _joined(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after some more links."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = written(grouped.unionByName(ends.join(grouped, "node", "left_anti").select("node", F.col("node").alias("component"))), "labels")
+    a, b = (known.select(F.col("node").alias(side), F.col("component").alias(f"component_{side}")) for side in "ab")
+    between = links.join(a, "a").join(b, "b").where("component_a <> component_b")
+    moves = components(between.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
+    moves = moves.select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    return written(known.join(moves, "component", "left").select("node", F.coalesce("joined", "component").alias("component")), "labels")
+
+
+def _attached(members: DataFrame, grouped: DataFrame, texts: DataFrame, words: int, similarity: Fraction) -> DataFrame:
+    """Components after rounds in which nodes outside the largest component of a signature meet some of its members."""
+    left = None
+    for nth in range(ROUNDS):
+        placed, main = _placed(members, grouped)
+        # in a small signature it is no more work to compare with everybody
+        main = main.where(F.col("size") > 4 * MET_AT_ONCE)
+        outside = placed.join(main, "sig").where("component <> main")
+        outside = outside.groupBy("node").agg(F.max_by("sig", F.struct("size", "sig")).alias("sig"))
+        outside = written(outside, "outside")
+        count = outside.count()
+        if not count or left is not None and 10 * count > 9 * left:
+            break
+        left = count
+        inside = placed.join(main, "sig").where("component = main").join(outside.select("sig").distinct(), "sig", "left_semi")
+        some = Window.partitionBy("sig").orderBy(F.xxhash64("node", F.lit(nth)), "node")
+        inside = inside.withColumn("nth", F.row_number().over(some)).where(F.col("nth") <= MET_AT_ONCE)
+        pairs = outside.select("sig", F.col("node").alias("a")).join(inside.select("sig", F.col("node").alias("b")), "sig").select("a", "b")
+        links = written(_links(pairs, texts, words, similarity), "links")
+        if links.isEmpty():
+            break
+        grouped = _joined(grouped, links)
+    return grouped
+
+
+def _crossed(members: DataFrame, grouped: DataFrame, stars: DataFrame, sketches: DataFrame, similarity: Fraction) -> DataFrame:
+    """Pairs (a, b) of one signature that are in different components, were not compared yet and may be similar."""
+    members, main = _placed(members, grouped)
     known = written(sketches, "sketches")
     counted = members.join(known.drop("sketch"), "node")
-    few = counted.join(main, "sig").where("component <> main").alias("x")
+    few = counted.join(main.select("sig", "main"), "sig").where("component <> main").alias("x")
     met_again = F.col("x.sig") == F.col("y.sig")
     pairs = few.join(counted.alias("y"), met_again & (F.col("x.component") != F.col("y.component")) & _not_ruled_out("x", "y", similarity))
     pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
@@ -465,10 +520,12 @@ def ngram_components(
 
     links = written(_links(stars, texts, words, similarity).union(split), "links")
     grouped = components(links)
-    crossed = _crossed(met, shares, grouped, stars, _sketches(texts, words), similarity)
+    members = _members(met, shares, grouped)
+    grouped = _attached(members, grouped, texts, words, similarity)
+    crossed = _crossed(members, grouped, stars, _sketches(texts, words), similarity)
     more = written(_links(crossed, texts, words, similarity), "links")
     if not more.isEmpty():
-        grouped = components(links.union(more))
+        grouped = _joined(grouped, more)
 
     result = named.join(node_of, "doc_id", "left").join(grouped, "node", "left")
     return result.select(
@@ -478,5 +535,6 @@ def ngram_components(
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their component, and those without id; columns unchanged."""
-    kept = ngram_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").unionAll(docs.where("doc_id is null"))
+    (kept_id,) = unused(docs.columns, "kept_id")
+    kept = ngram_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col(kept_id), "left_semi").unionAll(docs.where("doc_id is null"))

@@ -197,6 +197,34 @@ def test_components_against_brute_force(spark, monkeypatch, frequent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == wanted
 
 
+def test_large_group_of_borderline_copies(spark, monkeypatch):
+    """Copies of one text of which about half of all pairs are similar, and others that reach few of them."""
+    monkeypatch.setattr(ngram_join, "MET_AT_ONCE", 2)
+    random.seed(11)
+    base, rows = [f"w{i}" for i in range(90)], []
+    for i in range(160):
+        own = base[:]
+        for _ in range(random.choice([1, 2, 2, 3, 3, 4])):
+            own[random.randrange(len(own))] = f"edit{i}-{random.random()}"
+        rows.append((i, " ".join(own)))
+    found = ngram_join.ngram_components(docs_of(spark, rows)).collect()
+    wanted = brute_components(rows)
+    assert 1 < len({c for _, c in wanted.values()}) < 150
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == wanted
+
+
+def test_parities_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for size in (1, 50, 400, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64)) << np.uint64(1)
+        for changed in (0, 1, size // 7, size):
+            b = np.unique(np.concatenate([a[changed:], rng.integers(0, 1 << 63, changed, dtype=np.uint64)]))
+            turned = int(np.bitwise_count((ngram_join.parities(a) ^ ngram_join.parities(b)).view(np.uint64)).sum())
+            assert turned <= len(np.setxor1d(a, b))
+
+
 def test_components_of_odd_input(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, ""), (4, "A b C d e f")]
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs_of(spark, rows)).collect()}
