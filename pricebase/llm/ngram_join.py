@@ -306,8 +306,13 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: Fraction = SIMILARITY) ->
 
 def _links(pairs: DataFrame, texts: DataFrame, words: int, similarity: Fraction) -> DataFrame:
     """The pairs (a, b) whose whole texts are similar; the texts of ``b``, often shared by many pairs, join last."""
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def wanted(side: str) -> DataFrame:
+        """Only the texts that some pair names are shuffled."""
+        own = texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
+        return own.join(_broadcast_if_small(pairs.select(side).distinct()), side, "left_semi")
+
+    both = pairs.join(wanted("a"), "a").join(wanted("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
@@ -433,6 +438,7 @@ def _attached(members: DataFrame, grouped: DataFrame, texts: DataFrame, words: i
         some = Window.partitionBy("sig").orderBy(F.xxhash64("node", F.lit(nth)), "node")
         inside = inside.withColumn("nth", F.row_number().over(some)).where(F.col("nth") <= MET_AT_ONCE)
         pairs = outside.select("sig", F.col("node").alias("a")).join(inside.select("sig", F.col("node").alias("b")), "sig").select("a", "b")
+        pairs = written(pairs, "met-inside")
         links = written(_links(pairs, texts, words, similarity), "links")
         if links.isEmpty():
             break
