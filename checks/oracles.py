@@ -738,6 +738,14 @@ oracle(
     JOIN (SELECT search_text FROM m_worded WHERE NOT linked AND NOT is_title AND unit_price > 0) o USING (search_text) GROUP BY 1""",
     EV,
 )
+oracle(
+    "attach_identical",
+    """SELECT o.line_id, c.user_id AS target_item_id, 'g' || c.event_id AS batch_id, 'u' || c.user_id AS actor, c.ts::DATE::VARCHAR AS day
+    FROM m_worded o JOIN cmd c USING (search_text)
+    WHERE NOT o.linked AND NOT o.is_title AND o.unit_price > 0 AND o.document_id NOT IN (SELECT document_id FROM ev WHERE event_type = 'signup')
+    QUALIFY row_number() OVER (PARTITION BY o.line_id ORDER BY c.ts DESC, 'g' || c.event_id DESC) = 1""",
+    EV + ", cmd AS (SELECT DISTINCT search_text, event_id, user_id, ts FROM m_worded JOIN ev USING (document_id) WHERE event_type = 'signup')",
+)
 oracle("merged_links", "SELECT link_id, coalesce(target_id, item_id) AS item_id FROM m_linked LEFT JOIN fin ON source_id = item_id", MERGED, True)
 oracle("merged_items", "SELECT item_id, active AND item_id NOT IN (SELECT source_id FROM fin) AS active FROM m_items", MERGED, True)
 oracle(

@@ -631,8 +631,14 @@ def identical_orphans(m: Model) -> DataFrame:
     )
     lines = worded(m)
     chosen = lines.join(m.links(), "line_id", "left_anti").join(opened, "document_id", "left_semi")
-    pairs = curation.identical_orphans(lines, m.links(), chosen)
-    return pairs.groupBy("chosen_id").agg(F.count(F.lit(1)).alias("n_identical"))
+    return curation.identical_orphans(lines, m.links(), chosen).select("chosen_id", "n_identical")
+
+
+@query
+def attach_identical(m: Model) -> DataFrame:
+    """The lines worded like those that users attach follow them."""
+    rows = curation.identical_commands(worded(m), m.links(), samples.attach_commands(m))
+    return rows.select("line_id", "target_item_id", "batch_id", "actor", F.to_date("at").cast("string").alias("day"))
 
 
 @query

@@ -9,15 +9,32 @@ from pricebase.functions.numbers import half_up
 from pricebase.session import materialized
 
 MIN_DOCUMENTS = 3
+# frequent items of a document that meet in one task
+TILE = 500
 
 
-def _pairs_within(memberships: DataFrame) -> DataFrame:
-    other = memberships.withColumnRenamed("item_id", "item_b")
-    return (
-        memberships.withColumnRenamed("item_id", "item_a")
-        .join(other, "document_id")
-        .where(F.col("item_a") < F.col("item_b"))
-        .select("item_a", "item_b", "document_id")
+def pairs_within(memberships: DataFrame, tile: int = TILE) -> DataFrame:
+    """(item_a, item_b, document_id), a < b, of every two items of a document.
+
+    A document's items are dealt into tiles of about ``tile``, and pairs of tiles meet: a document
+    with very many items spreads over a triangle of tasks instead of filling one.
+    """
+    sizes = memberships.groupBy("document_id").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+    placed = memberships.join(sizes, "document_id").withColumn(
+        "tile", F.pmod(F.xxhash64("item_id"), F.col("tiles").cast("bigint")).cast("int")
+    )
+    left = placed.select(
+        "document_id", F.col("item_id").alias("one"), F.col("tile").alias("tile_a"),
+        F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("tile_b"),
+    )
+    right = placed.select(
+        "document_id", F.col("item_id").alias("other"), F.col("tile").alias("tile_b"),
+        F.explode(F.sequence(F.lit(0), F.col("tile"))).alias("tile_a"),
+    )
+    # inside one tile each pair is met from both sides, across two tiles once
+    once = (F.col("tile_a") < F.col("tile_b")) | (F.col("one") < F.col("other"))
+    return left.join(right, ["document_id", "tile_a", "tile_b"]).where(once).select(
+        F.least("one", "other").alias("item_a"), F.greatest("one", "other").alias("item_b"), "document_id"
     )
 
 
@@ -38,7 +55,7 @@ def cooccurrence(base: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFra
     totals = memberships.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
     frequent = totals.where(F.col("n_documents") >= min_documents)
     kept = memberships.join(frequent.select("item_id"), "item_id", "left_semi")
-    pairs = _pairs_within(kept)
+    pairs = pairs_within(kept)
     joint = pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n_together"))
     joint = materialized(joint.where(F.col("n_together") >= min_documents))
 

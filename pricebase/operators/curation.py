@@ -167,16 +167,41 @@ def auto_validation_report(candidates: DataFrame) -> DataFrame:
 # ---- C5: attach lines ------------------------------------------------------
 
 
+def _orphans(lines: DataFrame, links: DataFrame) -> DataFrame:
+    """Unlinked priced lines: line_id, search_text."""
+    priced = lines.where(~F.col("is_title") & (F.col("unit_price") > 0)).select("line_id", "search_text")
+    return priced.join(links.select("line_id"), "line_id", "left_anti")
+
+
 def identical_orphans(lines: DataFrame, links: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Unlinked priced lines worded exactly like a chosen line: (chosen_id, line_id)."""
-    orphans = lines.where(~F.col("is_title") & (F.col("unit_price") > 0)).join(
-        links.select("line_id"), "line_id", "left_anti"
-    )
-    wording = lines.join(chosen.select("line_id"), "line_id", "left_semi").select(
+    """Chosen lines with how many unlinked priced lines are worded exactly like them.
+
+    One row per chosen line (chosen_id, search_text, n_identical): orphans are counted per wording
+    before they meet the chosen lines, so no wording unfolds into chosen lines x orphans.
+    """
+    wanted = lines.join(chosen.select("line_id").distinct(), "line_id", "left_semi").select(
         F.col("line_id").alias("chosen_id"), "search_text"
     )
-    return orphans.select("line_id", "search_text").join(wording, "search_text").select(
-        "chosen_id", "line_id"
+    counts = _orphans(lines, links).groupBy("search_text").agg(F.count(F.lit(1)).alias("n_identical"))
+    return wanted.join(counts, "search_text").select("chosen_id", "search_text", "n_identical")
+
+
+def identical_commands(lines: DataFrame, links: DataFrame, commands: DataFrame) -> DataFrame:
+    """Attach commands for the unlinked priced lines worded like a line of the given commands.
+
+    Each wording has one answer, that of its latest command; lines with a command of their own keep
+    it. One row per attached line, in the shape ``attach_lines`` takes.
+    """
+    fields = ["target_item_id", "batch_id", "actor", "at"]
+    worded = commands.select("line_id", *fields).join(lines.select("line_id", "search_text"), "line_id")
+    latest = worded.groupBy("search_text").agg(
+        F.max(F.struct("at", "batch_id", "actor", "target_item_id")).alias("_c")
+    )
+    return (
+        _orphans(lines, links)
+        .join(commands.select("line_id").distinct(), "line_id", "left_anti")
+        .join(latest, "search_text")
+        .select("line_id", *[F.col(f"_c.{f}").alias(f) for f in fields])
     )
 
 

@@ -163,3 +163,19 @@ def test_category_tree(spark):
     assert {r.category_id for r in tree.descendants(categories, 2).collect()} == {2, 3}
     moves = spark.createDataFrame([(1, 3), (3, 1), (2, 2)], "category_id int, new_parent_id int")
     assert {(r.category_id, r.allowed) for r in tree.move_checks(moves, categories).collect()} == {(1, False), (3, True), (2, False)}
+
+
+def test_identical_orphans_of_a_hot_wording_stay_linear(spark):
+    """Half of all lines share one wording, and half of those are chosen."""
+    rows = [(i, "hot" if i % 2 else f"w{i % 50}", False, 10.0) for i in range(2000)] + [(9000, "hot", True, 1.0), (9001, None, False, 1.0)]
+    lines = spark.createDataFrame(rows, "line_id long, search_text string, is_title boolean, unit_price double")
+    links = lines.where("line_id < 100").select("line_id")
+    chosen = lines.where("line_id % 4 = 1").select("line_id")
+    found = curation.identical_orphans(lines, links, chosen).collect()
+    assert len(found) == chosen.count() and {r.n_identical for r in found if r.search_text == "hot"} == {950}
+    commands = chosen.where("line_id < 1000").select(
+        "line_id", (F.col("line_id") * 10).alias("target_item_id"), F.lit("b").alias("batch_id"), F.lit("u").alias("actor"), F.col("line_id").alias("at")
+    )
+    attached = curation.identical_commands(lines, links, commands).collect()
+    assert len(attached) == len({r.line_id for r in attached}) == 950 - commands.where("line_id >= 100").count()
+    assert {r.target_item_id for r in attached} == {9970}

@@ -162,6 +162,19 @@ def test_cooccurrence_against_brute_force(spark):
     assert got == wanted and got
 
 
+def test_pairs_of_a_large_document_spread_over_tiles(spark):
+    rows = [(d, i) for d in (1, 2, 3) for i in range(300)] + [(4, 5), (4, 9), (5, 7)]
+    frame = spark.createDataFrame(rows, "document_id long, item_id long")
+    for tile in (500, 40):
+        found = cooc.pairs_within(frame, tile)
+        assert found.count() == found.distinct().count() == 3 * 300 * 299 // 2 + 1
+        assert found.where("item_a >= item_b").count() == 0
+        assert [tuple(r) for r in found.where("document_id = 4").collect()] == [(5, 9, 4)]
+    base = frame.withColumn("quantity", F.lit(2.0))
+    together = cooc.cooccurrence(base)
+    assert together.count() == 300 * 299 // 2 and {r.n_together for r in together.select("n_together").distinct().collect()} == {3, 4}
+
+
 def test_grid_sorts_missing_last(model):
     from pricebase.operators import grid
 
