@@ -432,6 +432,31 @@ oracle(
     parent_code IS NULL OR parent_code IN (SELECT category_code FROM m_cats) AS acceptable FROM cp""",
     CATPROP,
 )
+DECIDED = (
+    CATPROP
+    + """, want AS (SELECT *, ord % 3 <> 0 AND ord % 7 <> 0 AS sel FROM cp),
+  acc AS (SELECT code FROM want WHERE sel AND (parent_code IS NULL OR parent_code IN (SELECT category_code FROM m_cats))
+    UNION SELECT w.code FROM want w JOIN acc ON w.parent_code = acc.code WHERE w.sel),
+  made AS (SELECT code, label, parent_code, (SELECT max(category_id) FROM m_cats) + row_number() OVER (ORDER BY code) AS category_id FROM acc JOIN want USING (code)),
+  cats AS (SELECT category_id, category_code, category_label, parent_id FROM m_cats UNION ALL
+    SELECT n.category_id, n.code, n.label, coalesce(c.category_id, p.category_id) FROM made n LEFT JOIN m_cats c ON c.category_code = n.parent_code LEFT JOIN made p ON p.code = n.parent_code)"""
+)
+oracle(
+    "decided_category_proposals",
+    """SELECT w.code, CASE WHEN made.code IS NOT NULL THEN 'accepte' WHEN ord % 7 = 0 THEN 'refuse' ELSE 'propose' END AS status, made.category_id::DOUBLE AS category_id,
+    sel AND made.code IS NULL AS blocked FROM want w LEFT JOIN made USING (code)""",
+    DECIDED,
+    True,
+)
+oracle("accepted_categories", "SELECT category_id::BIGINT AS category_id, category_code, category_label, parent_id::DOUBLE AS parent_id FROM cats", DECIDED, True)
+oracle(
+    "applied_assignments",
+    """SELECT item_id, coalesce(made.category_id, i.category_id)::BIGINT AS category_id,
+    CASE WHEN made.code IS NOT NULL THEN 'accepte' WHEN w.code IS NOT NULL AND ord % 7 = 0 THEN 'refuse' ELSE 'propose' END AS status
+    FROM m_items i JOIN part ON p_partkey = item_id LEFT JOIN want w ON w.code = 'N' || (p_size % 30) LEFT JOIN made ON made.code = w.code""",
+    DECIDED,
+    True,
+)
 oracle(
     "assigned_items",
     "SELECT item_id, coalesce(c.category_id, i.category_id)::BIGINT AS category_id FROM m_items i JOIN part ON p_partkey = item_id LEFT JOIN m_cats c ON category_code = 'B' || (p_size % 30)",

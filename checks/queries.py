@@ -341,6 +341,38 @@ def category_proposal_listing(m: Model) -> DataFrame:
     )
 
 
+def _decided(m: Model) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Every seventh proposal refused, two of three others accepted, then all assignments applied."""
+    valid = curation.valid_category_proposals(samples.category_proposals(m), m.categories())
+    assigned = samples.category_assignments(m).withColumn("category_code", F.regexp_replace("category_code", "^B", "N"))
+    stored = curation.replaced_proposals(valid.limit(0).withColumn("status", F.lit("")), valid, "code")
+    assigned = curation.replaced_proposals(assigned.limit(0).withColumn("status", F.lit("")), assigned, "item_id")
+    stored, assigned = curation.refuse_categories(stored, assigned, stored.where("ord % 7 = 0"))
+    after, categories, blocked = curation.accept_categories(stored, m.categories(), stored.where("ord % 3 <> 0 and ord % 7 <> 0"))
+    items, assigned = curation.apply_assignments(m.items(), assigned, categories, after)
+    report = after.join(blocked.select("code", F.lit(True).alias("blocked")), "code", "left")
+    return report.fillna(False, ["blocked"]), categories, items, assigned
+
+
+@query
+def decided_category_proposals(m: Model) -> DataFrame:
+    report, _, _, _ = _decided(m)
+    return report.select("code", "status", number("category_id"), "blocked")
+
+
+@query
+def accepted_categories(m: Model) -> DataFrame:
+    _, categories, _, _ = _decided(m)
+    return categories.select(whole("category_id"), "category_code", "category_label", number("parent_id"))
+
+
+@query
+def applied_assignments(m: Model) -> DataFrame:
+    _, _, items, assigned = _decided(m)
+    states = assigned.select("item_id", "status")
+    return items.join(states, "item_id", "left").select("item_id", whole("category_id"), "status")
+
+
 @query
 def assigned_items(m: Model) -> DataFrame:
     rows = curation.assign_items(m.items(), samples.category_assignments(m), m.categories())

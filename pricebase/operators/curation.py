@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricebase.functions.skew import count_per_key
+from pricebase.functions.skew import running_before
 from pricebase.functions.text import is_category_code, unit_compatible
 from pricebase.session import materialized
 
@@ -593,6 +594,98 @@ def acceptable_categories(proposals: DataFrame, categories: DataFrame) -> DataFr
     )
 
 
+def replaced_proposals(stored: DataFrame, proposed: DataFrame, key: str) -> DataFrame:
+    """A new answer replaces the open proposals; decided ones stay unless it names them again.
+
+    Serves categories (``key`` = code) and assignments (``key`` = item_id); both have a status.
+    """
+    fresh = proposed.withColumn("status", F.lit("propose"))
+    decided = stored.where(F.col("status") != "propose").join(fresh.select(key), key, "left_anti")
+    return decided.unionByName(fresh, allowMissingColumns=True)
+
+
+def accept_categories(
+    proposals: DataFrame, categories: DataFrame, accepted: DataFrame, max_rounds: int = 60
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Creates the accepted proposals (``accepted``: code), parents first.
+
+    Level by level, a proposal is created once its parent exists, was accepted before, or was created
+    by a level above; a whole chain can be accepted in one call. Returns the proposals with status
+    and category_id, the categories, and the blocked ones, whose parent is still to be accepted.
+    New numbers follow the largest one in the order of the codes; a code that exists is taken over.
+    """
+    existing = categories.groupBy(F.col("category_code").alias("code")).agg(F.min("category_id").alias("known_id"))
+    open_ = materialized(
+        proposals.join(accepted.select("code").distinct(), "code", "left_semi")
+        .where(F.col("status") != "accepte")
+        .join(existing, "code", "left")
+    )
+    reached = existing.select("code").union(proposals.where("status = 'accepte'").select("code")).distinct()
+    left, done = open_, None
+    for _ in range(max_rounds):
+        above = reached.select(F.col("code").alias("parent_code"), F.lit(True).alias("_ready"))
+        ready = left.join(above, "parent_code", "left").where(
+            F.col("parent_code").isNull() | F.col("_ready") | F.col("known_id").isNotNull()
+        )
+        ready = materialized(ready.select(*open_.columns))
+        if ready.isEmpty():
+            break
+        done = ready if done is None else done.unionByName(ready)
+        left = materialized(left.join(ready.select("code"), "code", "left_anti"))
+        reached = ready.select("code")
+    if done is None:
+        done = open_.limit(0)
+    largest = categories.agg(F.coalesce(F.max("category_id"), F.lit(0))).scalar()
+    new = running_before(done.where("known_id is null").withColumn("_all", F.lit(0)), "_all", "code", F.lit(1), "_before")
+    new = materialized(new.select("code", "label", "parent_code", "ord", (largest + F.col("_before") + 1).cast("int").alias("known_id")))
+    numbers = done.where("known_id is not null").select("code", F.col("known_id").cast("int").alias("category_id")).union(
+        new.select("code", "known_id")
+    )
+    if "category_id" not in proposals.columns:
+        proposals = proposals.withColumn("category_id", F.lit(None).cast("int"))
+    after = (
+        proposals.withColumnRenamed("category_id", "_old")
+        .join(numbers, "code", "left")
+        .withColumn("status", F.when(F.col("category_id").isNotNull(), "accepte").otherwise(F.col("status")))
+        .withColumn("category_id", F.coalesce("category_id", "_old"))
+        .select(*proposals.columns)
+    )
+    earlier = after.where("status = 'accepte'").select(F.col("code").alias("parent_code"), F.col("category_id").alias("_proposed"))
+    parents = existing.select(F.col("code").alias("parent_code"), F.col("known_id").alias("_existing"))
+    created = new.join(parents, "parent_code", "left").join(earlier, "parent_code", "left").select(
+        F.col("known_id").alias("category_id"), F.col("code").alias("category_code"), F.col("label").alias("category_label"),
+        F.coalesce("_existing", "_proposed").cast("int").alias("parent_id"), F.col("ord").cast("int").alias("category_ord"),
+    )
+    return after, categories.unionByName(created), left.select("code", "parent_code")
+
+
+def refuse_categories(
+    proposals: DataFrame, assignments: DataFrame, refused: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Refused proposals (``refused``: code), and the open assignments to them refused too."""
+    marked = refused.select("code", F.lit(True).alias("_no")).distinct()
+    status = F.when(F.col("_no"), "refuse").otherwise(F.col("status"))
+    proposals_after = proposals.join(marked, "code", "left").withColumn("status", status).select(*proposals.columns)
+    by_code = marked.withColumnRenamed("code", "category_code")
+    still = F.when(F.col("_no") & (F.col("status") == "propose"), "refuse").otherwise(F.col("status"))
+    after = assignments.join(by_code, "category_code", "left").withColumn("status", still).select(*assignments.columns)
+    return proposals_after, after
+
+
+def apply_assignments(
+    items: DataFrame, assignments: DataFrame, categories: DataFrame, codes: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Open assignments to the named categories (``codes``: code) carried out, where these exist."""
+    known = categories.select("category_code").join(
+        codes.select(F.col("code").alias("category_code")), "category_code", "left_semi"
+    ).distinct()
+    due = assignments.where("status = 'propose'").join(known, "category_code", "left_semi")
+    marked = known.withColumn("_due", F.lit(True))
+    status = F.when(F.col("_due") & (F.col("status") == "propose"), "accepte").otherwise(F.col("status"))
+    after = assignments.join(marked, "category_code", "left").withColumn("status", status).select(*assignments.columns)
+    return assign_items(items, due, categories), after
+
+
 def assign_items(items: DataFrame, assignments: DataFrame, categories: DataFrame) -> DataFrame:
     """Applies item -> category assignments (item_id, category_code) that name a known category."""
     known = categories.select("category_code", F.col("category_id").alias("_to"))

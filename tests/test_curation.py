@@ -180,3 +180,22 @@ def test_identical_orphans_of_a_hot_wording_stay_linear(spark):
     attached = curation.identical_commands(lines, links, commands).collect()
     assert len(attached) == len({r.line_id for r in attached}) == 950 - commands.where("line_id >= 100").count()
     assert {r.target_item_id for r in attached} == {9970}
+
+
+def test_a_chain_of_categories_is_accepted_in_one_call(spark):
+    fields = "category_id int, category_code string, category_label string, parent_id int, category_ord int"
+    categories = spark.createDataFrame([(5, "A", "a", None, 1)], fields)
+    rows = [("A.1", "A", "propose"), ("A.11", "A.1", "propose"), ("A.111", "A.11", "refuse"), ("A.1111", "A.111", "propose"), ("B", None, "propose"), ("C.1", "C", "propose"), ("D", "D", "propose"), ("E", "A", "propose")]
+    proposals = spark.createDataFrame([(c, c.lower(), p, 1, s) for c, p, s in rows], "code string, label string, parent_code string, ord int, status string")
+    accepted = proposals.where("code <> 'E'")
+    after, made, blocked = curation.accept_categories(proposals, categories, accepted)
+    ids = {r.category_code: (r.category_id, r.parent_id) for r in made.collect()}
+    assert ids == {"A": (5, None), "A.1": (6, 5), "A.11": (7, 6), "A.111": (8, 7), "A.1111": (9, 8), "B": (10, None)}
+    assert {r.code: r.status for r in after.collect()} == {c: "propose" if c in ("C.1", "D", "E") else "accepte" for c, _, _ in rows}
+    assert {r.code for r in blocked.collect()} == {"C.1", "D"}
+    # once accepted, a proposal is not created again; a child may still follow it
+    again, same, _ = curation.accept_categories(after, made, accepted)
+    assert same.count() == made.count() and again.where("category_id is null").count() == 3
+    fresh = spark.createDataFrame([("B", "new b", None, 2), ("F", "f", None, 3)], "code string, label string, parent_code string, ord int")
+    replaced = {r.code: r.status for r in curation.replaced_proposals(after, fresh, "code").collect()}
+    assert replaced == {"A.1": "accepte", "A.11": "accepte", "A.111": "accepte", "A.1111": "accepte", "B": "propose", "F": "propose"}
