@@ -532,6 +532,17 @@ oracle(
     f"""SELECT line_id, CASE WHEN unit = 'ens' AND quantity > 1 THEN 'u' ELSE unit END AS unit, off_scope AND NOT {CONTESTED} AS off_scope,
     CASE WHEN {CONTESTED} THEN 'llm-conteste' ELSE off_scope_reason END AS off_scope_reason FROM m_worded""",
 )
+oracle(
+    "backfilled_units",
+    """SELECT line_id, CASE WHEN r = 'U' THEN 'kg' ELSE code END AS unit, CASE WHEN r <> 'U' THEN floor(quantity::DOUBLE * factor::DOUBLE * 1000.0 + 0.5) / 1000.0 END AS quantity_norm
+    FROM (SELECT line_id, quantity, trim((['M2 ', 'm²', 'cm2', 'T', 'Ens', 'ENSEMBLE', 'xyz', NULL, 'U', 'Mètre Carré', 'fft', 'Kg'])[(k % 12) + 1]) AS r FROM m_lines)
+    LEFT JOIN (SELECT lower(alias) AS spelling, min_by(code, alias) AS code, min_by(factor, alias) AS factor FROM al GROUP BY 1) ON spelling = lower(r)""",
+    f"al(alias, code, factor) AS (VALUES {_values(UNIT_ALIASES)})",
+)
+oracle(
+    "answer_sources",
+    """SELECT document_id AS answer_id, min(line_id) AS position, item_id, unit AS filters FROM m_linked GROUP BY document_id, item_id, unit""",
+)
 oracle(
     "off_scope_guard",
     f"SELECT line_id, NOT (unit_price > 0 AND quantity > 0 AND NOT regexp_matches(search_text, '{ADMIN}')) AS accepted FROM m_worded WHERE off_scope",
@@ -885,19 +896,29 @@ oracle(
     """SELECT link_id, item_id, n_pending, designation, unit, unit_price::DOUBLE AS unit_price, unit_ok FROM (SELECT *, count(*) OVER (PARTITION BY item_id) AS n_pending FROM pe WHERE active) WHERE n_pending >= 2""",
     PENDING,
 )
-oracle(
-    "match_alternatives",
-    f"""SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY r) AS rank, b.item_id, {half('b.score', 3)} AS score, b.ok
-    FROM pe JOIN best b ON b.search_text = pe.search_text AND b.unit IS NOT DISTINCT FROM pe.unit WHERE b.item_id <> pe.item_id
-    QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY r) <= 3""",
-    PENDING
-    + f""", pw AS (SELECT DISTINCT search_text, unit FROM pe),
+ALTERNATIVES = f"""pw AS (SELECT DISTINCT search_text, unit FROM pe),
   pt AS (SELECT search_text, len(g) AS n, unnest(g) AS t FROM (SELECT search_text, {tri('search_text')} AS g FROM (SELECT DISTINCT search_text FROM pw))),
   pl AS (SELECT label, len(g) AS n, unnest(g) AS t FROM (SELECT label, {tri('label')} AS g FROM (SELECT DISTINCT label_norm AS label FROM m_items WHERE active))),
   met AS (SELECT search_text, label, count(*) / (any_value(pt.n) + any_value(pl.n) - count(*))::DOUBLE AS score FROM pt JOIN pl USING (t) GROUP BY 1, 2),
   best AS (SELECT w.search_text, w.unit, i.item_id, coalesce(score, 0.0::DOUBLE) AS score, coalesce({compatible('w.unit', 'i.item_unit')}, false) AS ok,
       row_number() OVER (PARTITION BY w.search_text, w.unit ORDER BY coalesce({compatible('w.unit', 'i.item_unit')}, false) DESC, coalesce(score, 0.0::DOUBLE) DESC, i.item_id) AS r
-    FROM pw w CROSS JOIN m_items i LEFT JOIN met ON met.search_text = w.search_text AND met.label = i.label_norm WHERE i.active QUALIFY r <= 4)""",
+    FROM pw w CROSS JOIN m_items i LEFT JOIN met ON met.search_text = w.search_text AND met.label = i.label_norm WHERE i.active QUALIFY r <= 4)"""
+
+
+def alternatives(lines: str) -> str:
+    return f"""SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY r) AS rank, b.item_id, {half('b.score', 3)} AS score, b.ok
+    FROM {lines} pe JOIN best b ON b.search_text = pe.search_text AND b.unit IS NOT DISTINCT FROM pe.unit WHERE b.item_id <> pe.item_id
+    QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY r) <= 3"""
+
+
+oracle("match_alternatives", alternatives("pe"), f"{PENDING}, {ALTERNATIVES}")
+oracle(
+    "review_queue_alternatives",
+    alternatives(
+        """(SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY item_id) - 1 AS same_item FROM pe)
+      ORDER BY same_item DESC, item_id, score ASC NULLS FIRST, document_date ASC NULLS LAST, line_id LIMIT 20 OFFSET 40)"""
+    ),
+    f"{PENDING}, {ALTERNATIVES}",
 )
 ORPHANS = """orp AS (SELECT line_id, document_id, search_text, document_date, count(*) OVER (PARTITION BY search_text) AS n_identical FROM m_worded JOIN m_docs d USING (document_id)
     WHERE NOT linked AND NOT is_title AND NOT off_scope AND unit_price > 0 AND d.status <> 'rejete')"""

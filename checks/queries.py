@@ -27,7 +27,7 @@ from pricebase.operators import (
     tree,
 )
 from pricebase.plans import views
-from pricebase.plans.api import Catalogue
+from pricebase.plans.api import Catalogue, distinct_sources
 from pricebase.plans.filters import CurationFilters, HistoryFilters, PriceFilters, page, page_with_total
 from pricebase.sources import dims, export, files, ledger, payloads
 from pricebase.sources.fixtures import Model
@@ -428,6 +428,24 @@ def repaired_lines(m: Model) -> DataFrame:
     return quality.repaired_lines(worded(m)).select("line_id", "unit", "off_scope", "off_scope_reason")
 
 
+@query
+def backfilled_units(m: Model) -> DataFrame:
+    """Only pieces have a unit so far, and a wrong one."""
+    known = F.when(F.trim("unit_raw") == "U", "kg")
+    lines = samples.raw_unit_lines(m).withColumns({"unit": known, "quantity_norm": F.lit(None).cast("decimal(14,3)")})
+    rows = quality.backfilled_units(lines, dims.unit_aliases(m.spark))
+    return rows.select("line_id", "unit", number("quantity_norm"))
+
+
+@query
+def answer_sources(m: Model) -> DataFrame:
+    """Each document as an answer that quotes the items of its lines, with their unit as filter."""
+    quoted = m.linked_lines().select(
+        F.col("document_id").alias("answer_id"), F.col("line_id").alias("position"), "item_id", F.col("unit").alias("filters")
+    )
+    return distinct_sources(quoted)
+
+
 @query
 def off_scope_guard(m: Model) -> DataFrame:
     proposed = worded(m).where(F.col("off_scope"))
@@ -849,6 +867,14 @@ def review_queue(m: Model) -> DataFrame:
     return rows.select("line_id", "item_id", "same_item", number("score"), "unit_ok")
 
 
+@query
+def review_queue_alternatives(m: Model) -> DataFrame:
+    """The third page of the queue with the three best other items of each line."""
+    rows = page(curation.review_queue(pending(m)), curation.review_order(), 3, 20)
+    found = matching.match_alternatives(rows.select("line_id", "item_id", "search_text", "unit"), m.items())
+    return found.withColumn("rank", whole("rank"))
+
+
 @query
 def pending_groups(m: Model) -> DataFrame:
     rows = curation.pending_groups(pending(m))

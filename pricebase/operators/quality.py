@@ -101,6 +101,30 @@ def repaired_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def backfilled_units(lines: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Lines whose unit was unknown take it from a spelling learned since, with their quantity.
+
+    Spellings are compared trimmed and without case (of several, the first in order); units already
+    known and the quantities that go with them are left alone.
+    """
+    learned = aliases.groupBy(F.lower("alias").alias("_spelling")).agg(
+        F.min(F.struct("alias", "code", "factor")).alias("_m")
+    )
+    unknown = F.col("unit").isNull() & F.col("_m.code").isNotNull()
+    quantity = half_up(F.col("quantity").cast("double") * F.col("_m.factor").cast("double"), 3)
+    return (
+        lines.withColumn("_spelling", F.lower(F.trim("unit_raw")))
+        .join(learned, "_spelling", "left")
+        .withColumns(
+            {
+                "quantity_norm": F.when(unknown, quantity.cast("decimal(14,3)")).otherwise(F.col("quantity_norm")),
+                "unit": F.when(unknown, F.col("_m.code")).otherwise(F.col("unit")),
+            }
+        )
+        .select(*lines.columns)
+    )
+
+
 def dated_documents(documents: DataFrame) -> DataFrame:
     """Documents dated before the provenance existed got their date from the document."""
     missing = F.col("document_date").isNotNull() & F.col("date_source").isNull()

@@ -117,3 +117,16 @@ class Catalogue:
         pairs = pairs.where((F.col("item_a") == item_id) | (F.col("item_b") == item_id))
         best = cooc.cooccurrence_topk(pairs, self.items, min(limit or 5, MAX_LIMIT))
         return best.where(F.col("item_id") == item_id).orderBy("rank")
+
+
+def distinct_sources(sources: DataFrame) -> DataFrame:
+    """The sources of each answer once per item and filters, the first mention of them.
+
+    ``sources``: answer_id, position, item_id, filters; missing filters are none.
+    """
+    first = F.min(F.struct("position", "filters"))
+    return (
+        sources.groupBy("answer_id", "item_id", F.coalesce("filters", F.lit("")).alias("_filters"))
+        .agg(first.alias("_f"))
+        .select("answer_id", F.col("_f.position").alias("position"), "item_id", F.col("_f.filters").alias("filters"))
+    )
