@@ -1,11 +1,17 @@
 """Main text of web pages by site template removal.
 
 Every element subtree of a page is hashed; Spark counts on how many pages of the host each hash occurs, and subtrees
-that recur on at least half of the host's pages (three or more) are template and go. What is always furniture by its
-element, role or class (menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles, comments)
-goes as well, also on hosts with a single page. The text is that of the ``article`` elements, else of ``main``, else of
-the body. Those containers themselves, and the text blocks inside ``article`` and ``main`` with the elements around them, are
-content even if they recur, and inline elements go only with their block. Pages of equal html count once.
+that recur on at least half of the host's pages (three or more) are template and go. What is furniture by its element,
+role or a whole class or id token (menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles,
+comments) goes as well, as it need not recur. On hosts too small to count, parts of hyphenated names tell furniture
+outside articles too. The text is that of ``main`` where it encloses the ``article`` elements, else of those, else of
+``main``, else of the body. Those containers themselves, and the text blocks of the article (of ``main`` on pages without
+one) with the elements around them, are content even if they recur; text blocks and inline elements of it are never
+furniture by name. An ``article`` named comment is one only beside another article or ``main``, or among several. Pages of
+equal html count once.
+
+The host's templates, which are bounded by twice a page's subtrees, travel to the pages, whose html is not shuffled: as a
+broadcast up to TEMPLATES_SENT hashes in all, beyond it by a join whose hosts are dealt over SALTS parts.
 
 Blocks are joined by two newlines, white space inside a block becomes one space, character references are decoded.
 
@@ -26,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from pricebase.llm.common import prepared
+from pricebase.llm.common import prepared, written
 from pricebase.llm.url_filter import host_of
 
 #: A subtree is template from this share of its host's pages, and this many pages, on.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 3
+#: Hashes of all hosts that are broadcast at most; parts over which a host's pages are dealt beyond it.
+TEMPLATES_SENT, SALTS = 2_000_000, 64
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math textarea title xmp object canvas audio video".split())
@@ -60,31 +68,48 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]
 _WORDS = re.compile(r"[a-z]+")
 
 
+_P = frozenset(("p",))
+ARTICLE, MAIN = 1, 2
+#: Class or id tokens of an ``article`` that is a reader's comment.
+COMMENTS = frozenset("comment comments comment-body comment-list".split())
+
+
 class Node:
-    __slots__ = ("tag", "names", "roles", "children", "digest", "holds_main", "holds_text", "inside")
+    __slots__ = ("tag", "tokens", "roles", "children", "digest", "holds_main", "holds_text", "around", "inside")
 
-    def __init__(self, tag: str, attributes: str, inside: bool):
+    def __init__(self, tag: str, attributes: str, around: int):
         found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
         self.tag, self.children, self.digest, self.holds_main, self.holds_text = tag, [], 0, False, False
-        self.names = frozenset(_WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}")) if found else frozenset()
+        self.tokens = frozenset(f"{found.get('class', '')} {found.get('id', '')}".split()) if found else frozenset()
         self.roles = frozenset(found.get("role", "").split()) if found else frozenset()
-        #: whether an article or main is around it
-        self.inside = inside
+        #: the containers around it, ARTICLE and MAIN; whether that of the page's text is among them
+        self.around, self.inside = around, False
+
+    def container(self) -> int:
+        return ARTICLE if self.tag == "article" else MAIN if self.tag == "main" or "main" in self.roles else 0
 
     def closed(self) -> None:
         own = xxhash.xxh64(self.tag)
-        for name in sorted(self.names):
+        for name in sorted({w for token in self.tokens for w in _WORDS.findall(token)}):
             own.update(f"\0{name}")
         for child in self.children:
             own.update(f"\1{child}" if isinstance(child, str) else b"\2" + child.digest.to_bytes(8, "little"))
         self.digest = own.intdigest()
 
-    def furniture(self) -> bool:
-        if self.tag in CONTAINERS and not (self.tag == "article" and self.names & {"comment", "comments"}):
+    def comment(self) -> bool:
+        return self.tag == "article" and bool(self.tokens & COMMENTS)
+
+    def furniture(self, by_parts: bool) -> bool:
+        """Whether its element, role or name tells so; parts of a name count only if asked for, and outside articles."""
+        if self.tag in CONTAINERS:
+            return False
+        if self.tag in FURNITURE or self.tag == "header" and not self.around:
+            return True
+        if self.holds_main or self.tag in TEXT_BLOCKS or self.inside and self.tag not in BLOCKS:
             return False
-        if self.tag in FURNITURE or self.tag == "header" and not self.inside:
+        if self.tokens & NAMES or self.roles & ROLES:
             return True
-        return not self.holds_main and bool(self.names & NAMES or self.roles & ROLES)
+        return by_parts and not self.inside and any(not NAMES.isdisjoint(_WORDS.findall(token)) for token in self.tokens)
 
     def may_be_template(self) -> bool:
         if self.tag not in BLOCKS or self.tag in CONTAINERS or self.holds_main:
@@ -92,33 +117,60 @@ class Node:
         return not (self.inside and (self.holds_text or self.tag in TEXT_BLOCKS))
 
 
+class _Open:
+    """The open elements, and where the last one of a tag or of a set of tags is, whatever the depth."""
+
+    def __init__(self, root: Node):
+        self.nodes, self._at = [root], {}
+        self._sets: dict[frozenset[str], list[int]] = {tags: [] for tags in (BLOCKS, _P_SCOPE)}
+
+    def push(self, node: Node) -> None:
+        self._at.setdefault(node.tag, []).append(len(self.nodes))
+        for tags, places in self._sets.items():
+            if node.tag in tags:
+                places.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def pop(self) -> Node:
+        node = self.nodes.pop()
+        if self.nodes:
+            self._at[node.tag].pop()
+            for tags, places in self._sets.items():
+                if node.tag in tags:
+                    places.pop()
+        return node
+
+    def _last(self, tags: frozenset[str]) -> int:
+        if tags in self._sets:
+            return self._sets[tags][-1] if self._sets[tags] else 0
+        return max((self._at[t][-1] for t in tags if self._at.get(t)), default=0)
+
+    def inside(self, tags: frozenset[str], scope: frozenset[str]) -> int | None:
+        """The place of the innermost open element of these tags, unless one of the scope lies further inside."""
+        found = self._last(tags)
+        return found if found and found >= self._last(scope) else None
+
+
 def parse(html: str) -> tuple[Node, list[Node]]:
     """The root and all elements, in the order in which they end."""
-    root = Node("html", "", False)
-    stack, done, at = [root], [], 0
+    root = Node("html", "", 0)
+    opened, done, at = _Open(root), [], 0
+    stack = opened.nodes
 
     def close(n: int) -> None:
         while len(stack) > n:
-            node = stack.pop()
+            node = opened.pop()
             node.closed()
             done.append(node)
 
-    def open_at(tags: frozenset[str], scope: frozenset[str]) -> int | None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                return i
-            if stack[i].tag in scope:
-                return None
-        return None
-
     def text(part: str) -> None:
         if part:
             stack[-1].children.append(unescape(part) if "&" in part else part)
 
-    size, pending = len(html), 0
+    size, pending, last = len(html), 0, html.rfind(">")
     while at < size:
         less = html.find("<", at)
-        if less < 0 or html.find(">", less) < 0:
+        if not 0 <= less < last:
             break
         found = _MARKUP.match(html, less)
         if not found:
@@ -130,19 +182,20 @@ def parse(html: str) -> tuple[Node, list[Node]]:
         if not tag:
             continue
         if found[1]:
-            blocks = frozenset() if tag in BLOCKS else BLOCKS
-            if (n := open_at(frozenset((tag,)), blocks)) is not None:
+            if (n := opened.inside(frozenset((tag,)), frozenset() if tag in BLOCKS else BLOCKS)) is not None:
                 close(n)
             continue
-        if tag in BLOCKS and (n := open_at(frozenset(("p",)), _P_SCOPE)) is not None:
+        if tag in BLOCKS and (n := opened.inside(_P, _P_SCOPE)) is not None:
             close(n)
         if tag in _IMPLIED:
-            while (n := open_at(*_IMPLIED[tag])) is not None:
+            while (n := opened.inside(*_IMPLIED[tag])) is not None:
                 close(n)
-        node = Node(tag, found[3], stack[-1].inside or stack[-1].tag in ("article", "main"))
+        node = Node(tag, found[3], stack[-1].around | stack[-1].container())
         stack[-1].children.append(node)
-        if tag in ("article", "main") or "main" in node.roles:
-            for around in stack:
+        if node.container():
+            for around in reversed(stack):
+                if around.holds_main:
+                    break
                 around.holds_main = True
         if tag in TEXT_BLOCKS:
             for around in reversed(stack):
@@ -159,9 +212,12 @@ def parse(html: str) -> tuple[Node, list[Node]]:
             node.closed()
             done.append(node)
         else:
-            stack.append(node)
+            opened.push(node)
     text(html[pending:])
     close(0)
+    articles = any(n.tag == "article" for n in done)
+    for node in done:
+        node.inside = bool(node.around & (ARTICLE if articles else MAIN))
     return root, done
 
 
@@ -170,19 +226,29 @@ def template_candidates(html: str) -> set[int]:
     return {n.digest for n in parse(html)[1] if n.tag not in VOID and n.children and n.may_be_template()}
 
 
-def main_text(html: str, template: frozenset[int] | set[int]) -> str:
-    root, _ = parse(html)
-    roots: dict[str, list[Node]] = {"article": [], "main": []}
+def main_text(html: str, template: frozenset[int] | set[int] | None) -> str:
+    """``template`` is None where the host has too few pages to count."""
+    root, done = parse(html)
+    articles = [n for n in done if n.tag == "article"]
+    lone = len(articles) == 1 and not any(n.container() == MAIN for n in done)
+
+    def goes(node: Node) -> bool:
+        if node.comment() and not lone:
+            return True
+        return bool(template) and node.digest in template and node.may_be_template() or node.furniture(template is None)
+
+    found: dict[int, list[Node]] = {ARTICLE: [], MAIN: []}
     stack = [root]
     while stack:
         node = stack.pop()
-        if isinstance(node, str) or node.furniture() or node.digest in template and node.may_be_template():
+        if isinstance(node, str) or goes(node):
             continue
-        kind = "main" if "main" in node.roles else node.tag
-        if kind in roots:
-            roots[kind].append(node)
-        if kind != "article":
+        if kind := node.container():
+            found[kind].append(node)
+        if kind != ARTICLE:
             stack += reversed(node.children)
+    enclosed = found[MAIN] and all(n.around & MAIN for n in found[ARTICLE])
+    tops = found[MAIN][:1] if enclosed else found[ARTICLE]
     blocks: list[str] = []
     part: list[str] = []
 
@@ -191,7 +257,7 @@ def main_text(html: str, template: frozenset[int] | set[int]) -> str:
             blocks.append(words)
         part.clear()
 
-    for top in roots["article"] or roots["main"][:1] or [root]:
+    for top in tops or [root]:
         ended()
         walk: list = [top]
         while walk:
@@ -200,7 +266,7 @@ def main_text(html: str, template: frozenset[int] | set[int]) -> str:
                 ended()
             elif isinstance(node, str):
                 part.append(node)
-            elif node is top or not (node.furniture() or node.digest in template and node.may_be_template()):
+            elif node is top or not goes(node):
                 if node.tag == "br":
                     part.append(" ")
                 if node.tag in BLOCKS:
@@ -212,7 +278,7 @@ def main_text(html: str, template: frozenset[int] | set[int]) -> str:
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the hashes that recur on the host's pages; at most twice a page's number of subtrees."""
+    """(host, template) of hosts with enough pages: the hashes that recur, at most twice a page's number of subtrees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,14 +296,26 @@ def host_templates(pages: DataFrame) -> DataFrame:
     found = with_host.mapInArrow(run, "host string, hash long, content long").distinct()
     counts = found.groupBy("host", "hash").agg(F.count("*").alias("n"))
     recurring = counts.where(F.col("n") >= TEMPLATE_PAGES).join(sizes, "host").where(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
-    return recurring.groupBy("host").agg(F.collect_list("hash").alias("template"))
+    lists = recurring.groupBy("host").agg(F.collect_list("hash").alias("template"))
+    return sizes.select("host").join(lists, "host", "left").select("host", F.coalesce("template", F.array().cast("array<bigint>")).alias("template"))
+
+
+def _with_templates(rows: DataFrame) -> DataFrame:
+    """The rows with their host's ``template``, null on hosts with too few pages to count."""
+    templates = written(host_templates(rows), "templates")
+    sent = templates.agg(F.sum(F.size("template") + F.lit(1))).first()[0] or 0
+    if sent <= TEMPLATES_SENT:
+        return rows.join(F.broadcast(templates), "host", "left")
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)))
+    copies = templates.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copies, ["host", "salt"], "left")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: the id, url, text, n_chars (code points)."""
     prepared(pages.sparkSession)
     rows = pages.select(id_col, url_col, host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    joined = rows.join(host_templates(rows), "host", "left").select(id_col, url_col, "html", "template")
+    joined = _with_templates(rows).select(id_col, url_col, "html", "template")
     schema = StructType(
         [joined.schema[id_col], joined.schema[url_col], StructField("text", StringType()), StructField("n_chars", LongType())]
     )
@@ -246,7 +324,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for batch in batches:
             texts = []
             for html, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist()):
-                texts.append(main_text(html, {h % (1 << 64) for h in template or ()}))
+                texts.append(main_text(html, None if template is None else {h % (1 << 64) for h in template}))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 schema.names,

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -153,6 +154,45 @@ def test_main_text_of_a_page():
     assert html_text.main_text("<div>" * 3000 + "deep", frozenset()) == "deep"
 
 
+def test_names_never_cost_an_article_its_text():
+    def text(html, template=frozenset()):
+        return html_text.main_text(html, template)
+
+    assert text('<article class="post comment-open"><h1>T</h1><p>body</p></article><div class=menu>m</div>') == "T\n\nbody"
+    assert text('<article class="comment"><p>alone</p></article>') == "alone"
+    inner = '<h2 id="social-history">H</h2><section id="related-work"><p>r</p></section><p class="notice">n</p><div class="share">s</div>'
+    assert text(f"<article>{inner}<div class=comments><p>c</p></div></article>") == "H\n\nr\n\nn"
+    assert text("<main><h1>Title</h1><article><p>x</p></article><aside>a</aside></main>") == "Title\n\nx"
+    assert text('<article><p>x</p><article class="comment"><p>c</p></article></article>') == "x"
+    assert text("<main><p>x</p></main><article class=comment><p>c</p></article>") == "x"
+    # parts of names tell furniture only where the host cannot be counted, and only outside articles
+    page = '<div class="site-menu">m</div><div><p>x</p></div>'
+    assert text(page, None) == "x" and text(page) == "m\n\nx"
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    start = time.perf_counter()
+    assert html_text.main_text("<div>" * 20_000 + "deep", None) == "deep"
+    assert html_text.main_text("<b><div>" + "<i>" * 20_000 + "x" + "</b>" * 20_000, None) == "x"
+    assert html_text.main_text("a < " * 20_000 + "<p>b", None).endswith("<\n\nb")
+    assert time.perf_counter() - start < 5
+
+
+def test_templates_without_telling_names(spark, monkeypatch):
+    """Menus, teasers and imprints of plain elements go because they recur; both ways of the join agree."""
+    page = "<body><div><div><span>Start</span></div><div>About {h}</div></div><div><p>story {i} of {h}</p><p>more {i}</p></div><div>Imprint {h}</div></body>"
+    pages = [(100 * h + i, f"https://h{h}.org/{i}", page.format(h=h, i=i)) for h in range(3) for i in range(4)]
+    pages += [(900 + i, "https://few.org/", page.format(h=9, i=i)) for i in range(2)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_text.extract(rows).collect()}
+    for h in range(3):
+        for i in range(4):
+            assert found[100 * h + i] == f"story {i} of {h}\n\nmore {i}"
+    assert found[900] == "Start\n\nAbout 9\n\nstory 0 of 9\n\nmore 0\n\nImprint 9"
+    monkeypatch.setattr(html_text, "TEMPLATES_SENT", 0)
+    assert {r.page_id: r.text for r in html_text.extract(rows).collect()} == found
+
+
 def test_template_goes_and_articles_stay(spark):
     pages = [(i, f"http://h.org/{i}", f"<body><div><span>site line</span></div><p>own {i}</p></body>") for i in range(6)]
     pages += [(10 + i, "http://same.org/", "<article><p>the same</p></article>") for i in range(4)]
