@@ -5,7 +5,9 @@ from __future__ import annotations
 import bisect
 import itertools
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +29,35 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Where tables are written while a run's ``scratch`` is open.
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables written inside go to a folder of this run, which is removed at the end; the function given writes one that stays."""
+    outside = _folder.get() or ensure_checkpoint_dir(spark)
+    own = f"{outside}/run-{uuid.uuid4().hex}"
+    token = _folder.set(own)
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        inner = _folder.set(outside)
+        try:
+            return written(rows, name)
+        finally:
+            _folder.reset(inner)
+
+    try:
+        yield kept
+    finally:
+        _folder.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(rows: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     """The rows as a Parquet table below spark.checkpoint.dir: lineage ends there, and it survives lost executors."""
-    path = f"{ensure_checkpoint_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder.get() or ensure_checkpoint_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
     writer = rows.write.partitionBy(*by) if by else rows.write
     writer.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -20,7 +20,8 @@ parities and counts of hashed n-grams, whose differences are never more than tho
 comparison counts the common n-grams of both whole texts. Equal sets are one node throughout.
 
 Defined results: null, empty or blank texts have no n-grams and no links; shorter texts are one n-gram; a row without id
-has no links and a null component; rows with one id and different texts are one node; extra columns are ignored.
+has no links and a null component; rows with one id and different texts are one node, linked with whatever any of its
+texts is similar to; extra columns are ignored. Intermediate tables are removed once the result is written.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricebase.llm.common import prepared, shuffle_partitions, unused, written
+from pricebase.llm.common import prepared, scratch, shuffle_partitions, unused, written
 
 WORDS, SIMILARITY = 5, Fraction(3, 4)
 #: An n-gram is frequent if it is in so many documents of one in SAMPLE_ONE_IN; at most so many are remembered, in a bitmap.
@@ -496,7 +497,12 @@ def ngram_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: Fraction = SIMILARITY
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
-    spark: SparkSession = prepared(docs.sparkSession)
+    with scratch(prepared(docs.sparkSession)) as kept:
+        return kept(_components_of(docs, id_col, text_col, words, similarity), "components")
+
+
+def _components_of(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: Fraction) -> DataFrame:
+    spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     buckets = shuffle_partitions(spark)
     dealt = _sign(rows, _frequent_bits(rows, words), words, similarity, buckets).repartitionById(buckets, "bucket")
@@ -508,7 +514,7 @@ def ngram_components(
     named = written(named, "set-nodes")
     # an id with several texts joins their nodes
     node_of = named.where("set_node is not null").groupBy("doc_id").agg(F.min("set_node").alias("node"))
-    split = named.where("set_node is not null").join(node_of, "doc_id").where("set_node <> node").select(F.col("set_node").alias("a"), F.col("node").alias("b"))
+    split = written(named.where("set_node is not null").join(node_of, "doc_id").where("set_node <> node").select("doc_id", "set_node", "node"), "split")
 
     met = table.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("doc_id"), F.col("c").alias("leader"))
     shares = met.groupBy("doc_id", "leader").agg(F.count("*").alias("n"))
@@ -522,9 +528,12 @@ def ngram_components(
     wanted = apart.select(F.explode(F.array("node", "leader_node")).alias("node")).distinct()
     wanted = wanted if wanted.count() > BROADCAST_IDS else F.broadcast(wanted)
     texts = rows.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
+    if not split.isEmpty():  # a node holds every text of the ids that name it
+        named_so = split.select("doc_id", "node").distinct().join(wanted, "node", "left_semi")
+        texts = texts.union(rows.join(named_so, "doc_id").select("node", "text")).distinct()
     texts = written(texts, "texts")
 
-    links = written(_links(stars, texts, words, similarity).union(split), "links")
+    links = written(_links(stars, texts, words, similarity).union(split.select(F.col("set_node").alias("a"), F.col("node").alias("b"))), "links")
     grouped = components(links)
     members = _members(met, shares, grouped)
     grouped = _attached(members, grouped, texts, words, similarity)

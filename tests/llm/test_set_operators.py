@@ -1,15 +1,18 @@
 """Rules, duplicates, fingerprints, shards and joins against brute force; nulls, ties, repeated and hot rows."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
 from checks.compare import connect, difference, normal
 from pricebase.llm import exact_dedup, ngram_join, order_minhash, registry, sharding, url_filter
+from pricebase.session import ensure_checkpoint_dir
 from tests.conftest import SMALL
 
 
@@ -235,6 +238,27 @@ def test_components_of_odd_input(spark):
     assert ngram_join.ngram_components(docs.limit(0)).count() == 0
 
 
+def test_ids_with_several_texts_lose_no_link(spark):
+    random.seed(5)
+    one, two, three = ([f"{k}{i}" for i in range(60)] for k in "xyz")
+    near = one[:-1] + ["other"]
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (3, " ".join(two)), (9, " ".join(near)), (12, " ".join(three)), (9, " ".join(three[:-1]))]
+    rows += [(20, " ".join(three)), (30, "alone it is not like any of them")]
+    found = {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs_of(spark, rows)).collect()}
+    assert found == {3: 3, 5: 3, 9: 3, 12: 3, 20: 3, 30: 30}
+    left = ngram_join.one_of_each(docs_of(spark, rows)).collect()
+    assert {r.doc_id for r in left} == {3, 30}
+
+
+def test_runs_remove_their_intermediate_tables(spark):
+    folder = urlparse(ensure_checkpoint_dir(spark)).path
+    before = set(os.listdir(folder))
+    found = ngram_join.ngram_components(docs_of(spark, mixture()))
+    (left,) = set(os.listdir(folder)) - before
+    assert left.startswith("components-")
+    assert found.count() == len(mixture())
+
+
 def test_signatures_lose_no_similar_pair():
     """Every pair at or above the similarity shares a signature, whichever elements count as frequent."""
     import numpy as np
