@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import string
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -34,7 +35,7 @@ from tokenizers import Tokenizer, models
 from pricebase.llm.common import prepared
 
 #: Remembered pieces (and space-separated chunks) of a worker, and the longest one remembered.
-REMEMBERED, LONGEST = 250_000, 40
+REMEMBERED, LONGEST = 400_000, 40
 _REPLACEMENT = "�".encode()
 
 
@@ -97,6 +98,10 @@ class _Remembered(dict):
         return value
 
 
+#: ASCII marks that are neither letter nor number and begin no contraction: after a word they are one piece.
+_MARKS = string.punctuation.replace("'", "")
+
+
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids."""
 
@@ -106,10 +111,21 @@ class Encoder:
         self._class_of = letter_or_number
         self._classes: dict[str, str] = {}
         self._pieces = _Remembered(self._piece)
-        self._chunks = _Remembered(lambda chunk: self._split(" " + chunk))
+        self._chunks = _Remembered(self._chunk)
 
     def _piece(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self._tokenize(as_characters(piece.encode()))]).tobytes()
+        found = self._tokenize(as_characters(piece.encode()))
+        return found[0].id.to_bytes(4, "little") if len(found) == 1 else array("I", [t.id for t in found]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids of a space and what follows up to the next: letters are one piece, marks after them another."""
+        if chunk.isascii() or max(chunk) <= "\u02ff":
+            if chunk.isalpha():
+                return self._piece(" " + chunk)
+            word = chunk.rstrip(_MARKS)
+            if word.isalpha():
+                return self._chunks[word] + self._pieces[chunk[len(word) :]]
+        return self._split(" " + chunk)
 
     def _stand_in(self, character: str) -> str:
         """The character, or a Latin one of the class that the library gives it."""
