@@ -47,7 +47,7 @@ FREQUENT, SAMPLE_ONE_IN, MOST_FREQUENT, BITS = 4, 64, 1 << 19, 22
 #: Extra parts of a band, as a share of its largest size, for those that are skipped.
 SLACK = 0.08
 #: Signatures gathered in the text pass before they are dealt out; remembered words of a worker.
-CHUNK, REMEMBERED = 1_500_000, 300_000
+CHUNK, REMEMBERED = 1_000_000, 300_000
 #: Words of parities that a join compares before anything else of two sets.
 PARITY_WORDS = 16
 #: Members of the largest component that one outside it is compared with in a round, and the most rounds.
