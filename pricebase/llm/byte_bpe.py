@@ -35,7 +35,7 @@ from tokenizers import Tokenizer, models
 from pricebase.llm.common import prepared
 
 #: Remembered pieces (and space-separated chunks) of a worker, and the longest one remembered.
-REMEMBERED, LONGEST = 400_000, 40
+REMEMBERED, LONGEST = 340_000, 40
 _REPLACEMENT = "�".encode()
 
 
