@@ -706,6 +706,7 @@ oracle(
     + f""", cl AS (SELECT *, {seq('nm')} AS s FROM (SELECT *, {plain('name')} AS nm FROM m_clients)),
   sc AS (SELECT *, {wsim('tg', 's')} AS ws, {jac('tg', 'list_distinct(s)')} AS wh FROM terms, cl)""",
 )
+ORACLES["indexed_item_search"], ORACLES["indexed_client_search"] = ORACLES["item_search"], ORACLES["client_search"]
 oracle(
     "document_search",
     f"""SELECT document_id, number FROM m_docs, terms WHERE client_id IN (SELECT client_id FROM cl, terms WHERE contains(nm, p) OR {wsim('tg', 's')} > 0.3)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +24,14 @@ from pricebase.operators import (
     quality,
     quantity,
     search,
+    search_index,
     stats,
     tree,
 )
 from pricebase.plans import views
 from pricebase.plans.api import Catalogue, distinct_sources
 from pricebase.plans.filters import CurationFilters, HistoryFilters, PriceFilters, page, page_with_total
+from pricebase.session import ensure_checkpoint_dir
 from pricebase.sources import dims, export, files, ledger, payloads
 from pricebase.sources.fixtures import Model
 from pricebase.streaming.ingest import event_windows
@@ -581,6 +584,28 @@ def document_search(m: Model) -> DataFrame:
     return rows.select("document_id", "number")
 
 
+def _index_path(m: Model) -> str:
+    return f"{ensure_checkpoint_dir(m.spark)}/search-index-{uuid4().hex}"
+
+
+@query
+def indexed_item_search(m: Model) -> DataFrame:
+    """The index is built in two batches, the second of which repeats texts of the first."""
+    path, items, worded_as = _index_path(m), m.items(), linked_texts(m)
+    search_index.add_texts(worded_as.select(F.col("search_text").alias("text")), path, 0)
+    search_index.add_texts(search_index.item_texts(items, worded_as), path, 1)
+    rows = search_index.item_search(items, worded_as, path, ITEM_TERMS)
+    return rows.withColumn("rank", whole("rank"))
+
+
+@query
+def indexed_client_search(m: Model) -> DataFrame:
+    path, clients, aliases = _index_path(m), m.clients(), m.client_aliases()
+    search_index.add_texts(search_index.client_texts(clients, aliases), path, 0)
+    rows = search_index.client_search(clients, aliases, m.documents(zoned=False), path, CLIENT_TERMS)
+    return rows.withColumn("rank", whole("rank"))
+
+
 def full_history(m: Model) -> DataFrame:
     return views.history(
         worded(m), m.documents(), m.links(), m.items(), m.categories(), m.clients(), m.zones()

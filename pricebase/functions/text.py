@@ -126,6 +126,20 @@ def similarity(left: Column, right: Column) -> Column:
     return jaccard(trigrams(left), trigrams(right))
 
 
+def best_run(hits: Column, wanted: Column) -> Column:
+    """Best Jaccard of a run between two hit positions (ascending), in a text without repeated trigrams."""
+
+    def best_from(start: Column, index: Column) -> Column:
+        ends = F.slice(hits, index + 1, F.size(hits))
+        scores = F.transform(
+            ends,
+            lambda end, more: (more + 1) / (wanted + (end - start + 1) - (more + 1)),
+        )
+        return F.array_max(scores)
+
+    return F.array_max(F.transform(hits, best_from))
+
+
 def word_similarity(term_grams: Column, sequence: Column) -> Column:
     """Best Jaccard between the term's trigrams and any contiguous run of the text's trigrams.
 
@@ -138,17 +152,6 @@ def word_similarity(term_grams: Column, sequence: Column) -> Column:
     )
     wanted = F.size(term_grams)
 
-    def counted_from(hits: Column) -> Column:
-        def best_from(start: Column, index: Column) -> Column:
-            ends = F.slice(hits, index + 1, F.size(hits))
-            scores = F.transform(
-                ends,
-                lambda end, more: (more + 1) / (wanted + (end - start + 1) - (more + 1)),
-            )
-            return F.array_max(scores)
-
-        return F.array_max(F.transform(hits, best_from))
-
     def compared_from(hits: Column) -> Column:
         def best_from(start: Column) -> Column:
             ends = F.filter(hits, lambda end: end >= start)
@@ -168,7 +171,7 @@ def word_similarity(term_grams: Column, sequence: Column) -> Column:
     best = F.get(
         F.transform(
             F.array(hits),
-            lambda h: F.when(repeats, compared_from(h)).otherwise(counted_from(h)),
+            lambda h: F.when(repeats, compared_from(h)).otherwise(best_run(h, wanted)),
         ),
         F.lit(0),
     )
