@@ -1,13 +1,16 @@
 """A stored inverted trigram index for searches, and the searches that read it.
 
-The index holds each distinct text once: ``texts`` (text_id, text, n_grams, n_distinct) and ``postings``
-(gram, text_id, position), both in batches; postings lie in buckets of their trigram and are sorted by
-it, so that a search reads only the buckets and row groups of the few trigrams typed. Frequent
-trigrams spread over several files. A text's similarity follows from the positions of its hits;
-only texts that repeat a trigram are cut into trigrams again.
+The index holds each distinct text once: ``texts`` (text_id, text, n_distinct) and ``postings`` (gram,
+text_id), both in batches; postings lie in buckets of their trigram and are sorted by it, so that a
+search reads only the buckets and row groups of the few trigrams typed. Frequent trigrams spread
+over several files.
+
+Counting a text's postings bounds its word similarity from both sides: it is at most the shared part
+of the term's trigrams and at least the trigram similarity of the whole texts. A search keeps the rows
+whose upper bound reaches the k-th best lower bound; only those are compared exactly.
 
 Texts never change: an edited label is a new text, and the rows that carry a text are joined to the
-hits by the text itself. A text nobody carries any more is therefore found but leads nowhere.
+bounds by the text itself. A text nobody carries any more is therefore found but leads nowhere.
 """
 
 from __future__ import annotations
@@ -15,32 +18,15 @@ from __future__ import annotations
 from itertools import groupby
 from zlib import crc32
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricebase.functions.numbers import half_up
-from pricebase.functions.text import (
-    best_run,
-    jaccard,
-    search_literal,
-    search_text,
-    shares_enough,
-    trigram_literal,
-    trigram_sequence,
-    word_similarity,
-)
-from pricebase.operators.search import (
-    CLIENT_WHOLE,
-    CLIENT_WORD,
-    ITEM_THRESHOLDS,
-    client_totals,
-    computed_once,
-    top_per_term,
-    with_terms,
-)
+from pricebase.functions.text import search_literal, search_text, trigram_literal, trigrams
+from pricebase.operators import search
 from pricebase.session import materialized
 
 BUCKETS = 32
+ROUNDED = 1e-6  # scores are compared at six decimals
 
 
 def text_id(text: Column) -> Column:
@@ -60,7 +46,7 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def stored_texts(spark: SparkSession, path: str) -> DataFrame:
-    return _stored(spark, f"{path}/texts", "text_id binary, text string, n_grams int, n_distinct int, batch int")
+    return _stored(spark, f"{path}/texts", "text_id binary, text string, n_distinct int, batch int")
 
 
 def add_texts(texts: DataFrame, path: str, batch: int) -> None:
@@ -75,18 +61,12 @@ def add_texts(texts: DataFrame, path: str, batch: int) -> None:
     fresh = materialized(
         distinct.withColumn("text_id", text_id(F.col("text")))
         .join(earlier.select("text_id"), "text_id", "left_anti")
-        .withColumn("_seq", trigram_sequence(F.col("text")))
+        .withColumn("_grams", trigrams(F.col("text")))
     ).withColumn("batch", F.lit(batch))
-    postings = fresh.select("text_id", "batch", F.posexplode("_seq").alias("position", "gram")).withColumn(
+    postings = fresh.select("text_id", "batch", F.explode("_grams").alias("gram")).withColumn(
         "bucket", F.pmod(F.crc32(F.col("gram").cast("binary")), F.lit(BUCKETS)).cast("int")
     )
-    counted = fresh.select(
-        "text_id",
-        "text",
-        F.size("_seq").alias("n_grams"),
-        F.size(F.array_distinct("_seq")).alias("n_distinct"),
-        "batch",
-    )
+    counted = fresh.select("text_id", "text", F.size("_grams").alias("n_distinct"), "batch")
     placed = postings.repartitionByRange("bucket", "gram", "text_id").sortWithinPartitions("bucket", "gram")
     for name, rows, parts in (("postings", placed, ["batch", "bucket"]), ("texts", counted, ["batch"])):
         (
@@ -113,88 +93,101 @@ def certain_grams(plain: str) -> list[str]:
     return list(grams)
 
 
-def _by_term(terms: list[str], values: dict[str, list[str]]) -> Column:
-    """The values of the row's term (column term)."""
-    pairs = [(F.lit(t), F.array(*map(F.lit, values[t])).cast("array<string>")) for t in terms]
-    return F.element_at(F.create_map(*[c for pair in pairs for c in pair]), F.col("term"))
-
-
-def _hits(spark: SparkSession, path: str, grams: dict[str, list[str]]) -> DataFrame:
-    """(term, text_id, shared trigrams, positions of hits ascending) from the typed trigrams' postings."""
-    asked: dict[str, list[str]] = {}
+def _postings(spark: SparkSession, path: str, grams: dict[str, list[str]], certain: dict[str, list[str]]) -> DataFrame:
+    """(term, text_id, shared, sure): a text's number of the term's trigrams, and of those it must hold to contain it."""
+    asked: dict[str, list[Column]] = {}
     for term, own in grams.items():
         for gram in own:
-            asked.setdefault(gram, []).append(term)
+            entry = F.struct(F.lit(term).alias("term"), F.lit(int(gram in certain[term])).alias("must"))
+            asked.setdefault(gram, []).append(entry)
     buckets = sorted({crc32(gram.encode()) % BUCKETS for gram in asked})
-    schema = "text_id binary, position int, gram string, batch int, bucket int"
-    posted = _stored(spark, f"{path}/postings", schema).where(
+    posted = _stored(spark, f"{path}/postings", "text_id binary, gram string, batch int, bucket int").where(
         F.col("bucket").isin(buckets) & F.col("gram").isin(list(asked))
     )
-    pairs = [(F.lit(g), F.array(*map(F.lit, own))) for g, own in asked.items()]
-    asking = F.create_map(*[c for pair in pairs for c in pair])
+    asking = F.create_map(*[c for gram, entries in asked.items() for c in (F.lit(gram), F.array(*entries))])
     return (
-        posted.select("text_id", "gram", "position", F.explode(F.element_at(asking, F.col("gram"))).alias("term"))
+        posted.select("text_id", F.inline(F.element_at(asking, F.col("gram"))))
         .groupBy("term", "text_id")
-        .agg(F.collect_set("gram").alias("shared"), F.array_sort(F.collect_list(F.col("position") + 1)).alias("hits"))
+        .agg(F.count(F.lit(1)).alias("shared"), F.sum("must").alias("sure"))
     )
 
 
-def matches(spark: SparkSession, path: str, terms: list[str], share: float) -> DataFrame:
-    """(term, text, literal, word, whole) of the indexed texts that may answer a term.
+def bounds(spark: SparkSession, path: str, terms: list[str], share: float) -> DataFrame:
+    """(term, text, literal, low, most) of the indexed texts that may answer a term.
 
-    All texts that contain the term or share at least ``share`` of its trigrams; ``word`` and
-    ``whole`` are their exact word similarity and trigram similarity. A term too short to have
-    a trigram of its own is looked for in all texts.
+    All texts that contain the term (``literal``) or share at least ``share`` of its trigrams; their
+    word similarity is between ``low`` and ``most``. A term too short to have a trigram of its own
+    is looked for in all texts. A text may come twice for such a term.
     """
-    typed = list(dict.fromkeys(t.strip() for t in terms))
+    typed = _typed(terms)
     plain = {t: search_literal(t) for t in typed}
     grams = {t: trigram_literal(plain[t]) for t in typed}
     certain = {t: certain_grams(plain[t]) for t in typed}
-    indexed, scanned = [t for t in typed if certain[t]], [t for t in typed if not certain[t]]
+    facts = F.array(
+        *[
+            F.struct(
+                F.lit(t).alias("term"),
+                F.lit(plain[t]).alias("plain"),
+                F.lit(len(grams[t])).alias("wanted"),
+                F.lit(len(certain[t])).alias("needed"),
+            )
+            for t in typed
+        ]
+    )
     texts = stored_texts(spark, path)
     found = []
-    if indexed:
-        wanted = F.size("term_grams")
-        hits = (
-            _hits(spark, path, {t: grams[t] for t in indexed})
-            .withColumn("term_grams", _by_term(indexed, grams))
-            .withColumn("_certain", _by_term(indexed, certain))
-            .withColumn("plain", F.element_at(_by_term(indexed, {t: [plain[t]] for t in indexed}), 1))
-        )
-        enough = F.size("shared") >= share * wanted
-        whole_term = F.size(F.array_except("_certain", "shared")) == 0
-        kept = hits.where(enough | whole_term).join(texts, "text_id")
-        word = F.when(F.col("n_distinct") == F.col("n_grams"), best_run(F.col("hits"), wanted)).otherwise(
-            word_similarity(F.col("term_grams"), trigram_sequence(F.col("text")))
-        )
+    if any(grams.values()):
+        told = spark.range(1).select(F.inline(facts))
+        hits = _postings(spark, path, grams, certain).join(F.broadcast(told), "term")
+        enough = F.col("shared") >= share * F.col("wanted")
+        may_contain = (F.col("needed") > 0) & (F.col("sure") == F.col("needed"))
+        literal = may_contain & F.contains("text", "plain")
+        kept = hits.where(enough | may_contain).join(texts, "text_id").where(enough | literal)
+        union = F.col("wanted") + F.col("n_distinct") - F.col("shared")
         found.append(
-            kept.where(enough | F.contains("text", "plain")).select(
+            kept.select(
                 "term",
                 "text",
-                F.contains("text", "plain").alias("literal"),
-                word.alias("word"),
-                (F.size("shared") / (wanted + F.col("n_distinct") - F.size("shared"))).alias("whole"),
+                literal.alias("literal"),
+                (F.col("shared") / union).alias("low"),
+                (F.col("shared") / F.col("wanted")).alias("most"),
             )
         )
+    scanned = [t for t in typed if not certain[t]]
     if scanned:
-        rows = with_terms(texts.withColumn("_seq", trigram_sequence(F.col("text"))), scanned)
-        own = F.col("term_grams")
-        some = (F.size(own) > 0) & shares_enough(own, F.col("_seq"), share)
-        found.append(
-            rows.where(F.contains("text", "plain") | some).select(
-                "term",
-                "text",
-                F.contains("text", "plain").alias("literal"),
-                word_similarity(own, F.col("_seq")).alias("word"),
-                jaccard(own, F.array_distinct("_seq")).alias("whole"),
-            )
-        )
+        rows = texts.select("text", F.inline(facts)).where(F.col("needed") == 0)
+        contained = rows.where(F.contains("text", "plain"))
+        found.append(contained.select("term", "text", F.lit(True).alias("literal"), F.lit(0.0).alias("low"), F.lit(1.0).alias("most")))
     return found[0].unionByName(found[1]) if len(found) == 2 else found[0]
 
 
+def _typed(terms: list[str]) -> list[str]:
+    return list(dict.fromkeys(t.strip() for t in terms))
+
+
 # ---- searches --------------------------------------------------------------------------
 
 
+def _hopeful(reached: DataFrame, key: str, limit: int) -> DataFrame:
+    """Keys that can be among the ``limit`` best of a term.
+
+    ``reached``: term, key, sure (it answers the term for certain), low and most (bounds of its score).
+    """
+    known = reached.groupBy("term", key).agg(
+        F.max("sure").alias("sure"), F.max("low").alias("low"), F.max("most").alias("most")
+    )
+    known = materialized(known)
+    best = search.top_per_term(known.where("sure"), [F.col("low").desc()], limit)
+    bar = best.groupBy("term").agg(F.when(F.count(F.lit(1)) == limit, F.min("low")).alias("bar"))
+    hopeful = known.join(bar, "term", "left").where(F.col("most") >= F.coalesce("bar", F.lit(0.0)) - ROUNDED)
+    return materialized(hopeful.select(key).distinct())
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Few rows that are dear to compare: over all cores, however small they are."""
+    return materialized(rows.repartition(rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def item_texts(items: DataFrame, linked_texts: DataFrame) -> DataFrame:
     """The texts an item search reads: printed labels, normalised labels as stored and plain, wordings."""
     labels = [search_text(F.col("label_print")), F.col("label_norm"), search_text(F.col("label_norm"))]
@@ -203,65 +196,58 @@ def item_texts(items: DataFrame, linked_texts: DataFrame) -> DataFrame:
     )
 
 
-def score_items(
-    items: DataFrame,
-    linked_texts: DataFrame,
-    path: str,
-    terms: list[str],
-    thresholds: tuple[float, float, float] = ITEM_THRESHOLDS,
-) -> DataFrame:
-    """Active items eligible for each term, with their score: as ``search.score_items``, by the index."""
-    print_threshold, norm_threshold, line_threshold = thresholds
-    spark = items.sparkSession
-    typed = list(dict.fromkeys(t.strip() for t in terms))
-    active = items.where(F.col("active"))
-    answers = materialized(matches(spark, path, typed, min(thresholds)))
-    literal, word = F.col("literal"), F.col("word")
-
-    def carried(owners: DataFrame, text: Column, good: Column) -> DataFrame:
-        near = answers.where(good).select("term", "text")
-        return owners.select("item_id", text.alias("text")).distinct().join(near, "text").select("term", "item_id")
-
-    codes = with_terms(active.where(F.col("code").isNotNull()), typed)
-    code_hit = F.coalesce(F.contains(F.lower("code"), F.lower("term")), F.lit(False))
-    eligible = (
-        carried(active, search_text(F.col("label_print")), literal | (word > print_threshold))
-        .unionByName(carried(active, F.col("label_norm"), word > norm_threshold))
-        .unionByName(carried(active, search_text(F.col("label_norm")), literal))
-        .unionByName(carried(linked_texts, F.col("search_text"), literal | (word > line_threshold)))
-        .unionByName(codes.where(code_hit).select("term", "item_id"))
-        .distinct()
-    )
-    grams = _by_term(typed, {t: trigram_literal(search_literal(t)) for t in typed})
-    rows = (
-        active.join(eligible, "item_id")
-        .withColumn("_grams", grams)
-        .withColumn("_seq", trigram_sequence(search_text(F.col("label_print"))))
-    )
-    own = F.col("_grams")
-    return computed_once(
-        rows,
-        score=F.greatest(
-            F.when(code_hit, 1.0).otherwise(0.0),
-            word_similarity(own, F.col("_seq")),
-            word_similarity(own, trigram_sequence(F.col("label_norm"))),
-            jaccard(own, F.array_distinct("_seq")),
-        ),
-    ).select("term", *items.columns, "score")
-
-
 def item_search(
     items: DataFrame,
     linked_texts: DataFrame,
     path: str,
     terms: list[str],
     limit: int = 10,
-    thresholds: tuple[float, float, float] = ITEM_THRESHOLDS,
+    thresholds: tuple[float, float, float] = search.ITEM_THRESHOLDS,
 ) -> DataFrame:
     """The best items of each term, as ``search.item_search``; ``path`` holds ``item_texts`` at least."""
-    scored = score_items(items, linked_texts, path, terms, thresholds).withColumn("score", half_up(F.col("score"), 6))
-    order = [F.col("score").desc(), F.col("label_print"), F.col("item_id")]
-    return top_per_term(scored, order, limit).select("term", "rank", "item_id", "code", "label_print", "score")
+    floor = min(thresholds)
+    near = materialized(bounds(items.sparkSession, path, terms, floor))
+    active = items.where(F.col("active"))
+    sides = F.array(
+        *[
+            F.struct(text.alias("text"), *[F.lit(v).alias(n) for n, v in (("threshold", bar), ("scored", scored), ("plain", plain))])
+            for text, bar, scored, plain in (
+                (search_text(F.col("label_print")), thresholds[0], True, True),
+                (F.col("label_norm"), thresholds[1], True, False),
+                (search_text(F.col("label_norm")), 2.0, False, True),
+            )
+        ]
+    )
+    labelled = active.select("item_id", F.inline(sides)).join(near, "text")
+    by_label = labelled.select(
+        "term",
+        "item_id",
+        ((F.col("plain") & F.col("literal")) | (F.col("low") > F.col("threshold"))).alias("sure"),
+        F.when(F.col("scored"), F.col("low")).otherwise(0.0).alias("low"),
+        F.when(F.col("scored"), F.col("most")).otherwise(floor).alias("most"),
+    )
+    wordings = linked_texts.select("item_id", F.col("search_text").alias("text")).distinct()
+    by_wording = wordings.join(near, "text").select(
+        "term",
+        "item_id",
+        (F.col("literal") | (F.col("low") > thresholds[2])).alias("sure"),
+        F.lit(0.0).alias("low"),
+        # labels that are not near the term are less similar than this
+        F.lit(floor).alias("most"),
+    )
+    coded = search.with_terms(active, terms).where(F.contains(F.lower("code"), F.lower("term")))
+    by_code = coded.select("term", "item_id", F.lit(True).alias("sure"), F.lit(1.0).alias("low"), F.lit(1.0).alias("most"))
+    hopeful = _hopeful(by_label.unionByName(by_wording).unionByName(by_code), "item_id", limit)
+    # other wordings cannot answer any of the terms
+    possible = near.where(F.col("literal") | (F.col("most") >= thresholds[2])).select("text").distinct()
+    wordings = wordings.join(possible, "text", "left_semi")
+    return search.item_search(
+        _spread(items.join(hopeful, "item_id", "left_semi")),
+        _spread(wordings.withColumnRenamed("text", "search_text").join(hopeful, "item_id", "left_semi")),
+        terms,
+        limit,
+        thresholds,
+    )
 
 
 def client_texts(clients: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -272,31 +258,26 @@ def client_texts(clients: DataFrame, aliases: DataFrame) -> DataFrame:
 def client_search(
     clients: DataFrame, aliases: DataFrame, documents: DataFrame, path: str, terms: list[str], limit: int = 10
 ) -> DataFrame:
-    """Clients by name or remembered spelling, as ``search.client_search``, by the index."""
-    typed = list(dict.fromkeys(t.strip() for t in terms))
-    answers = materialized(matches(clients.sparkSession, path, typed, min(CLIENT_WORD, CLIENT_WHOLE)))
-    near_name = F.col("literal") | (F.col("word") > CLIENT_WORD) | (F.col("whole") > CLIENT_WHOLE)
-
-    def carried(owners: DataFrame, text: Column, good: Column) -> DataFrame:
-        near = answers.where(good).select("term", "text")
-        return owners.select("client_id", search_text(text).alias("text")).join(near, "text").select("term", "client_id")
-
-    eligible = (
-        carried(clients, F.col("name"), near_name)
-        .unionByName(carried(aliases, F.col("alias"), F.col("word") > CLIENT_WORD))
-        .distinct()
+    """Clients by name or remembered spelling, as ``search.client_search``; ``path`` holds ``client_texts``."""
+    floor = min(search.CLIENT_WORD, search.CLIENT_WHOLE)
+    near = materialized(bounds(clients.sparkSession, path, terms, floor))
+    named = clients.select("client_id", search_text(F.col("name")).alias("text")).join(near, "text")
+    by_name = named.select(
+        "term", "client_id", (F.col("literal") | (F.col("low") > search.CLIENT_WHOLE)).alias("sure"), "low", "most"
+    )
+    spelled = aliases.select("client_id", search_text(F.col("alias")).alias("text")).join(near, "text")
+    by_alias = spelled.select(
+        "term",
+        "client_id",
+        (F.col("low") > search.CLIENT_WORD).alias("sure"),
+        F.lit(0.0).alias("low"),
+        F.lit(floor).alias("most"),
     )
-    grams = _by_term(typed, {t: trigram_literal(search_literal(t)) for t in typed})
-    rows = (
-        clients.join(eligible, "client_id")
-        .withColumn("_grams", grams)
-        .withColumn("_seq", trigram_sequence(search_text(F.col("name"))))
+    hopeful = _hopeful(by_name.unionByName(by_alias), "client_id", limit)
+    return search.client_search(
+        _spread(clients.join(hopeful, "client_id", "left_semi")),
+        _spread(aliases.join(hopeful, "client_id", "left_semi")),
+        documents,
+        terms,
+        limit,
     )
-    own = F.col("_grams")
-    score = F.greatest(word_similarity(own, F.col("_seq")), jaccard(own, F.array_distinct("_seq")))
-    found = computed_once(rows, score=half_up(score, 6)).select("term", "client_id", "name", "score")
-    order = [F.col("score").desc(), F.col("n_documents").desc(), F.col("client_id")]
-    totals = client_totals(documents)
-    return top_per_term(
-        found.join(totals, "client_id", "left").fillna(0, ["n_documents", "total_amount"]), order, limit
-    ).select("term", "rank", "client_id", "name", "n_documents", "total_amount", "score")
