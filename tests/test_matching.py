@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +180,31 @@ def test_clients_alias_then_similar_then_new(spark):
     assert {r.client_key for r in normalize.new_clients(matches).collect()} == {"mairie de vence"}
 
 
+def test_clients_are_not_paired_with_all_that_share_a_word(spark, monkeypatch):
+    """The best of each name is sought by itself, as a comparison of all finds it; ids may be null."""
+    monkeypatch.setattr(normalize, "trigram_join", None)
+    random.seed(5)
+    word = lambda: "".join(random.choices("bactil", k=4))
+    known = [(i if i % 9 else None, f"Residence {word()}") for i in range(90)] + [(7, None), (500, "!!"), (3, "beta alpha"), (2, "alpha beta")]
+    names = [f"residence {word()}" for _ in range(60)] + ["Alpha Beta", "??", "Mairie"]
+    clients = spark.createDataFrame(known, "client_id bigint, name string")
+    aliases = spark.createDataFrame([], "alias string, client_id bigint")
+    found = normalize.match_clients(spark.createDataFrame([(n,) for n in names], "raw_name string"), clients, aliases)
+    got = {r.raw_name: (r.client_id, None if r.score is None else round(r.score, 9)) for r in found.collect()}
+    ids: dict[str, list[int]] = {}
+    for client, name in known:
+        ids.setdefault((name or "").lower(), []).extend([] if client is None else [client])
+    for name in names:
+        own = set(trigram_literal(name.lower()))
+        scored = []
+        for label, same in ids.items():
+            other = set(trigram_literal(label))
+            if own and other and len(own & other) / len(own | other) >= normalize.CLIENT_THRESHOLD:
+                scored.append((-len(own & other) / len(own | other), min(same, default=10**9)))
+        score, client = min(scored, default=(None, None))
+        assert got[name] == (None if client == 10**9 else client, None if score is None else round(-score, 9))
+
+
 def test_metric_join_against_all_pairs(spark):
     """Clusters, scattered vectors, equal directions and boundary angles, for every number of pivots."""
     rng = np.random.default_rng(8)
@@ -214,6 +240,26 @@ def test_pivots_spare_cells_of_clusters():
     assert len(metric_join.chosen_pivots(vectors, 500, reach)) <= 16
 
 
+def test_scattered_vectors_are_not_copied_into_cells():
+    """Cells that exclude nothing cost copies only; what leaves a task stays small either way."""
+    rng = np.random.default_rng(10)
+    vectors = rng.normal(size=(2048, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    reach = float(np.arccos(0.92))
+    assert all(len(metric_join.chosen_pivots(vectors, n, reach)) == 1 for n in (2_000, 1_200_000, 50_000_000))
+    batch = pd.DataFrame({"block": "b", "node": range(2048), "unit_vector": list(vectors)})
+    routed = list(metric_join._routed(vectors[:256], reach)(iter([batch])))
+    assert max(map(len, routed)) <= 10_000 and sum(map(len, routed)) > 100_000
+    assert sum(r["member"].sum() for r in routed) == 2048
+
+
+def test_pairs_of_close_vectors_leave_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "PAIRS", 50)
+    tile = pd.DataFrame({"unit_vector": list(np.eye(2)[[0] * 300]), "angle": 0.0, "tile": 0, "node": range(300)})
+    left = list(metric_join._compare(0.92, 0.4)(("b", 0, 0, 0), iter([tile[:100], tile[100:]])))
+    assert len(left) > 1 and sum(map(len, left)) == 300 * 299 // 2
+
+
 @pytest.mark.parametrize("shard, k, threshold", [(20_000, 3, 0.0), (7, 3, 0.0), (7, 1, 0.45), (50, 40, 0.2)])
 def test_topk_join_against_all_pairs(spark, monkeypatch, shard, k, threshold):
     monkeypatch.setattr(topk_join, "SHARD", shard)
