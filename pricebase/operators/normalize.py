@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pricebase.functions.dates import recovered
 from pricebase.functions.numbers import half_up
-from pricebase.functions.text import search_text
+from pricebase.functions.text import search_text, trigrams
+from pricebase.operators.topk_join import topk_join
 from pricebase.operators.trigram_join import text_side, trigram_join
 from pricebase.session import materialized
 from pricebase.sources.dims import DEPARTMENT_ZONES
@@ -140,13 +141,7 @@ def match_clients(
     texts = clients.groupBy(search_text(F.col("name")).alias("text")).agg(
         F.min("client_id").alias("client_id")
     )
-    pairs = trigram_join(text_side(open_names, "text"), text_side(texts, "text"), threshold)
-    best = (
-        pairs.join(texts.withColumnRenamed("text", "right_id"), "right_id")
-        .groupBy(F.col("left_id").alias("text"))
-        .agg(F.max(F.struct("score", (-F.col("client_id")).alias("order"))).alias("m"))
-        .select("text", F.col("m.score").alias("score"), (-F.col("m.order")).alias("similar_client"))
-    )
+    best = _most_similar(open_names.select("text").distinct(), texts, threshold)
     return (
         with_alias.withColumn("text", search_text(F.col("raw_name")))
         .join(best, "text", "left")
@@ -162,6 +157,31 @@ def match_clients(
     )
 
 
+def _most_similar(names: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(text, score, similar_client) of the names that a client is similar to, the smallest of equals.
+
+    Names with the very trigrams of a client have found it; only the others look for the best of all.
+    """
+    asked = materialized(_with_grams(names))
+    same_grams = _with_grams(texts).groupBy("grams").agg(F.min("client_id").alias("similar_client"))
+    same = materialized(asked.join(same_grams, "grams").select("text", F.lit(1.0).alias("score"), "similar_client"))
+    # a client without id comes after the others of its similarity
+    block, nobody = F.lit("").alias("block"), F.lit((1 << 63) - 1)
+    found = topk_join(
+        asked.join(same, "text", "left_anti").select("text", block),
+        texts.select("text", block, F.coalesce(F.col("client_id").cast("bigint"), nobody).alias("item_id")),
+        1,
+        threshold,
+    )
+    client = F.nullif(F.col("item_id"), nobody).cast(texts.schema["client_id"].dataType)
+    return same.unionByName(found.select("text", "score", client.alias("similar_client")))
+
+
+def _with_grams(texts: DataFrame) -> DataFrame:
+    """Texts that have trigrams, with their set in one order."""
+    return texts.withColumn("grams", F.array_sort(trigrams(F.col("text")))).where(F.size("grams") > 0)
+
+
 def new_aliases(matches: DataFrame) -> DataFrame:
     """Spellings to remember for the next imports."""
     return matches.where(F.col("method") == "trigramme").select(
