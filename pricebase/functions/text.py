@@ -63,7 +63,8 @@ def search_literal(term: str) -> str:
 def without_nul(value: Column) -> Column:
     """Drop NUL characters, raw or JSON-escaped; an escaped backslash before ``u0000`` is none."""
     raw = F.replace(value, F.lit("\u0000"), F.lit(""))
-    return F.regexp_replace(raw, r"(?<!\\)((?:\\\\)*)\\u0000", "$1")
+    cleaned = F.regexp_replace(raw, r"(?<!\\)((?:\\\\)*)\\u0000", "$1")
+    return F.when(F.contains(raw, F.lit("\\u0000")), cleaned).otherwise(raw)
 
 
 def is_administrative(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from pricebase.functions.skew import running_before
 from pricebase.functions.text import without_nul
+from pricebase.session import materialized
 
 # Document types and the attributes of a line.
 DOCUMENT_TYPES = ("devis", "facture", "situation", "avenant", "indetermine")
@@ -51,7 +52,15 @@ PAYLOAD_SCHEMA = T.StructType(
 
 def json_body(text: Column) -> Column:
     """The outermost JSON object of an answer, without code fences or NUL characters."""
-    return F.nullif(F.regexp_extract(without_nul(text), r"(?s)\{.*\}", 0), F.lit(""))
+
+
+    def between_braces(t: Column) -> Column:
+        first, from_end = F.locate("{", t), F.locate("}", F.reverse(t))
+        length = F.length(t) - from_end + 2 - first
+        return F.when((first > 0) & (from_end > 0) & (length > 1), F.substr(t, first, length))
+
+    # one-element array: the text is cleaned once and bound to a lambda variable
+    return F.get(F.transform(F.array(without_nul(text)), between_braces), F.lit(0))
 
 
 def _payload_error(d: Column) -> Column:
@@ -164,8 +173,10 @@ def merged_lines(lines: DataFrame) -> DataFrame:
     """Lines of all parts renumbered 1..n in segment order.
 
     The number is the line's place in its segment plus the size of the segments before it, so a
-    document of any length is never sorted in one task. ``lines``: document_key, segment, position.
+    document of any length is never sorted in one task. ``lines``: document_key, segment, position;
+    they are written out once, so that the answers they come from are parsed once.
     """
+    lines = materialized(lines)
     sizes = lines.groupBy("document_key", "segment").agg(F.count(F.lit(1)).alias("_size"))
     offsets = running_before(sizes, "document_key", "segment", F.col("_size"), "_before").drop(
         "_size"

@@ -182,3 +182,22 @@ def test_reference_dimensions(spark):
     assert dims.zone_towns(spark).join(dims.zones(spark).select(F.col("code").alias("zone_code")), "zone_code").count() == len(dims.ZONE_TOWNS)
     assert dims.unit_aliases(spark).groupBy("alias").count().where("count > 1").count() == 0
     assert dims.categories(spark).where("parent_id is not null").count() == 2
+
+
+def test_answers_are_parsed_once_for_merged_lines(spark):
+    line = '{"ordre":1,"page":1,"designation":"x","confiance":0.5}'
+    answer = '{"type_document":"devis","est_ts":false,"lignes":[%s]}'
+    texts = [
+        (1, "a", "```json\n" + answer % f"{line},{line}" + "\n``` fin"),
+        (1, "b", "} avant " + answer % line + "\\u0000"),
+        (1, "c", "} rien {"),
+        (1, "d", None),
+        (1, "e", ""),
+    ]
+    rows = spark.createDataFrame(texts, "document_key int, segment string, payload string")
+    parsed = payloads.parse_payloads(rows)
+    assert {r.segment: r.error for r in parsed.collect()} == {"a": None, "b": None, "c": "json", "d": "json", "e": "json"}
+    lines = payloads.payload_lines(parsed, ["document_key", "segment"]).select("document_key", "segment", "position")
+    merged = payloads.merged_lines(lines)
+    assert sorted((r.segment, r.position, r.ord) for r in merged.collect()) == [("a", 1, 1), ("a", 2, 2), ("b", 1, 3)]
+    assert "from_json" not in merged._jdf.queryExecution().optimizedPlan().toString()
