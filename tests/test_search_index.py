@@ -42,3 +42,46 @@ def test_index_search_equals_the_scan_after_a_refresh_and_a_replay(spark, tmp_pa
         assert search_index.stored_texts(spark, path).count() == before + 1
     found = same(touched)
     assert any(r.item_id == 2 and r.term == "zzz" for r in found)
+
+
+def _compared(monkeypatch) -> list[int]:
+    """Numbers of rows that a search spreads over the cores to compare them."""
+    seen: list[int] = []
+    spread = search.spread
+    monkeypatch.setattr(search, "spread", lambda rows: seen.append(rows.count()) or spread(rows))
+    return seen
+
+
+def test_items_of_one_label_are_compared_once(spark, monkeypatch):
+    seen = _compared(monkeypatch)
+    rows = [(i, f"C-{i}", "Dalle béton", "dalle beton", True) for i in range(50)]
+    rows += [(100, "XK-1", None, None, True), (101, "C-9", None, "dalle", True), (102, "C-7", "Dalle béton", "dalle beton", False)]
+    rows += [(None, "XK-2", "Poteau", "poteau", True), (104, None, "Mur", "mur", True)]
+    items = spark.createDataFrame(rows, "item_id bigint, code string, label_print string, label_norm string, active boolean")
+    linked = spark.createDataFrame([(104, "coulage dalle"), (104, "coulage dalle"), (None, "dalle")], "item_id bigint, search_text string")
+    found = search.score_items(items, linked, ["dalle", "xk"])
+    got = sorted((r.term, r.item_id is None, r.item_id or 0) for r in found.collect())
+    assert got == sorted(
+        [("dalle", False, i) for i in [*range(50), 101, 104]] + [("xk", False, 100), ("xk", True, 0)]
+    )
+    assert sorted(seen) == [2, 5]  # wordings, labels
+
+
+def test_clients_are_spread_before_they_are_compared(spark, monkeypatch):
+    seen = _compared(monkeypatch)
+    clients = spark.createDataFrame([(i, f"Residence {i}") for i in range(30)], "client_id bigint, name string").coalesce(1)
+    aliases = clients.selectExpr("upper(name) AS alias", "client_id")
+    documents = spark.createDataFrame([(1, 7, 5.0)], "document_id bigint, client_id bigint, document_total double")
+    assert search.client_search(clients, aliases, documents, ["residence 7"], 1).first().client_id == 7
+    assert sorted(seen) == [30, 30]
+
+
+def test_lines_of_one_wording_are_compared_once(spark, monkeypatch):
+    seen = _compared(monkeypatch)
+    rows = [(i, "dalle beton", None, None) for i in range(20)] + [(50, None, "SCI Dalle", None), (51, None, None, "mur"), (52, "mur", None, None)]
+    history = spark.createDataFrame(rows, "line_id bigint, search_text string, client string, item_label string")
+    found = search.search_lines(history, "dale")
+    assert found.columns == history.columns
+    assert sorted(r.line_id for r in found.collect()) == list(range(20))
+    assert sorted(r.line_id for r in search.search_lines(history, "dalle").collect()) == [*range(20), 50]
+    assert seen == [3, 3]
