@@ -199,3 +199,19 @@ def test_a_chain_of_categories_is_accepted_in_one_call(spark):
     fresh = spark.createDataFrame([("B", "new b", None, 2), ("F", "f", None, 3)], "code string, label string, parent_code string, ord int")
     replaced = {r.code: r.status for r in curation.replaced_proposals(after, fresh, "code").collect()}
     assert replaced == {"A.1": "accepte", "A.11": "accepte", "A.111": "accepte", "A.1111": "accepte", "B": "propose", "F": "propose"}
+
+
+def test_merge_commands_are_searched_once(spark, links, items, no_proposals):
+    """The commands may be the result of a long search: all four outputs share one run of it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    merges = spark.createDataFrame([(1, 2), (2, 3)], "source_id long, target_id long")
+    merges = merges.mapInPandas(counted, merges.schema)
+    for table in curation.merge_items(links, items, no_proposals, merges):
+        table.collect()
+    assert seen.value == 2
