@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from pricebase.functions.text import padded_words, shared_trigrams, trigram_literal, trigram_sequence
 from pricebase.operators import search, search_index
 
 TERMS = ["dalle betn", "mur", "a", "C-2", "béton armé", "zzz"]
@@ -85,3 +86,32 @@ def test_lines_of_one_wording_are_compared_once(spark, monkeypatch):
     assert sorted(r.line_id for r in found.collect()) == list(range(20))
     assert sorted(r.line_id for r in search.search_lines(history, "dalle").collect()) == [*range(20), 50]
     assert seen == [3, 3]
+
+
+def test_shared_trigrams_are_those_of_the_arrays(spark):
+    texts = ["Béton  armé-lissé", "a", "  ", "", None, "ab.a ring_2 ²", "small ring", "ring small r", "𝒜x ÉTÉ œuf"]
+    terms = ["small ring", "a", "été b", "armé 2", "", "in", "𝒜x"]
+    rows = spark.createDataFrame([(t, x, trigram_literal(x)) for t in texts for x in terms], "text string, term string, grams array<string>")
+    found = rows.select(
+        "text", "term", shared_trigrams(F.col("grams"), padded_words(F.col("text"))).alias("cheap"),
+        F.size(F.array_intersect("grams", trigram_sequence(F.col("text")))).alias("full"),
+    )
+    for row in found.collect():
+        assert row["cheap"] == row["full"] or row["text"] is None and row["cheap"] is None, row
+
+
+def test_trigrams_are_built_only_of_texts_that_pass_the_bound(spark):
+    """The terms are met, and the bound is checked, below the step that builds a text's trigrams."""
+    texts = spark.createDataFrame([(1, "small ring"), (2, "blue bolt")], "item_id long, search_text string")
+    clients = texts.select(F.col("item_id").alias("client_id"), F.col("search_text").alias("name"))
+    aliases = clients.withColumnRenamed("name", "alias")
+    documents = spark.createDataFrame([(1, 10)], "client_id long, document_total long")
+    for rows in (
+        search.item_ids_by_wording(texts, ["smal ring"], 0.4),
+        search.client_search(clients, aliases, documents, ["smal ring"]),
+    ):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        built = [i for i, line in enumerate(plan) if "split(" in line]
+        met = [i for i, line in enumerate(plan) if "Generate explode" in line]
+        assert built and met and max(built) < max(met)
+    assert [r["client_id"] for r in search.client_search(clients, aliases, documents, ["smal ring"]).collect()] == [1]
