@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pricebase.operators import cooccurrence as cooc
 from pricebase.operators import fees, history, search, stats
 from pricebase.plans.filters import HistoryFilters, PriceFilters, page
+from pricebase.session import materialized
 
 MAX_LIMIT = 10
 
@@ -52,8 +53,8 @@ class Catalogue:
         self, term: str, limit: int = 5, category: str | None = None, unit: str | None = None
     ) -> DataFrame:
         """Search, then category prefix and unit (after the limit), with the raw median."""
-        found = search.item_search(
-            self.items, self.linked_texts, [term], min(limit or 5, MAX_LIMIT)
+        found = materialized(
+            search.item_search(self.items, self.linked_texts, [term], min(limit or 5, MAX_LIMIT))
         )
         rows = found.join(
             self.items.select("item_id", "item_unit", "is_lump", "category_id"), "item_id"
