@@ -226,7 +226,7 @@ def item_search(
         F.when(F.col("scored"), F.col("low")).otherwise(0.0).alias("low"),
         F.when(F.col("scored"), F.col("most")).otherwise(floor).alias("most"),
     )
-    wordings = linked_texts.select("item_id", F.col("search_text").alias("text")).distinct()
+    wordings = materialized(linked_texts.select("item_id", F.col("search_text").alias("text")).distinct())
     by_wording = wordings.join(near, "text").select(
         "term",
         "item_id",
