@@ -15,9 +15,10 @@ Spark deals packed signatures out by their hash; a task of the text pass sends o
 within it. Members of one signature are first compared with a common leader each. Copies of one text whose edits differ
 are only about half of them similar to any one copy, so those left outside the largest component of a signature are then
 compared with a few of its members, others in every round, as long as that keeps joining them. Where a signature is still in
-several components, those outside its largest one are compared with every member of another. Of those pairs, the sizes and
-parities and counts of hashed n-grams, whose differences are never more than those of the sets, rule most out beforehand; every other
-comparison counts the common n-grams of both whole texts. Equal sets are one node throughout.
+several components, those outside its largest one are compared with every member of another. Sizes and parities of hashed
+n-grams, which the text pass leaves for every document, rule most pairs out before any text is moved, and counts of hashed
+n-grams more of the last ones: their differences are never more than those of the sets. Every other pair is compared by the
+common n-grams of both whole texts. Equal sets are one node throughout.
 
 Defined results: null, empty or blank texts have no n-grams and no links; shorter texts are one n-gram; a row without id
 has no links and a null component; rows with one id and different texts are one node, linked with whatever any of its
@@ -27,7 +28,7 @@ texts is similar to; extra columns are ignored. Intermediate tables are removed
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import reduce
 from operator import add
@@ -47,7 +48,9 @@ FREQUENT, SAMPLE_ONE_IN, MOST_FREQUENT, BITS = 4, 64, 1 << 19, 22
 #: Extra parts of a band, as a share of its largest size, for those that are skipped.
 SLACK = 0.08
 #: Signatures gathered in the text pass before they are dealt out; remembered words of a worker.
-CHUNK, REMEMBERED = 1_000_000, 300_000
+CHUNK, REMEMBERED = 400_000, 150_000
+#: Bytes of a signature that are dealt out. They tell the signatures of a bucket apart well enough: what meets is compared in full.
+SIGNATURE_BYTES = 5
 #: Words of parities that a join compares before anything else of two sets.
 PARITY_WORDS = 16
 #: Members of the largest component that one outside it is compared with in a round, and the most rounds.
@@ -55,6 +58,9 @@ MET_AT_ONCE, ROUNDS = 8, 6
 #: Nodes whose texts are fetched by a broadcast of their ids; beyond it by a shuffle.
 BROADCAST_IDS = 500_000
 
+#: (node, text) of the nodes given, as many rows as a node has texts.
+TextsOf = Callable[[DataFrame], DataFrame]
+
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -156,7 +162,7 @@ def signatures(own: np.ndarray, frequent: np.ndarray, bands: Bands) -> np.ndarra
 
 
 _DEALT = "bucket int, kind int, a binary, b binary, c binary, d binary"
-_TABLE = "kind int, a long, b long, c long, d long"
+_TABLE = "kind int, a long, b long, c long, d long, odd array<long>"
 
 
 def _frequent_bits(docs: DataFrame, words: int) -> np.ndarray:
@@ -190,18 +196,38 @@ def _frequent_bits(docs: DataFrame, words: int) -> np.ndarray:
     return bits
 
 
-def _packed(values: np.ndarray) -> list[bytes]:
-    """Document numbers as a dictionary and short indexes."""
-    known, index = np.unique(values, return_inverse=True)
-    return [known.tobytes(), index.astype(np.uint16 if len(known) < 1 << 16 else np.uint32).tobytes()]
+def _short(values: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes each as the largest takes, after that number of bytes."""
+    kind = np.min_scalar_type(int(values.max()))
+    return bytes([kind.itemsize]) + values.astype(kind).tobytes()
+
+
+def _long(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"u{packed[0]}", offset=1).astype(np.uint64)
+
+
+def _packed_ids(ids: np.ndarray) -> bytes:
+    """Document numbers as the least one and what they are above it."""
+    least = ids.min()
+    return least.tobytes() + _short(ids.view(np.uint64) - least.view(np.uint64))
+
+
+def _unpacked_ids(packed: bytes) -> np.ndarray:
+    return (_long(packed[8:]) + np.frombuffer(packed[:8], np.uint64)).view(np.int64)
+
+
+def _packed(ids: np.ndarray) -> list[bytes]:
+    """Runs of document numbers: each number and how often it comes."""
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return [_packed_ids(ids[starts]), _short(np.diff(np.append(starts, len(ids))))]
 
 
-def _unpacked(known: bytes, index: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(known, np.int64)[np.frombuffer(index, np.uint16 if len(index) == 2 * n else np.uint32)]
+def _unpacked(runs: bytes, lengths: bytes) -> np.ndarray:
+    return np.repeat(_unpacked_ids(runs), _long(lengths).astype(np.int64))
 
 
 def _sign(docs: DataFrame, bits: np.ndarray, words: int, similarity: Fraction, buckets: int) -> DataFrame:
-    """The text pass. Kind 0: signatures to meet others; 1: those that met a leader in the chunk; 2: sizes and set keys."""
+    """The text pass. Kind 0: signatures to meet others; 1: those that met a leader in the chunk; 2: sizes, set keys and parities."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,29 +238,35 @@ def _sign(docs: DataFrame, bits: np.ndarray, words: int, similarity: Fraction, b
         def dealt() -> pa.RecordBatch:
             rows = []
             if sigs:
-                all_sigs = np.concatenate(sigs)
-                all_owners = np.repeat(np.array([o for o, _ in owners], np.int64), [n for _, n in owners])
-                order = np.lexsort((all_owners, all_sigs))
+                ids = np.array([o for o, _ in owners], np.int64)
+                ranked = np.argsort(ids, kind="stable")
+                all_sigs = np.concatenate([sigs[i] for i in ranked])
+                all_owners = np.repeat(np.arange(len(ids), dtype=np.uint32), [len(sigs[i]) for i in ranked])
+                ids = ids[ranked]
+                sigs.clear()
+                # equal signatures stay in the order of their documents
+                order = np.argsort(all_sigs, kind="stable")
                 all_sigs, all_owners = all_sigs[order], all_owners[order]
                 head = np.concatenate([[True], all_sigs[1:] != all_sigs[:-1]])
-                leaders = all_owners[np.flatnonzero(head)][np.cumsum(head) - 1]
+                leaders = all_owners[head][np.cumsum(head) - 1]
                 for kind, which in ((0, head), (1, ~head)):
-                    own_sigs, own_docs, own_leaders = all_sigs[which], all_owners[which], leaders[which]
-                    spread = own_sigs if kind == 0 else _mixed(own_sigs ^ own_docs.view(np.uint64))
+                    own_sigs, own_docs = all_sigs[which], all_owners[which]
+                    own_leaders = ids[leaders[which]] if kind else None
+                    spread = own_sigs if kind == 0 else _mixed(own_sigs ^ ids[own_docs].view(np.uint64))
                     bucket = (spread % np.uint64(buckets)).astype(np.int64)
-                    order = np.argsort(bucket, kind="stable")
+                    # the signatures of a document lie together
+                    order = np.argsort(bucket * len(ids) + own_docs, kind="stable")
                     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
                     for b in np.flatnonzero(np.diff(cuts)):
                         part = order[cuts[b] : cuts[b + 1]]
-                        # six bytes tell signatures of a bucket apart well enough: what meets is compared in full
-                        tops = (own_sigs[part] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                        led = own_leaders[part].tobytes() if kind else b""
-                        rows.append((int(b), kind, tops, *_packed(own_docs[part]), led))
+                        tops = (own_sigs[part] >> np.uint64(64 - 8 * SIGNATURE_BYTES)).view(np.uint8).reshape(-1, 8)[:, :SIGNATURE_BYTES].tobytes()
+                        led = _packed_ids(own_leaders[part]) if kind else b""
+                        rows.append((int(b), kind, tops, *_packed(ids[own_docs[part]]), led))
             if infos:
-                ids, sizes, highs, lows = zip(*infos)
-                null = np.array([i is None for i in ids], np.uint8).tobytes()
-                plain = np.array([0 if i is None else i for i in ids], np.int64).tobytes()
-                keys = np.array([highs, lows], np.uint64).tobytes()
+                numbers, sizes, highs, lows, odd = zip(*infos)
+                null = np.array([i is None for i in numbers], np.uint8).tobytes()
+                plain = np.array([0 if i is None else i for i in numbers], np.int64).tobytes()
+                keys = np.array([highs, lows], np.uint64).tobytes() + b"".join(odd)
                 rows.append(((first + chunk) % buckets, 2, plain, null, np.array(sizes, np.int64).tobytes(), keys))
             columns = list(zip(*rows)) if rows else [[]] * 6
             kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
@@ -244,10 +276,12 @@ def _sign(docs: DataFrame, bits: np.ndarray, words: int, similarity: Fraction, b
             sets = ngram_sets(batch.column("text").to_pylist(), words)
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), sets):
                 key = xxhash.xxh128_intdigest(own.tobytes())
-                infos.append((doc_id, len(own), key >> 64, key & (1 << 64) - 1))
-                if doc_id is None or not len(own) or key in seen:
+                signed = key in seen
+                odd = seen[key] if signed else parities(own).tobytes()
+                infos.append((doc_id, len(own), key >> 64, key & (1 << 64) - 1, odd))
+                if doc_id is None or not len(own) or signed:
                     continue  # an equal set has signed for it
-                seen[key] = True
+                seen[key] = odd
                 sigs.append(signatures(own, frequent_bits[(own >> np.uint64(64 - BITS)).astype(np.int64)], bands))
                 owners.append((doc_id, len(sigs[-1])))
                 gathered += len(sigs[-1])
@@ -262,42 +296,51 @@ def _sign(docs: DataFrame, bits: np.ndarray, words: int, similarity: Fraction, b
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Who met whom: kind 1 holds signature, document and its leader, the smallest id; kind 2 passes through."""
-    tops, owners, bucket = [], [], 0
+    tops, owners = [], []
 
-    def table(kind: int, *columns: np.ndarray, null: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    def table(kind: int, *columns: np.ndarray, null: np.ndarray | None = None, odd: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         size = len(columns[0])
-        for at in range(0, size, 200_000):
-            part = [c[at : at + 200_000] for c in columns]
-            arrays = [pa.array(np.full(len(part[0]), kind, np.int32))]
-            arrays.append(pa.array(part[0], mask=null[at : at + 200_000]) if null is not None else pa.array(part[0]))
+        for at in range(0, size, 100_000):
+            part = [c[at : at + 100_000] for c in columns]
+            n = len(part[0])
+            arrays = [pa.array(np.full(n, kind, np.int32))]
+            arrays.append(pa.array(part[0], mask=null[at : at + n]) if null is not None else pa.array(part[0]))
             arrays += [pa.array(c) for c in part[1:]]
-            arrays += [pa.array(np.zeros(len(part[0]), np.int64))] * (5 - len(arrays))
-            yield pa.RecordBatch.from_arrays(arrays, ["kind", "a", "b", "c", "d"])
+            arrays += [pa.array(np.zeros(n, np.int64))] * (5 - len(arrays))
+            if odd is None:
+                arrays.append(pa.nulls(n, pa.list_(pa.int64())))
+            else:
+                ends = np.arange(0, (n + 1) * PARITY_WORDS, PARITY_WORDS, dtype=np.int32)
+                arrays.append(pa.ListArray.from_arrays(ends, odd[at : at + n].ravel()))
+            yield pa.RecordBatch.from_arrays(arrays, ["kind", "a", "b", "c", "d", "odd"])
 
     def wide(packed: bytes) -> np.ndarray:
-        return np.pad(np.frombuffer(packed, np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).copy().view(np.int64).ravel()
+        found = np.zeros((len(packed) // SIGNATURE_BYTES, 8), np.uint8)
+        found[:, :SIGNATURE_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, SIGNATURE_BYTES)
+        return found.view(np.int64).ravel()
 
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["kind"] == 2:
-                ids, sizes = np.frombuffer(row["a"], np.int64), np.frombuffer(row["c"], np.int64)
-                keys = np.frombuffer(row["d"], np.int64).reshape(2, -1)
-                yield from table(2, ids, sizes, keys[0], keys[1], null=np.frombuffer(row["b"], np.uint8).astype(bool))
-                continue
-            own = wide(row["a"])
-            docs = _unpacked(row["b"], row["c"], len(own))
-            if row["kind"] == 1:
-                yield from table(1, own, docs, np.frombuffer(row["d"], np.int64))
+        for kind, a, b, c, d in zip(*[batch.column(name) for name in ("kind", "a", "b", "c", "d")]):
+            a, b, c, d = a.as_py(), b.as_py(), c.as_py(), d.as_py()
+            if kind.as_py() == 2:
+                ids, sizes = np.frombuffer(a, np.int64), np.frombuffer(c, np.int64)
+                keys = np.frombuffer(d, np.int64, 2 * len(ids)).reshape(2, -1)
+                odd = np.frombuffer(d, np.int64, offset=16 * len(ids)).reshape(-1, PARITY_WORDS)
+                yield from table(2, ids, sizes, keys[0], keys[1], null=np.frombuffer(b, np.uint8).astype(bool), odd=odd)
+            elif kind.as_py() == 1:
+                yield from table(1, wide(a), _unpacked(b, c), _unpacked_ids(d))
             else:
-                tops.append(own)
-                owners.append(docs)
+                tops.append(wide(a))
+                owners.append(_unpacked(b, c))
     if tops:
-        tops, owners = np.concatenate(tops), np.concatenate(owners)
-        order = np.lexsort((owners, tops))
-        tops, owners = tops[order], owners[order]
-        head = np.concatenate([[True], tops[1:] != tops[:-1]])
-        leaders = owners[np.flatnonzero(head)][np.cumsum(head) - 1]
-        yield from table(1, tops[~head], owners[~head], leaders[~head])
+        all_tops, all_owners = np.concatenate(tops), np.concatenate(owners)
+        tops.clear()
+        owners.clear()
+        order = np.lexsort((all_owners, all_tops))
+        all_tops, all_owners = all_tops[order], all_owners[order]
+        head = np.concatenate([[True], all_tops[1:] != all_tops[:-1]])
+        leaders = all_owners[head][np.cumsum(head) - 1]
+        yield from table(1, all_tops[~head], all_owners[~head], leaders[~head])
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: Fraction = SIMILARITY) -> bool:
@@ -305,15 +348,15 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: Fraction = SIMILARITY) ->
     return common * similarity.denominator >= similarity.numerator * (len(a) + len(b) - common) and common > 0
 
 
-def _links(pairs: DataFrame, texts: DataFrame, words: int, similarity: Fraction) -> DataFrame:
-    """The pairs (a, b) whose whole texts are similar; the texts of ``b``, often shared by many pairs, join last."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
-    def wanted(side: str) -> DataFrame:
-        """Only the texts that some pair names are shuffled."""
-        own = texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
-        return own.join(_broadcast_if_small(pairs.select(side).distinct()), side, "left_semi")
 
-    both = pairs.join(wanted("a"), "a").join(wanted("b"), "b")
+def _links(pairs: DataFrame, texts_of: TextsOf, words: int, similarity: Fraction) -> DataFrame:
+    """The pairs (a, b) whose whole texts are similar; the texts of ``b``, often shared by many pairs, join last."""
+    texts = written(texts_of(_ends(pairs)), "texts")
+    a, b = (texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")) for side in "ab")
+    both = _broadcast_if_small(pairs).join(a, "a").join(b, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
@@ -361,17 +404,22 @@ def parities(own: np.ndarray) -> np.ndarray:
 
 
 def _sketches(texts: DataFrame, words: int) -> DataFrame:
-    """Per node: size, the counts of ``sketch``, and its parities in columns p0, p1, ..."""
-    names = [f"p{i}" for i in range(PARITY_WORDS)]
+    """Per node: size and the counts of ``sketch``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = ngram_sets(batch.column("text").to_pylist(), words)
-            sizes = [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(sketch, sets), pa.binary())]
-            odd = np.array([parities(s) for s in sets], np.int64).reshape(-1, PARITY_WORDS)
-            yield pa.RecordBatch.from_arrays(sizes + [pa.array(c) for c in odd.T.copy()], ["node", "size", "sketch", *names])
+            columns = [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(sketch, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "size", "sketch"])
+
+    return texts.mapInArrow(run, "node long, size long, sketch binary")
+
 
-    return texts.mapInArrow(run, "node long, size long, sketch binary, " + ", ".join(f"{c} long" for c in names))
+def _near(pairs: DataFrame, known: DataFrame, similarity: Fraction) -> DataFrame:
+    """The pairs (a, b) that sizes and parities do not rule out."""
+    own, other = known.alias("x"), known.alias("y")
+    both = pairs.select("a", "b").join(own, F.col("a") == F.col("x.node")).join(other, F.col("b") == F.col("y.node"))
+    return both.where(_not_ruled_out("x", "y", similarity)).select("a", "b").distinct()
 
 
 def _not_ruled_out(a: str, b: str, similarity: Fraction) -> Column:
@@ -421,7 +469,7 @@ def _joined(grouped: DataFrame, links: DataFrame) -> DataFrame:
     return written(known.join(moves, "component", "left").select("node", F.coalesce("joined", "component").alias("component")), "labels")
 
 
-def _attached(members: DataFrame, grouped: DataFrame, texts: DataFrame, words: int, similarity: Fraction) -> DataFrame:
+def _attached(members: DataFrame, grouped: DataFrame, known: DataFrame, texts_of: TextsOf, words: int, similarity: Fraction) -> DataFrame:
     """Components after rounds in which nodes outside the largest component of a signature meet some of its members."""
     left = None
     for nth in range(ROUNDS):
@@ -439,26 +487,28 @@ def _attached(members: DataFrame, grouped: DataFrame, texts: DataFrame, words: i
         some = Window.partitionBy("sig").orderBy(F.xxhash64("node", F.lit(nth)), "node")
         inside = inside.withColumn("nth", F.row_number().over(some)).where(F.col("nth") <= MET_AT_ONCE)
         pairs = outside.select("sig", F.col("node").alias("a")).join(inside.select("sig", F.col("node").alias("b")), "sig").select("a", "b")
-        pairs = written(pairs, "met-inside")
-        links = written(_links(pairs, texts, words, similarity), "links")
+        pairs = written(_near(pairs, known, similarity), "met-inside")
+        links = written(_links(pairs, texts_of, words, similarity), "links")
         if links.isEmpty():
             break
         grouped = _joined(grouped, links)
     return grouped
 
 
-def _crossed(members: DataFrame, grouped: DataFrame, stars: DataFrame, sketches: DataFrame, similarity: Fraction) -> DataFrame:
+def _crossed(
+    members: DataFrame, grouped: DataFrame, stars: DataFrame, known: DataFrame, texts_of: TextsOf, words: int, similarity: Fraction
+) -> DataFrame:
     """Pairs (a, b) of one signature that are in different components, were not compared yet and may be similar."""
     members, main = _placed(members, grouped)
-    known = written(sketches, "sketches")
-    counted = members.join(known.drop("sketch"), "node")
+    counted = members.join(known, "node")
     few = counted.join(main.select("sig", "main"), "sig").where("component <> main").alias("x")
     met_again = F.col("x.sig") == F.col("y.sig")
     pairs = few.join(counted.alias("y"), met_again & (F.col("x.component") != F.col("y.component")) & _not_ruled_out("x", "y", similarity))
     pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    pairs = pairs.join(stars, ["a", "b"], "left_anti")
+    pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "may-cross")
+    counts = written(_sketches(texts_of(_ends(pairs)), words), "sketches")
     for side in "ab":
-        pairs = pairs.join(known.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+        pairs = pairs.join(counts.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(similarity)
@@ -525,20 +575,30 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, words: int, simi
     stars = apart.groupBy(F.col("node").alias("a"), F.col("leader_node").alias("b")).agg(F.sum("n").alias("n"))
     stars = written(stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")), "stars")
 
-    wanted = apart.select(F.explode(F.array("node", "leader_node")).alias("node")).distinct()
-    wanted = wanted if wanted.count() > BROADCAST_IDS else F.broadcast(wanted)
-    texts = rows.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
-    if not split.isEmpty():  # a node holds every text of the ids that name it
-        named_so = split.select("doc_id", "node").distinct().join(wanted, "node", "left_semi")
-        texts = texts.union(rows.join(named_so, "doc_id").select("node", "text")).distinct()
-    texts = written(texts, "texts")
+    several = not split.isEmpty()  # a node holds every text of the ids that name it
+    names = split.select("doc_id", "node").distinct()
+
+    def rows_of(table: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+        nodes = _broadcast_if_small(nodes)
+        own = table.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), *columns)
+        if several:
+            own = own.union(table.join(names.join(nodes, "node", "left_semi"), "doc_id").select("node", *columns)).distinct()
+        return own
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        return rows_of(rows, nodes, ["text"])
+
+    infos = table.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("size"), *[F.col("odd")[i].alias(f"p{i}") for i in range(PARITY_WORDS)])
+    wanted = written(apart.select(F.explode(F.array("node", "leader_node")).alias("node")).distinct(), "wanted")
+    known = written(rows_of(infos, wanted, [c for c in infos.columns if c != "doc_id"]).distinct(), "parities")
 
-    links = written(_links(stars, texts, words, similarity).union(split.select(F.col("set_node").alias("a"), F.col("node").alias("b"))), "links")
+    near = written(_near(stars, known, similarity), "near")
+    links = written(_links(near, texts_of, words, similarity).union(split.select(F.col("set_node").alias("a"), F.col("node").alias("b"))), "links")
     grouped = components(links)
     members = _members(met, shares, grouped)
-    grouped = _attached(members, grouped, texts, words, similarity)
-    crossed = _crossed(members, grouped, stars, _sketches(texts, words), similarity)
-    more = written(_links(crossed, texts, words, similarity), "links")
+    grouped = _attached(members, grouped, known, texts_of, words, similarity)
+    crossed = _crossed(members, grouped, stars, known, texts_of, words, similarity)
+    more = written(_links(crossed, texts_of, words, similarity), "links")
     if not more.isEmpty():
         grouped = _joined(grouped, more)
 

@@ -152,6 +152,21 @@ def test_shards_are_even_and_gapless(spark):
     assert sharding.shards(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_texts_without_repeated_rows_are_aggregated_nowhere(spark):
+    rows = [(i, f"text {i % 7}") for i in range(40)] + [(None, "text 3"), (None, "alone"), (50, None), (51, "")]
+    docs = docs_of(spark, rows).withColumn("other", F.lit("o"))
+    left = exact_dedup.without_duplicates(docs, keep="largest")
+    assert "first(text" not in left._jdf.queryExecution().optimizedPlan().toString()
+    best = {}
+    for i, t in rows:
+        best[t or ""] = max(best.get(t or "", -1), -1 if i is None else i)
+    assert Counter((r.text or "", -1 if r.doc_id is None else r.doc_id) for r in left.collect()) == Counter(best.items())
+    twice = docs.union(docs.where("doc_id > 30 or doc_id is null"))
+    left = exact_dedup.without_duplicates(twice, keep="largest")
+    assert left.columns == docs.columns
+    assert Counter((r.text or "", -1 if r.doc_id is None else r.doc_id) for r in left.collect()) == Counter(best.items())
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:
@@ -228,6 +243,51 @@ def test_parities_bound_the_difference():
             assert turned <= len(np.setxor1d(a, b))
 
 
+def half_alike(pairs=30):
+    """Pairs of texts that share half of their words."""
+    random.seed(23)
+    rows = []
+    for i in range(pairs):
+        common, own = ([f"{k}{i}-{j}" for j in range(120)] for k in "cd")
+        rows += [(2 * i, " ".join(common + own)), (2 * i + 1, " ".join(common + own[::-1]))]
+    return rows
+
+
+def test_texts_of_pairs_that_sizes_and_parities_rule_out_are_not_moved(spark, monkeypatch):
+    compared, links = [], ngram_join._links
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return links(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_links", counted)
+    rows = half_alike()
+    found = ngram_join.ngram_components(docs_of(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows)
+    assert sum(compared) < 10  # of 30 pairs that share signatures
+
+
+def test_dealt_signatures_are_small(spark):
+    import numpy as np
+
+    docs = docs_of(spark, half_alike()).coalesce(1)
+    dealt = ngram_join._sign(docs, np.zeros(1 << ngram_join.BITS, bool), 5, ngram_join.SIMILARITY, 16).where("kind < 2").collect()
+    sets = ngram_join.ngram_sets([t for _, t in half_alike()])
+    signed = sum(len(ngram_join.signatures(s, np.zeros(len(s), bool), ngram_join.Bands())) for s in sets)
+    assert sum(len(v) for r in dealt for v in (r.a, r.b, r.c, r.d)) < 8 * signed
+
+
+def test_packed_numbers_come_back():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for least, most in ((0, 3), (-(2**63), 2**63 - 1), (70_000, 80_000)):
+        ids = rng.integers(least, most, 500)
+        assert (ngram_join._unpacked_ids(ngram_join._packed_ids(ids)) == ids).all()
+        ids = np.sort(np.repeat(ids, rng.integers(1, 400, 500)))
+        assert (ngram_join._unpacked(*ngram_join._packed(ids)) == ids).all()
+
+
 def test_components_of_odd_input(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, ""), (4, "A b C d e f")]
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs_of(spark, rows)).collect()}
