@@ -123,8 +123,14 @@ def exact_duplicates(
 def without_duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` (columns unchanged, whatever their names) that stay."""
     own, id_, sha = unused(docs.columns, "own_sha", "kept_id", "kept_sha")
-    kept = exact_duplicates(docs, keep=keep).where("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha))
-    joined = docs.withColumn(own, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).join(
-        kept, F.col(id_).eqNullSafe(F.col("doc_id").cast("long")) & (F.col(sha) == F.col(own)), "left_semi"
-    )
-    return joined.dropDuplicates(["doc_id", own]).drop(own)
+    found = exact_duplicates(docs, keep=keep)
+    keys = [F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)]
+    same = F.col(id_).eqNullSafe(F.col("doc_id").cast("long")) & (F.col(sha) == F.col(own))
+    marked = docs.withColumn(own, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    left = marked.join(found.where("kept").select(*keys), same, "left_semi")
+    # only rows that repeat the id and text of one that stays are sought for copies, so that the other texts move once
+    again = found.where("not kept and doc_id <=> keep_id").select(*keys).distinct()
+    if again.isEmpty():
+        return left.drop(own)
+    single = left.join(again, same, "left_semi").dropDuplicates(["doc_id", own])
+    return left.join(again, same, "left_anti").unionAll(single).drop(own)
