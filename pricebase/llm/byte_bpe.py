@@ -92,11 +92,16 @@ class _Remembered(dict):
             value = self._make(key)
         if len(key) <= LONGEST and "\n" not in key:
             if len(self) >= REMEMBERED:
+                self._older.clear()  # before the copy takes its place
                 self._older = dict(self)
                 self.clear()
             self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self._older = {}
+
 
 #: ASCII marks that are neither letter nor number and begin no contraction: after a word they are one piece.
 _MARKS = string.punctuation.replace("'", "")
@@ -142,6 +147,11 @@ class Encoder:
     def _split(self, text: str) -> bytes:
         return b"".join(map(self._pieces.__getitem__, self._pattern.findall(text)))
 
+    def forget(self) -> None:
+        """Drops what was remembered; the next texts are encoded to the same ids."""
+        self._pieces.forget()
+        self._chunks.forget()
+
     def encode(self, text: str) -> bytes:
         rare = ()
         if not text.isascii():
@@ -208,6 +218,7 @@ class WithAddedTokens:
     def __init__(self, own: Encoder, tokenizer: Tokenizer):
         self._own, self._tokenizer = own, tokenizer
         self._added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.forget = own.forget
 
     def encode(self, text: str) -> bytes:
         if any(content in text for content in self._added):

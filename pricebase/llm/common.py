@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import bisect
+import ctypes
 import itertools
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,28 @@ def written(rows: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most so many at once, without copying them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function, after which its worker returns freed memory to the system: it serves later stages too, whose memory adds to what it holds."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def unused(columns: Sequence[str], *names: str) -> list[str]:
     """The names, lengthened where a column is called the same (Spark compares names without case)."""
     taken, found = {c.lower() for c in columns}, []

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricebase.llm.common import prepared, scratch, shuffle_partitions, unused, written
+from pricebase.llm.common import giving_back, in_parts, prepared, scratch, shuffle_partitions, unused, written
 
 WORDS, SIMILARITY = 5, Fraction(3, 4)
 #: An n-gram is frequent if it is in so many documents of one in SAMPLE_ONE_IN; at most so many are remembered, in a bitmap.
@@ -49,6 +49,8 @@ FREQUENT, SAMPLE_ONE_IN, MOST_FREQUENT, BITS = 4, 64, 1 << 19, 22
 SLACK = 0.08
 #: Signatures gathered in the text pass before they are dealt out; remembered words of a worker.
 CHUNK, REMEMBERED = 400_000, 150_000
+#: Texts whose words and n-grams a worker of the text pass holds at once.
+TEXTS_AT_ONCE = 500
 #: Bytes of a signature that are dealt out. They tell the signatures of a bucket apart well enough: what meets is compared in full.
 SIGNATURE_BYTES = 5
 #: Words of parities that a join compares before anything else of two sets.
@@ -175,7 +177,7 @@ def _frequent_bits(docs: DataFrame, words: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["gram"])
 
     counts = written(
-        sample.select("text").mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where(f"n >= {FREQUENT}"), "frequent"
+        sample.select("text").mapInArrow(giving_back(run), "gram long").groupBy("gram").agg(F.count("*").alias("n")).where(f"n >= {FREQUENT}"), "frequent"
     )
     # how many n-grams have each count: the least count at which they fit
     least, total = FREQUENT, 0
@@ -272,7 +274,7 @@ def _sign(docs: DataFrame, bits: np.ndarray, words: int, similarity: Fraction, b
             kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "kind", "a", "b", "c", "d"])
 
-        for batch in batches:
+        for batch in in_parts(batches, TEXTS_AT_ONCE):
             sets = ngram_sets(batch.column("text").to_pylist(), words)
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), sets):
                 key = xxhash.xxh128_intdigest(own.tobytes())
@@ -291,7 +293,7 @@ def _sign(docs: DataFrame, bits: np.ndarray, words: int, similarity: Fraction, b
         if infos:
             yield dealt()
 
-    return docs.mapInArrow(run, _DEALT)
+    return docs.mapInArrow(giving_back(run), _DEALT)
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +373,7 @@ def _links(pairs: DataFrame, texts_of: TextsOf, words: int, similarity: Fraction
             mask = pa.array(kept, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(giving_back(run), "a long, b long")
 
 
 def sketch(own: np.ndarray) -> bytes:
@@ -412,7 +414,7 @@ def _sketches(texts: DataFrame, words: int) -> DataFrame:
             columns = [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(sketch, sets), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["node", "size", "sketch"])
 
-    return texts.mapInArrow(run, "node long, size long, sketch binary")
+    return texts.mapInArrow(giving_back(run), "node long, size long, sketch binary")
 
 
 def _near(pairs: DataFrame, known: DataFrame, similarity: Fraction) -> DataFrame:
@@ -517,7 +519,7 @@ def _crossed(
             mask = pa.array([may_be_similar(*x, bands) for x in zip(*own)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(side).filter(mask) for side in "ab"], ["a", "b"])
 
-    found = pairs.mapInArrow(run, "a long, b long").distinct()
+    found = pairs.mapInArrow(giving_back(run), "a long, b long").distinct()
     return written(found, "crossed")
 
 
@@ -556,7 +558,7 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, words: int, simi
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     buckets = shuffle_partitions(spark)
     dealt = _sign(rows, _frequent_bits(rows, words), words, similarity, buckets).repartitionById(buckets, "bucket")
-    table = written(dealt.mapInArrow(_met, _TABLE), "signatures", by=["kind"])
+    table = written(dealt.mapInArrow(giving_back(_met), _TABLE), "signatures", by=["kind"])
     sizes = table.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").cast("int").alias("n_shingles"), "c", "d")
     # equal sets are one node, named by the smallest id
     classes = sizes.where("n_shingles > 0 and doc_id is not null").groupBy("c", "d").agg(F.min("doc_id").alias("set_node"))

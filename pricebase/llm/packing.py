@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricebase.llm.byte_bpe import encoder
-from pricebase.llm.common import prepared, written
+from pricebase.llm.common import giving_back, prepared, written
 
 #: Most rounds of multiplicative weights (halved each time the remainder is solved again), how often that is, the share of a
 #: length's count that a round may cover, how fast a price falls, how near the best price a used filling comes, and the
@@ -61,8 +61,9 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int, closin
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        own.forget()
 
-    return rows.mapInArrow(run, _PIECES)
+    return rows.mapInArrow(giving_back(run), _PIECES)
 
 
 class Program:
@@ -262,5 +263,5 @@ def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, closing
             )
 
     return numbered.mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+        giving_back(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from pricebase.llm.common import hash_sample, prepared, unused
+from pricebase.llm.common import giving_back, hash_sample, prepared, unused
 
 #: Bound of the training sample.
 TRAINING_ROWS = 24_000
@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Tree
                 [batch.column("doc_id"), pa.array(x, pa.list_(pa.float64())), batch.column("quality")], ["doc_id", "x", "y"]
             )
 
-    sample = texts.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, x array<double>, y double").toArrow()
+    sample = texts.select("doc_id", "text", "quality").mapInArrow(giving_back(run), "doc_id long, x array<double>, y double").toArrow()
     order = np.argsort(sample["doc_id"].to_numpy(), kind="stable")
     x = np.array(sample["x"].combine_chunks().flatten(), float).reshape(-1, N_FEATURES)
     return fit(x[order], (sample["y"].to_numpy() > 0).astype(float)[order])
@@ -211,7 +211,7 @@ def score(
                 [batch.column(f.name) for f in fields] + [pa.array(scores), pa.array(predicted)], [f.name for f in schema.fields]
             )
 
-    return docs.select(*[f.name for f in fields]).mapInArrow(run, schema)
+    return docs.select(*[f.name for f in fields]).mapInArrow(giving_back(run), schema)
 
 
 def remainder(doc_id: object) -> int:

@@ -398,3 +398,15 @@ def test_fingerprint_selects_the_least_numbered_kmers(spark):
     mask = order_minhash.BINS - 1
     mine = order_minhash.with_fingerprint(row, "text", "sig").first().sig
     assert mine == [r.h & ~mask | r.bin for r in sorted(wanted)]
+
+
+def test_rows_come_in_parts_and_memory_goes_back():
+    import pyarrow as pa
+
+    from pricebase.llm import common
+
+    batches = [pa.record_batch({"doc_id": pa.array(range(n), pa.int64())}) for n in (0, 3, 10, 4)]
+    parts = list(common.in_parts(iter(batches), 4))
+    assert [p.num_rows for p in parts] == [3, 4, 4, 2, 4]
+    assert [v for p in parts for v in p.column("doc_id").to_pylist()] == [v for b in batches for v in b.column("doc_id").to_pylist()]
+    assert list(common.giving_back(lambda rows: (b.slice(1) for b in rows))(iter(batches[1:]))) == [b.slice(1) for b in batches[1:]]

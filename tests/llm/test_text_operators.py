@@ -334,3 +334,31 @@ def test_hash_of_bytes_table():
     table = byte_bpe.byte_characters()
     assert len(set(table.values())) == 256 and byte_bpe.as_bytes(byte_bpe.as_characters(bytes(range(256)))) == bytes(range(256))
     assert hashlib.sha256(byte_bpe.as_bytes("Ġ")).digest() == hashlib.sha256(b" ").digest()
+
+
+def test_workers_forget_what_packing_remembered(spark):
+    """Workers serve later stages too: only the tokenizer stays in them."""
+    import pyarrow as pa
+
+    docs = frame(spark, [f"some words {chr(97 + n % 26) * 3} and {chr(97 + n // 26) * 4}, others" for n in range(400)]).repartition(4)
+    assert packing.pack(docs, FILE, P.PATTERN, 256, added_tokens=True).count() == 400
+
+    def held(batches):
+        own = byte_bpe.encoder(FILE, P.PATTERN, True)._own
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(d) + len(d._older) for d in (own._pieces, own._chunks))], pa.int64())], ["n"])
+
+    assert [r.n for r in spark.range(0, 4, 1, 4).mapInArrow(held, "n long").collect()] == [0] * 4
+
+
+def test_encoder_gives_the_same_ids_after_forgetting(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 7)
+    texts = ["words that come again, and again " * 3, "é" * 30 + " <|endoftext|> x", "other words, others. " * 5]
+    own = byte_bpe.encoder(FILE, P.PATTERN, True)
+    first = [own.encode(t) for t in texts]
+    assert all(len(d) <= 7 and len(d._older) <= 7 for d in (own._own._pieces, own._own._chunks))
+    own.forget()
+    assert not own._own._pieces and not own._own._chunks._older
+    assert [own.encode(t) for t in texts] == first
+    own.forget()
