@@ -133,7 +133,8 @@ def match_clients(
     known = aliases.groupBy(F.col("alias").alias("raw_name")).agg(
         F.min("client_id").alias("alias_client")
     )
-    with_alias = distinct.join(known, "raw_name", "left")
+    # read once: the names come out of all documents
+    with_alias = materialized(distinct.join(known, "raw_name", "left"))
     open_names = (
         with_alias.where(F.col("alias_client").isNull())
         .select("raw_name", search_text(F.col("raw_name")).alias("text"))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,3 +285,45 @@ def test_topk_join_against_all_pairs(spark, monkeypatch, shard, k, threshold):
             if b == block and own & other and len(own & other) / len(own | other) >= threshold:
                 scored.append((-len(own & other) / len(own | other), i))
         assert got.get((text, block), []) == [(i, round(-x, 9)) for x, i in sorted(scored)[:k]]
+
+
+@pytest.mark.parametrize("k, threshold", [(1, 0.55), (4, 0.0), (2, 0.3)])
+def test_shard_answers_as_all_pairs_and_compares_few_texts_whole(monkeypatch, k, threshold):
+    draw = random.Random(k)
+    word = lambda: "".join(draw.choice("abcd") for _ in range(draw.randrange(3, 8)))
+    pool = [" ".join(word() for _ in range(draw.randrange(1, 5))) for _ in range(3_000)]
+    codes = {}
+
+    def grams(text):
+        return np.array([codes.setdefault(g, len(codes)) for g in trigram_literal(text)], np.int64)
+
+    sets = [grams(t) for t in pool]
+    shard = topk_join.Shard(np.concatenate(sets), np.array([len(g) for g in sets]))
+    compared = []
+    scores = topk_join.Postings._scores
+    monkeypatch.setattr(topk_join.Postings, "_scores", lambda self, met, size: (compared.append(len(met)), scores(self, met, size))[1])
+    asked = [pool[i] + draw.choice(["", "d", " abc"]) for i in range(0, 3_000, 100)]
+    for text in asked:
+        own = set(grams(text).tolist())
+        all_pairs = np.array([len(own & set(g.tolist())) / len(own | set(g.tolist())) for g in sets])
+        met, score = shard.best(grams(text), k, threshold)
+        assert np.allclose(score, all_pairs[met]) and len(set(met.tolist())) == len(met)
+        wanted = np.lexsort((np.arange(len(pool)), -all_pairs))[:k]
+        wanted = [i for i in wanted if all_pairs[i] > 0 and all_pairs[i] >= threshold]
+        assert met[np.lexsort((met, -score))[:k]].tolist() == wanted
+    assert sum(compared) < 0.2 * len(pool) * len(asked)
+
+
+def test_shards_hold_texts_of_like_size(spark, monkeypatch):
+    monkeypatch.setattr(topk_join, "SHARD", 10)
+    pool = spark.createDataFrame([("b", i, list(range(1 + i % 5))) for i in range(50)], "block string, item_id bigint, grams array<bigint>")
+    asked = spark.createDataFrame([("b", i, [1]) for i in range(3)], "block string, query bigint, grams array<bigint>")
+
+    def sizes(pool, queries):
+        held = [len(g) for g in pool["grams"].to_pylist()]
+        return pa.table({"n": [len(held)], "least": [min(held)], "most": [max(held)], "asked": [queries.num_rows]})
+
+    met = topk_join._meetings(topk_join._parts(pool, asked), pool, asked)
+    got = met.applyInArrow(sizes, "n bigint, least bigint, most bigint, asked bigint").collect()
+    assert sorted((r.least, r.most) for r in got) == [(i, i) for i in range(1, 6)]
+    assert all(r.n == 10 and r.asked == 3 for r in got)
