@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricebase.functions.skew import running_before
+from pricebase.functions.skew import range_parts
 from pricebase.functions.text import without_nul
-from pricebase.session import materialized
+from pricebase.session import written
 
 # Document types and the attributes of a line.
 DOCUMENT_TYPES = ("devis", "facture", "situation", "avenant", "indetermine")
@@ -172,19 +172,27 @@ def merged_headers(segments: DataFrame) -> DataFrame:
 def merged_lines(lines: DataFrame) -> DataFrame:
     """Lines of all parts renumbered 1..n in segment order.
 
-    The number is the line's place in its segment plus the size of the segments before it, so a
-    document of any length is never sorted in one task. ``lines``: document_key, segment, position;
-    they are written out once, so that the answers they come from are parsed once.
+    The number is the line's place in its segment plus the size of the segments before it. Ranges of
+    (document, segment) are numbered apart and get what earlier ranges hold of their first document, so a
+    document of any length is never sorted in one task and a line moves once. ``lines``: document_key,
+    segment, position; they are written out once, so that the answers they come from are parsed once.
     """
-    lines = materialized(lines)
-    sizes = lines.groupBy("document_key", "segment").agg(F.count(F.lit(1)).alias("_size"))
-    offsets = running_before(sizes, "document_key", "segment", F.col("_size"), "_before").drop(
-        "_size"
+    lines = written(lines.dropna(subset=["document_key", "segment"]))
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = lines.withColumn("_part", range_parts(lines, ["document_key", "segment"], parts))
+    earlier = Window.partitionBy("document_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    held = placed.groupBy("document_key", "_part").agg(F.count(F.lit(1)).alias("_size"))
+    # few documents lie in several ranges; written, so that Spark knows how few
+    offsets = written(
+        held.select("document_key", "_part", F.sum("_size").over(earlier).alias("_offset")).dropna(subset=["_offset"])
     )
+    inside = Window.partitionBy("document_key", "_part").orderBy("segment")
+    before = F.rank().over(inside).cast("bigint") - 1 + F.coalesce("_offset", F.lit(0))
+    kept = [c for c in lines.columns if c not in ("document_key", "segment")]
     return (
-        lines.join(offsets, ["document_key", "segment"])
-        .withColumn("ord", F.col("position") + F.col("_before"))
-        .drop("_before")
+        placed.join(offsets, ["document_key", "_part"], "left")
+        .withColumn("ord", F.col("position") + before)
+        .select("document_key", "segment", *kept, "ord")
     )
 
 

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from pricebase.functions import skew
 from pricebase.sources import dims, export, files, ledger, payloads, store
 from pricebase.streaming import ingest
 
@@ -201,3 +202,21 @@ def test_answers_are_parsed_once_for_merged_lines(spark):
     merged = payloads.merged_lines(lines)
     assert sorted((r.segment, r.position, r.ord) for r in merged.collect()) == [("a", 1, 1), ("a", 2, 2), ("b", 1, 3)]
     assert "from_json" not in merged._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_merged_lines_move_once_and_long_documents_lie_in_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SAMPLED", 1_000)
+    rows = [("long", f"{s:05d}", i) for s in range(500) for i in range(1, 1 + s % 4)]
+    rows += [(f"d{d}", str(s), 1) for d in range(50) for s in range(3)]
+    rows += [("d0", "1", 1), ("d0", "1", 1), (None, "1", 1), ("d1", None, 1)]  # keys repeat or are missing
+    frame = spark.createDataFrame(rows, "document_key string, segment string, position int")
+    parts = skew.range_parts(frame, ["document_key", "segment"], 4)
+    assert frame.where("document_key = 'long'").select(parts.alias("p")).distinct().count() > 1
+    merged = payloads.merged_lines(frame)
+    known = [r for r in rows if r[0] and r[1]]
+    expected = sorted((d, s, i, i + sum(1 for e, t, _ in known if e == d and t < s)) for d, s, i in known)
+    assert sorted(map(tuple, merged.collect())) == expected
+    plan = merged._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") <= 2 and "SortMergeJoin" not in plan
+    run = merged._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert run.count("Exchange hashpartitioning") <= 1
