@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from pricebase.functions.text import padded_words, shared_trigrams, trigram_literal, trigram_sequence
 from pricebase.operators import search, search_index
+from pricebase.plans import views
 
 TERMS = ["dalle betn", "mur", "a", "C-2", "béton armé", "zzz"]
 
@@ -115,3 +116,28 @@ def test_trigrams_are_built_only_of_texts_that_pass_the_bound(spark):
         met = [i for i, line in enumerate(plan) if "Generate explode" in line]
         assert built and met and max(built) < max(met)
     assert [r["client_id"] for r in search.client_search(clients, aliases, documents, ["smal ring"]).collect()] == [1]
+
+
+def test_lines_of_the_history_move_for_documents_and_links_only(spark):
+    lines = spark.createDataFrame(
+        [("l1", 1, "mur", "mur", False), ("l2", 1, "dalle", "dalle", False), ("l3", 2, "x", "x", False), ("l4", 9, "x", "x", False), ("l5", 2, "t", "t", True)],
+        "line_id string, document_id int, designation string, search_text string, is_title boolean",
+    )
+    documents = spark.createDataFrame([(1, 7, 3), (2, None, None), (2, 8, 3)], "document_id int, client_id int, zone_id int")
+    links = spark.createDataFrame([("l1", 5), ("l1", 6), ("l3", None)], "line_id string, item_id int")
+    items = spark.createDataFrame([(5, "Mur gizom", 1), (5, "Mur", None)], "item_id int, label_print string, category_id int")
+    categories = spark.createDataFrame([(1, "Gros")], "category_id int, category_label string")
+    clients = spark.createDataFrame([(7, "SCI Dalle"), (8, "Gizom")], "client_id int, name string")
+    zones = spark.createDataFrame([(3, "Z", "Zone")], "zone_id int, zone_code string, zone_label string")
+    rows = views.history(lines, documents, links, items, categories, clients, zones)
+    got = sorted((r.line_id, r.client or "", r.item_label or "", r.category_label or "", r.zone_code or "") for r in rows.collect())
+    assert got == [
+        ("l1", "SCI Dalle", "", "", "Z"), ("l1", "SCI Dalle", "Mur", "", "Z"), ("l1", "SCI Dalle", "Mur gizom", "Gros", "Z"),
+        ("l2", "SCI Dalle", "", "", "Z"), ("l3", "", "", "", ""), ("l3", "Gizom", "", "", "Z"),
+    ]
+    assert sorted(r.line_id for r in search.search_lines(rows, "gizom").collect()) == ["l1", "l3"]
+    node, joins = rows._jdf.queryExecution().analyzed(), 0
+    while node.children().size():
+        joins += node.nodeName() == "Join"
+        node = node.children().head()
+    assert joins == 2
