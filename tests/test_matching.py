@@ -327,3 +327,12 @@ def test_shards_hold_texts_of_like_size(spark, monkeypatch):
     got = met.applyInArrow(sizes, "n bigint, least bigint, most bigint, asked bigint").collect()
     assert sorted((r.least, r.most) for r in got) == [(i, i) for i in range(1, 6)]
     assert all(r.n == 10 and r.asked == 3 for r in got)
+
+
+def test_vectors_are_copied_to_few_tiles_and_written_compressed(spark):
+    """100 000 vectors of 64 numbers in a block fill two tiles, not seven; tables between the steps are Parquet."""
+    assert -(-100_000 // (metric_join.TILE_VALUES // 64)) == 2
+    rows = [("a", i, [1.0, i / 7]) for i in range(30)]
+    frame = spark.createDataFrame(rows, "block string, node bigint, unit_vector array<double>")
+    plan = metric_join.cosine_join(frame, 0.99)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "LogicalRDD" not in plan
